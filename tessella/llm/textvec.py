@@ -70,19 +70,35 @@ def words(data: np.ndarray, offsets: np.ndarray, letters_only: bool = False) ->
 
     Words are runs of bytes that are not ASCII white space or, with ``letters_only``, runs of letters.
     """
+    starts, ends, total, down = _spans(data, offsets, letters_only)
+    return mix((total[ends] - total[starts]) * down[starts], 1), np.searchsorted(starts, offsets)
+
+
+def tokens(data: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, index of each one's text, words a text): all words of letters, and the first bytes of those that are longer."""
+    starts, ends, total, down = _spans(data, offsets, True)
+    of = np.searchsorted(offsets, starts, side="right") - 1
+    found, where = [mix((total[ends] - total[starts]) * down[starts], 1)], [of]
+    for k in prefixes:
+        long = starts + k < ends
+        a = starts[long]
+        found.append(mix((total[a + k] - total[a]) * down[a], 100 + k))
+        where.append(of[long])
+    return np.concatenate(found), np.concatenate(where), np.bincount(of, minlength=len(offsets) - 1)
+
+
+def _spans(data: np.ndarray, offsets: np.ndarray, letters_only: bool) -> tuple[np.ndarray, ...]:
+    """(starts and ends of words, running sums of the bytes' values, powers that bring a sum back to its start)."""
     n = len(data)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     inside = _LETTER[data] if letters_only else ~_SPACE[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     starts = np.flatnonzero(inside & (edge[:-1] | ~np.concatenate(([False], inside[:-1]))))
     ends = np.flatnonzero(inside & (edge[1:] | ~np.concatenate((inside[1:], [False])))) + 1
     up, down = powers(n + 1)
-    total = np.empty(n + 1, np.uint64)
-    total[0] = 0
+    total = np.zeros(n + 1, np.uint64)
     np.cumsum(_VALUES[data] * up[:n], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts], 1), np.searchsorted(starts, offsets)
+    return starts, ends, total, down
 
 
 _STEP = [np.uint64(mix(np.array([i], np.uint64), 77)[0] | np.uint64(1)) for i in range(64)]

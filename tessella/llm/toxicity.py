@@ -1,13 +1,14 @@
 """Toxicity by a chain of linear classifiers.
 
 The categories follow each other: insults, contempt, and the label ``toxic`` itself. Each is a ridge logistic
-regression on the counts of telling words; from the second on it also sees the log-odds of the categories before it.
-In training these come from models of the other folds, so that a later model never learns from a probability that an
-earlier one gave to its own training row.
+regression on the counts of telling tokens and the text's length; from the second on it also sees the log-odds of the
+categories before it. In training these come from models of the other folds, so that a later model never learns from
+a probability that an earlier one gave to its own training row.
 
 Labels: ``toxic`` is the table's; a document has an earlier category if it is labelled toxic and holds a seed word of
-it. The telling words are found in the labelled texts: at least MIN_DOCS documents, and a likelihood-ratio statistic of
-at least MIN_G2 that points at ``toxic``. Training texts that share a smallest word-pair hash count as copies, once.
+it. Tokens are words of letters and the first 6 and 7 bytes of longer words, which catch inflected forms. The telling
+ones are found in the labelled texts: at least MIN_DOCS documents, and a likelihood-ratio statistic of at least MIN_G2
+that points at ``toxic``. Training texts that share a smallest token hash count as copies, once.
 
 Training reads a sample of labelled documents of about MAX_LABELLED rows (a bound on the digest of the id, from the
 number of labels); scoring reads every whole text.
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.textvec import chunks, mix, words
+from tessella.llm.textvec import chunks, mix, tokens
 
 # Seed words of the categories before the last.
 SEEDS = {
@@ -34,38 +35,44 @@ SEEDS = {
     "contempt": ("stupid", "pathetic", "worthless", "disgusting", "trash", "dumb", "garbage", "filthy"),
 }
 CATEGORIES = (*SEEDS, "toxic")
-MAX_LABELLED = 12_000
+MAX_LABELLED = 6_000
+PREFIXES = (6, 7)
 MIN_DOCS, MIN_G2, MAX_WORDS = 4, 25.0, 128
-FOLDS, RIDGE, THRESHOLD = 5, 1.0, 0.5
-SAMPLED = "toxic int, words array<long>, copy long"
+FOLDS, RIDGE, THRESHOLD = 5, 0.02, 0.5
+SAMPLED = "toxic int, tokens array<long>, counts array<int>, n_words long, copy long"
 
 
 def word_hash(word: str) -> np.uint64:
     data = np.frombuffer(word.encode(), np.uint8)
-    return words(data, np.array([0, len(data)]), letters_only=True)[0][0]
+    return tokens(data, np.array([0, len(data)]))[0][0]
 
 
-def _texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _texts(column: pa.Array) -> Iterator[tuple]:
     for first, data, offsets in chunks(column):
-        yield first, *words(data, offsets, letters_only=True)
+        yield first, *tokens(data, offsets, PREFIXES)
 
 
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found, copy = [np.zeros(0, np.int64)] * batch.num_rows, np.zeros(batch.num_rows, np.int64)
-        for first, h, at in _texts(batch.column(1)):
-            for i in range(len(at) - 1):
-                own = h[at[i] : at[i + 1]]
-                found[first + i] = np.unique(own).view(np.int64)
-                if len(own) > 1:
-                    copy[first + i] = mix(own[:-1] ^ (own[1:] << np.uint64(1)), 9).min().view(np.int64)
-        ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*found, np.zeros(0, np.int64)])))
-        yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(copy)], ["toxic", "words", "copy"])
+        found, counts, ends, size, copy = [], [], [0], [], []
+        for _, h, of, n_words in _texts(batch.column(1)):
+            order = np.lexsort((h, of))
+            h, of = h[order], of[order]
+            new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])))[: len(h)])
+            found.append(h[new].view(np.int64))
+            counts.append(np.diff(np.append(new, len(h))).astype(np.int32))
+            per = np.bincount(of[new], minlength=len(n_words))
+            size.append(n_words)
+            scrambled, at = mix(h[new], 9), np.cumsum([0, *per])
+            copy += [int(scrambled[a:b].min().view(np.int64)) if b > a else 0 for a, b in zip(at, at[1:], strict=False)]
+            ends += list(ends[-1] + at[1:])
+        flat = lambda parts, kind: pa.array(np.concatenate([*parts, np.zeros(0, kind)]))
+        at = pa.array(np.array(ends, np.int32))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(at, flat(found, np.int64)), pa.ListArray.from_arrays(at, flat(counts, np.int32)), flat(size, np.int64), pa.array(copy, pa.int64())], ["toxic", "tokens", "counts", "n_words", "copy"])
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
-    """A sample of about ``most`` labelled documents: ``toxic, words, copy``."""
+    """A sample of about ``most`` labelled documents: their label and their tokens."""
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("_t")).filter("_id IS NOT NULL AND _t IS NOT NULL")
     known = known.groupBy("_id").agg(F.max("_t").alias("_t"))
     n = known.count()
@@ -127,14 +134,15 @@ class Chain:
     def __init__(self, vocabulary: np.ndarray, weights: list[np.ndarray], able: bool):
         self.vocabulary, self.weights, self.able = vocabulary, weights, able
 
-    def features(self, h: np.ndarray, at: np.ndarray) -> np.ndarray:
-        n, k = len(at) - 1, len(self.vocabulary)
+    def features(self, h: np.ndarray, of: np.ndarray, n_words: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
+        n, k = len(n_words), len(self.vocabulary)
+        length = np.log1p(n_words.astype(float))[:, None]
         if not k:
-            return np.zeros((n, 0))
+            return length
         place = np.minimum(np.searchsorted(self.vocabulary, h), k - 1)
         hit = np.flatnonzero(self.vocabulary[place] == h)
-        doc = np.searchsorted(at, hit, side="right") - 1
-        return np.log1p(np.bincount(doc * k + place[hit], minlength=n * k).reshape(n, k).astype(float))
+        found = np.bincount(of[hit] * k + place[hit], None if counts is None else counts[hit], n * k).reshape(n, k)
+        return np.column_stack([np.log1p(found), length])
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         out = []
@@ -143,7 +151,7 @@ class Chain:
         return np.column_stack(out)
 
     def score(self, column: pa.Array) -> np.ndarray:
-        parts = [self.probabilities(self.features(h, at)) for _, h, at in _texts(column)]
+        parts = [self.probabilities(self.features(*found)) for _, *found in _texts(column)]
         return np.concatenate(parts) if parts else np.zeros((0, len(self.weights)))
 
     def flags(self, p: np.ndarray) -> np.ndarray:
@@ -153,16 +161,15 @@ class Chain:
 def train(sample: pa.Table) -> Chain:
     """Fit the chain on rows of ``labelled``; later categories learn from out-of-fold probabilities of earlier ones."""
     toxic = sample["toxic"].to_numpy().astype(float).clip(0, 1)
-    copy = sample["copy"].to_numpy()
-    lists = [np.asarray(x, np.int64).view(np.uint64) for x in sample["words"].to_numpy()]
+    copy, n_words = sample["copy"].to_numpy(), sample["n_words"].to_numpy()
+    lists = [np.asarray(x, np.int64).view(np.uint64) for x in sample["tokens"].to_numpy()]
+    counts = [np.asarray(x, float) for x in sample["counts"].to_numpy()]
     order = sorted(range(len(lists)), key=lambda i: (int(copy[i]), toxic[i], len(lists[i]), lists[i].tobytes()))
     kept = [i for k, i in enumerate(order) if not copy[i] or k == 0 or copy[order[k - 1]] != copy[i]]
-    lists, toxic = [lists[i] for i in kept], toxic[kept]
+    lists, counts, toxic = [lists[i] for i in kept], [counts[i] for i in kept], toxic[kept]
     vocabulary = telling_words(lists, toxic)
-    x = np.zeros((len(lists), len(vocabulary)))
-    for i, own in enumerate(lists):
-        x[i] = np.isin(vocabulary, own)
-    x *= np.log(2.0)  # a word once
+    of = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    x = Chain(vocabulary, [], False).features(np.concatenate([*lists, np.zeros(0, np.uint64)]), of, n_words[kept], np.concatenate([*counts, np.zeros(0)]))
     seeds = {c: np.array([word_hash(s) for s in SEEDS[c]], np.uint64) for c in SEEDS}
     fold = np.arange(len(lists)) % FOLDS
     weights, before = [], np.zeros((len(lists), 0))
