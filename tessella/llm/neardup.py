@@ -9,9 +9,11 @@
    In a bucket every member is held against the smallest one, so a bucket of n members gives n - 1 pairs.
 4. Pairs are verified on full sets, and union-find gives components.
 5. Buckets whose members are still in several components are gone through in blocks of at most about 256 members:
-   every pair of blocks is one task, which holds members of different components against each other by signature and
-   passes on those that may be similar. These are verified on full sets too, and union-find runs again. Thus no pair
-   of a bucket is left out, no bucket has to fit in a task, and groups of near copies do not give all their pairs.
+   every pair of blocks is one task, which holds members of different components against each other by signature.
+   First each member passes on its most similar partners only; they are verified on full sets, and union-find merges
+   what is linked. After these rounds the last one passes on every pair of different components that may be similar.
+   Thus no pair of a bucket is left out, no bucket has to fit in a task, and groups of near copies, which the rounds
+   make one component, do not give all their pairs.
 
 Defined cases: a text that is null, empty or white space only has an empty set and no links; a text of fewer than five
 words is one shingle; rows with a null id stand alone (null component, kept); rows that repeat an id get the same
@@ -38,6 +40,8 @@ BANDS = SLOTS // ROWS
 BLOCK = 256
 #: Signatures' estimates from which a pair of different components is verified: five standard errors below 0.75.
 MAYBE = 0.75 - 5 * (0.75 * 0.25 / SLOTS) ** 0.5
+#: Partners that a member passes on in each round; None: all.
+ROUNDS = (2, 2, None)
 _RANK_BITS = np.uint64(57)
 _RANK = (np.uint64(1) << _RANK_BITS) - np.uint64(1)
 
@@ -119,27 +123,47 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 
-def _block_pairs(table: pa.Table) -> pa.Table:
-    """Pairs of members of two blocks (``side`` 0 and 1; in a block's own task all are on side 0) that may be links."""
+def _block_pairs(table: pa.Table, most: int | None) -> pa.Table:
+    """Pairs of members of two blocks (``side`` 0 and 1; in a block's own task all are on side 0) that may be links.
+
+    With ``most``, each member's best partners only.
+    """
     side = table["side"].to_numpy()
     rep, comp, n = table["rep"].to_numpy(), table["comp"].to_numpy(), table["n"].to_numpy()
-    sig = table["bands"].combine_chunks()
-    sig = sig.values.to_numpy()[sig.offsets[0].as_py() :][: len(rep) * BANDS].reshape(len(rep), BANDS).view(np.uint16)
+    sig = np.concatenate([c.flatten().to_numpy() for c in table["bands"].chunks]).reshape(len(rep), BANDS).view(np.uint16)
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    same = not len(right) and bool(table["own"][0].as_py())
-    right = left if same else right
+    own = table["own"][0].as_py()
+    right = left if own else right
     a_out, b_out = [], []
     for i in left:
-        j = right[right > i] if same else right
+        j = right[right > i] if own and most is None else right
         j = j[(comp[j] != comp[i]) & (100 * np.minimum(n[j], n[i]) >= PERCENT * np.maximum(n[j], n[i]))]
         if len(j):
-            j = j[(sig[j] == sig[i]).mean(axis=1) >= MAYBE]
+            alike = (sig[j] == sig[i]).mean(axis=1)
+            good = alike >= MAYBE
+            j, alike = j[good], alike[good]
+            if most is not None and len(j) > most:
+                j = j[np.lexsort((rep[j], -alike))[:most]]
             a_out.append(np.minimum(rep[j], rep[i]))
             b_out.append(np.maximum(rep[j], rep[i]))
     flat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
     return pa.table({"a": pa.array(flat(a_out), pa.int64()), "b": pa.array(flat(b_out), pa.int64())})
 
 
+def _across(members: DataFrame, reps: DataFrame, found: DataFrame, most: int | None) -> DataFrame:
+    """Pairs ``a, b`` of members of a bucket that are in different components and may be links, saved."""
+    home = F.coalesce("component", "rep").alias("comp")
+    placed = members.join(found, F.col("rep") == F.col("id"), "left").select("bucket", "rep", "n", "members", home)
+    open_ = placed.groupBy("bucket").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo <> _hi").select("bucket")
+    rest = placed.join(open_, "bucket").join(reps.select(F.col("rep").alias("_r"), "bands"), F.col("rep") == F.col("_r")).drop("_r")
+    rest = rest.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    order = [F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") > F.col("other")).cast("int").alias("side"), (F.col("block") == F.col("other")).alias("own")]
+    rest = rest.select("bucket", *order, "rep", "comp", "n", "bands")
+    pairs = rest.groupBy("bucket", "lo", "hi").applyInArrow(lambda t: _block_pairs(t, most), "a long, b long")
+    return scratch.save(pairs.distinct(), "maybe")
+
+
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(signed documents, classes of equal sets: ``k1, k2, n, rep, bands``), both saved."""
     signed = scratch.save(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sign, SIGNED), "signed")
@@ -159,19 +183,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     near = F.least("n", "lead.n") * 100 >= F.greatest("n", "lead.n") * PERCENT
     stars = scratch.save(members.filter((F.col("rep") > F.col("lead.rep")) & near).select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
     links = _verified(stars, docs)
-    first = components(links)
-
-    home = F.coalesce("component", "rep").alias("comp")
-    placed = members.join(first, F.col("rep") == F.col("id"), "left").select("bucket", "rep", "n", "members", home)
-    open_ = placed.groupBy("bucket").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo <> _hi").select("bucket")
-    rest = placed.join(open_, "bucket").join(reps.select(F.col("rep").alias("_r"), "bands"), F.col("rep") == F.col("_r")).drop("_r")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    rest = rest.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") > F.col("other")).cast("int").alias("side"), (F.col("block") == F.col("other")).alias("own"), "rep", "comp", "n", "bands")
-    maybe = rest.groupBy("bucket", "lo", "hi").applyInArrow(_block_pairs, "a long, b long")
-    more = _verified(scratch.save(maybe.distinct(), "maybe"), docs)
-    final = components(links.unionByName(more))
+    final = scratch.save(components(links), "components")
+    for most in ROUNDS:
+        pairs = _across(members, reps, final, most)
+        if pairs.isEmpty():  # no members of different components may be similar, so no later round has any pair
+            break
+        links = scratch.save(links.unionByName(_verified(pairs, docs)), "links_so_far")
+        final = scratch.save(components(links), "components")
 
     of_class = reps.join(final, F.col("rep") == F.col("id"), "left").select(F.col("k1").alias("_1"), F.col("k2").alias("_2"), F.col("n").alias("_n"), F.coalesce("component", "rep").alias("_c"))
     same = (F.col("k1") == F.col("_1")) & (F.col("k2") == F.col("_2")) & (F.col("n_shingles") == F.col("_n")) & F.col("doc_id").isNotNull()
