@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import decontam, htmltext, langid, mixing, neardup, secrets, toxicity
+from tessella.llm import decontam, htmltext, langid, mixing, neardup, secrets, toxicity, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,8 +40,12 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(_read(spark, sf_dir, "pages"))
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_read(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
-    return {"op1_decontamination": op1_decontamination, "op2_language_id": op2_language_id, "op6_toxicity": op6_toxicity, "op3_neardup": op3_neardup, "op7_secrets": op7_secrets, "op8_mixing": op8_mixing, "op9_html_extraction": op9_html_extraction}
+    return {"op1_decontamination": op1_decontamination, "op2_language_id": op2_language_id, "op6_toxicity": op6_toxicity, "op3_neardup": op3_neardup, "op7_secrets": op7_secrets, "op8_mixing": op8_mixing, "op9_html_extraction": op9_html_extraction, "op10_url_filter": op10_url_filter}
 
 
 def oracle_sql() -> dict:
