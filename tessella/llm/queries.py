@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import decontam, htmltext, langid, mixing, neardup, secrets, toxicity, urls
+from tessella.llm import decontam, htmltext, langid, mixing, neardup, secrets, topk, toxicity, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,9 +44,13 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_read(spark, sf_dir, "pages"))
 
 
+def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    return {"op1_decontamination": op1_decontamination, "op2_language_id": op2_language_id, "op6_toxicity": op6_toxicity, "op3_neardup": op3_neardup, "op7_secrets": op7_secrets, "op8_mixing": op8_mixing, "op9_html_extraction": op9_html_extraction, "op10_url_filter": op10_url_filter}
+    return {"op1_decontamination": op1_decontamination, "op2_language_id": op2_language_id, "op5_topk_search": op5_topk_search, "op6_toxicity": op6_toxicity, "op3_neardup": op3_neardup, "op7_secrets": op7_secrets, "op8_mixing": op8_mixing, "op9_html_extraction": op9_html_extraction, "op10_url_filter": op10_url_filter}
 
 
 def oracle_sql() -> dict:
-    return {"op7_secrets": secrets.sql(), "op8_mixing": mixing.sql()}
+    return {"op5_topk_search": topk.sql(), "op7_secrets": secrets.sql(), "op8_mixing": mixing.sql()}
