@@ -111,8 +111,8 @@ def search(vectors: DataFrame, is_query: Column | None = None, k: int = K) -> Da
 
 def sql(k: int = K) -> str:
     return f"""
-WITH e AS (SELECT DISTINCT vec_id AS id, len(embedding) AS d, list_transform(embedding, x -> CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+WITH e AS (SELECT DISTINCT vec_id AS id, len(embedding) AS d, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 f AS (SELECT id, d, unnest(range(d)) AS i, unnest(v) AS x FROM e),
 s AS (SELECT q.id AS query_id, c.id AS vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score FROM f q JOIN f c ON q.i = c.i AND q.d = c.d
   WHERE q.id % {EVERY} = 0 AND q.id <> c.id GROUP BY 1, 2),
