@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import decontam, htmltext, langid, mixing, neardup, secrets, topk, toxicity, urls
+from tessella.llm import decontam, htmltext, langid, mixing, neardup, secrets, tokencounts, topk, toxicity, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,8 +48,12 @@ def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(_read(spark, sf_dir, "embeddings"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.count(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op1_decontamination": op1_decontamination, "op2_language_id": op2_language_id, "op5_topk_search": op5_topk_search, "op6_toxicity": op6_toxicity, "op3_neardup": op3_neardup, "op7_secrets": op7_secrets, "op8_mixing": op8_mixing, "op9_html_extraction": op9_html_extraction, "op10_url_filter": op10_url_filter}
+    return {"op1_decontamination": op1_decontamination, "op2_language_id": op2_language_id, "op4_token_counts": op4_token_counts, "op5_topk_search": op5_topk_search, "op6_toxicity": op6_toxicity, "op3_neardup": op3_neardup, "op7_secrets": op7_secrets, "op8_mixing": op8_mixing, "op9_html_extraction": op9_html_extraction, "op10_url_filter": op10_url_filter}
 
 
 def oracle_sql() -> dict:
