@@ -8,12 +8,11 @@
 3. A signature is 32 bands of 4 slots: a pair at the threshold of 0.75 shares no band with probability 5e-6.
    In a bucket every member is held against the smallest one, so a bucket of n members gives n - 1 pairs.
 4. Pairs are verified on full sets, and union-find gives components.
-5. Buckets whose members are still in several components are gone through in blocks of at most about 256 members:
-   every pair of blocks is one task, which holds members of different components against each other by signature.
-   First each member passes on its most similar partners only; they are verified on full sets, and union-find merges
-   what is linked. After these rounds the last one passes on every pair of different components that may be similar.
-   Thus no pair of a bucket is left out, no bucket has to fit in a task, and groups of near copies, which the rounds
-   make one component, do not give all their pairs.
+5. Buckets whose members are still in several components are gone through in blocks of at most about 256 members.
+   Every pair of blocks is one task, which holds members of different components against each other by signature, each
+   pair in the first band that it shares. Members with any partner that may be similar come back with their sets; the
+   task verifies all such pairs, and passes on only links that join what it has not joined yet. Thus no pair of a
+   bucket is left out, no bucket has to fit in a task, and no group gives all its pairs as rows.
 
 Defined cases: a text that is null, empty or white space only has an empty set and no links; a text of fewer than five
 words is one shingle; rows with a null id stand alone (null component, kept); rows that repeat an id get the same
@@ -40,8 +39,6 @@ BANDS = SLOTS // ROWS
 BLOCK = 256
 #: Signatures' estimates from which a pair of different components is verified: five standard errors below 0.75.
 MAYBE = 0.75 - 5 * (0.75 * 0.25 / SLOTS) ** 0.5
-#: Partners that a member passes on in each round; None: all.
-ROUNDS = (2, 2, None)
 _RANK_BITS = np.uint64(57)
 _RANK = (np.uint64(1) << _RANK_BITS) - np.uint64(1)
 
@@ -105,13 +102,17 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), column], ["doc_id", "items"])
 
 
+def _sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """``doc_id, items`` for every id in ``ids(_w)``, saved."""
+    texts = docs.select("doc_id", "text").join(ids.distinct().hint("shuffle_hash"), F.col("doc_id") == F.col("_w"), "left_semi")
+    return scratch.save(texts.mapInArrow(_sets, "doc_id long, items array<long>").dropDuplicates(["doc_id"]), "sets")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of ``pairs(a, b)`` that are links: 100 * intersection >= 75 * union, on full sets."""
     if pairs.isEmpty():
         return pairs
-    wanted = pairs.select(F.col("a").alias("_w")).unionByName(pairs.select(F.col("b").alias("_w"))).distinct()
-    texts = docs.select("doc_id", "text").join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("_w"), "left_semi")
-    sets = scratch.save(texts.mapInArrow(_sets, "doc_id long, items array<long>").dropDuplicates(["doc_id"]), "sets")
+    sets = _sets_of(pairs.select(F.col("a").alias("_w")).unionByName(pairs.select(F.col("b").alias("_w"))), docs)
     a = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
     b = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
@@ -121,47 +122,84 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return links
 
 
-
-
-def _block_pairs(table: pa.Table, most: int | None) -> pa.Table:
-    """Pairs of members of two blocks (``side`` 0 and 1; in a block's own task all are on side 0) that may be links.
-
-    With ``most``, each member's best partners only.
-    """
-    side = table["side"].to_numpy()
-    rep, comp, n = table["rep"].to_numpy(), table["comp"].to_numpy(), table["n"].to_numpy()
-    sig = np.concatenate([c.flatten().to_numpy() for c in table["bands"].chunks]).reshape(len(rep), BANDS).view(np.uint16)
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    own = table["own"][0].as_py()
-    right = left if own else right
-    a_out, b_out = [], []
-    for i in left:
-        j = right[right > i] if own and most is None else right
-        j = j[(comp[j] != comp[i]) & (100 * np.minimum(n[j], n[i]) >= PERCENT * np.maximum(n[j], n[i]))]
-        if len(j):
-            alike = (sig[j] == sig[i]).mean(axis=1)
-            good = alike >= MAYBE
-            j, alike = j[good], alike[good]
-            if most is not None and len(j) > most:
-                j = j[np.lexsort((rep[j], -alike))[:most]]
-            a_out.append(np.minimum(rep[j], rep[i]))
-            b_out.append(np.maximum(rep[j], rep[i]))
-    flat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    return pa.table({"a": pa.array(flat(a_out), pa.int64()), "b": pa.array(flat(b_out), pa.int64())})
-
-
-def _across(members: DataFrame, reps: DataFrame, found: DataFrame, most: int | None) -> DataFrame:
-    """Pairs ``a, b`` of members of a bucket that are in different components and may be links, saved."""
+class _Cell:
+    """Members of a pair of blocks of a bucket (``side`` 0 and 1; with ``own`` the two are one block)."""
+
+    def __init__(self, table: pa.Table):
+        self.rep, self.comp, self.n = (table[c].to_numpy() for c in ("rep", "comp", "n"))
+        self.bands = np.concatenate([c.flatten().to_numpy() for c in table["bands"].chunks]).reshape(len(self.rep), BANDS)
+        self.slots, self.band = np.ascontiguousarray(self.bands).view(np.uint16), table["band"][0].as_py()
+        side, self.own = table["side"].to_numpy(), table["own"][0].as_py()
+        self.left, self.right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+
+    def partners(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(member, members of other components that may be similar), each pair once in the whole operator."""
+        for i in self.left:
+            j = self.left[self.left > i] if self.own else self.right
+            j = j[(self.comp[j] != self.comp[i]) & (100 * np.minimum(self.n[j], self.n[i]) >= PERCENT * np.maximum(self.n[j], self.n[i]))]
+            j = j[~(self.bands[j, : self.band] == self.bands[i, : self.band]).any(axis=1)]
+            j = j[(self.slots[j] == self.slots[i]).mean(axis=1) >= MAYBE]
+            if len(j):
+                yield i, j
+
+
+def _active(table: pa.Table) -> pa.Table:
+    """The members that have a partner."""
+    cell, found = _Cell(table), set()
+    for i, j in cell.partners():
+        found.add(int(i))
+        found.update(j.tolist())
+    return table.take(pa.array(sorted(found), pa.int64())).drop_columns(["n", "comp", "bands"])
+
+
+def _links(table: pa.Table) -> pa.Table:
+    """Links between components, verified on full sets; pairs that earlier links of this task join are passed over."""
+    cell = _Cell(table)
+    items = [c.values.to_numpy()[c.offsets[k].as_py() : c.offsets[k + 1].as_py()] for c in table["items"].chunks for k in range(len(c))]
+    parent = {int(c): int(c) for c in cell.comp}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    out = []
+    for i, j in cell.partners():
+        j = [k for k in j if root(int(cell.comp[k])) != root(int(cell.comp[i]))]
+        if not j:
+            continue
+        own, flat = items[i], np.concatenate([items[k] for k in j])
+        own = np.sort(own)
+        hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+        both = np.add.reduceat(hit, np.cumsum([0, *(len(items[k]) for k in j[:-1])]), dtype=np.int64)
+        for k, n in zip(j, both, strict=True):
+            if 100 * n >= PERCENT * (len(own) + len(items[k]) - n):
+                x, y = root(int(cell.comp[i])), root(int(cell.comp[k]))
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    out.append((min(cell.rep[i], cell.rep[k]), max(cell.rep[i], cell.rep[k])))
+    a, b = zip(*out, strict=True) if out else ((), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _across(members: DataFrame, reps: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame | None:
+    """Links ``a, b`` between members of a bucket that are in different components; None if no pair may be one."""
     home = F.coalesce("component", "rep").alias("comp")
-    placed = members.join(found, F.col("rep") == F.col("id"), "left").select("bucket", "rep", "n", "members", home)
+    known = reps.join(found, F.col("rep") == F.col("id"), "left").select(F.col("rep").alias("_r"), home, "bands")
+    placed = members.join(known.select("_r", "comp"), F.col("rep") == F.col("_r")).drop("_r")
     open_ = placed.groupBy("bucket").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo <> _hi").select("bucket")
-    rest = placed.join(open_, "bucket").join(reps.select(F.col("rep").alias("_r"), "bands"), F.col("rep") == F.col("_r")).drop("_r")
+    rest = placed.join(open_, "bucket").drop("comp").join(known, F.col("rep") == F.col("_r")).drop("_r")
     rest = rest.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     order = [F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") > F.col("other")).cast("int").alias("side"), (F.col("block") == F.col("other")).alias("own")]
-    rest = rest.select("bucket", *order, "rep", "comp", "n", "bands")
-    pairs = rest.groupBy("bucket", "lo", "hi").applyInArrow(lambda t: _block_pairs(t, most), "a long, b long")
-    return scratch.save(pairs.distinct(), "maybe")
+    rest = rest.select("bucket", "band", *order, "rep", "comp", "n", "bands")
+    active = scratch.save(rest.groupBy("bucket", "lo", "hi").applyInArrow(_active, "bucket long, band int, lo int, hi int, side int, own boolean, rep long"), "active")
+    if active.isEmpty():
+        return None
+    sets = _sets_of(active.select(F.col("rep").alias("_w")), docs)
+    full = active.join(known, F.col("rep") == F.col("_r")).drop("_r").join(sets, F.col("rep") == F.col("doc_id")).drop("doc_id").withColumn("n", F.size("items").cast("long"))
+    return scratch.save(full.groupBy("bucket", "lo", "hi").applyInArrow(_links, "a long, b long").distinct(), "across")
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -177,19 +215,16 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``, one row for each row of ``docs(doc_id, text)``."""
     signed, reps = classes(docs)
-    banded = reps.select("rep", "n", F.posexplode("bands").alias("band", "value")).select("rep", "n", F.xxhash64("band", "value").alias("bucket"))
+    banded = reps.select("rep", "n", F.posexplode("bands").alias("band", "value")).select("rep", "n", "band", F.xxhash64("band", "value").alias("bucket"))
     leaders = scratch.save(banded.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("lead"), F.count("*").alias("members")).filter("members > 1"), "leaders")
-    members = scratch.save(banded.join(leaders, "bucket").select("bucket", "rep", "n", "lead", "members"), "members")
+    members = scratch.save(banded.join(leaders, "bucket").select("bucket", "band", "rep", "n", "lead", "members"), "members")
     near = F.least("n", "lead.n") * 100 >= F.greatest("n", "lead.n") * PERCENT
     stars = scratch.save(members.filter((F.col("rep") > F.col("lead.rep")) & near).select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
     links = _verified(stars, docs)
     final = scratch.save(components(links), "components")
-    for most in ROUNDS:
-        pairs = _across(members, reps, final, most)
-        if pairs.isEmpty():  # no members of different components may be similar, so no later round has any pair
-            break
-        links = scratch.save(links.unionByName(_verified(pairs, docs)), "links_so_far")
-        final = scratch.save(components(links), "components")
+    more = _across(members, reps, final, docs)
+    if more is not None:
+        final = scratch.save(components(links.unionByName(more)), "components")
 
     of_class = reps.join(final, F.col("rep") == F.col("id"), "left").select(F.col("k1").alias("_1"), F.col("k2").alias("_2"), F.col("n").alias("_n"), F.coalesce("component", "rep").alias("_c"))
     same = (F.col("k1") == F.col("_1")) & (F.col("k2") == F.col("_2")) & (F.col("n_shingles") == F.col("_n")) & F.col("doc_id").isNotNull()
