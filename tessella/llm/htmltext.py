@@ -193,6 +193,13 @@ TRAINING = [
     (0, 0, 1, 0, 0, 25, 0.0, 50, 0.0, 30, 0.0, 0),
     (0, 1, 1, 1, 0, 4, 0.0, 1, 1.0, 30, 0.0, 0),
     (0, 1, 1, 0, 0, 100, 0.0, 90, 0.0, 80, 0.0, 0),
+    (0, 1, 0, 0, 0, 60, 0.0, 40, 0.0, 0, 0.0, 0),
+    (0, 1, 0, 0, 0, 30, 0.0, 80, 0.0, 3, 0.0, 0),
+    (0, 1, 0, 0, 0, 25, 0.0, 2, 1.0, 60, 0.0, 0),
+    (0, 0, 1, 0, 0, 50, 0.0, 30, 0.0, 4, 0.0, 0),
+    (0, 0, 1, 0, 0, 60, 0.1, 60, 0.0, 0, 0.0, 0),
+    (0, 0, 1, 0, 0, 25, 0.0, 3, 1.0, 5, 0.0, 0),
+    (0, 0, 1, 1, 0, 5, 0.0, 40, 0.0, 40, 0.0, 0),
     # pages without such parts: long prose is text, so are headings and short lines next to it
     (0, 0, 0, 0, 0, 3, 0.0, 4, 0.0, 4, 0.0, 0),
     (0, 0, 0, 0, 0, 2, 0.0, 1, 1.0, 0, 0.0, 0),
@@ -207,6 +214,10 @@ TRAINING = [
     (0, 0, 0, 1, 0, 7, 0.0, 2, 1.0, 60, 0.0, 1),
     (0, 0, 0, 1, 0, 4, 0.0, 40, 0.0, 60, 0.0, 1),
     (0, 0, 0, 0, 0, 3, 0.0, 50, 0.0, 45, 0.0, 1),
+    (0, 0, 0, 0, 0, 1, 0.0, 40, 0.0, 30, 0.0, 1),
+    (0, 0, 0, 0, 0, 2, 0.0, 30, 0.0, 20, 0.0, 1),
+    (0, 0, 0, 0, 0, 4, 0.0, 25, 0.0, 15, 0.0, 1),
+    (0, 0, 0, 0, 0, 2, 0.0, 15, 0.0, 60, 0.0, 1),
     (0, 0, 0, 0, 0, 6, 0.0, 45, 0.0, 35, 0.05, 1),
     (0, 0, 0, 0, 1, 9, 0.1, 30, 0.0, 9, 0.1, 1),
     (0, 0, 0, 0, 0, 5, 0.0, 4, 0.0, 5, 0.0, 0),

@@ -98,8 +98,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: st
 def apply_mix(docs: DataFrame, **how) -> DataFrame:
     """The mixed corpus: each row of ``docs`` as often as it is taken. Rows that share an id are taken alike."""
     copies = mix(docs, **how).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_n")).filter("_n > 0")
-    joined = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(1), F.col("_n"))).alias("_one")).drop("_one")
+    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]))
+    again = joined.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(1), copies["_n"])).alias("__copy"))
+    return again.drop("__copy")
 
 
 def sql(documents: str = "documents") -> str:

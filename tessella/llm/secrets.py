@@ -120,12 +120,12 @@ def without_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
         return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(fresh, F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit("[secret]"))).otherwise(s["out"]).alias("out"))
 
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("_spans", zero, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_key")), "left")
+    clean = F.aggregate(found["_spans"], zero, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    joined = docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]) & (F.xxhash64(F.coalesce(text, F.lit(""))) == found["_key"]), "left")
     columns = {c: docs[c] for c in docs.columns}
-    columns["text"] = F.when(F.col("_spans").isNull(), text).otherwise(clean)
+    columns["text"] = F.when(found["_spans"].isNull(), text).otherwise(clean)
     if "n_chars" in columns:
-        columns["n_chars"] = F.when(F.col("_spans").isNull(), docs["n_chars"]).otherwise(F.length(clean)).cast(docs.schema["n_chars"].dataType)
+        columns["n_chars"] = F.when(found["_spans"].isNull(), docs["n_chars"]).otherwise(F.length(clean)).cast(docs.schema["n_chars"].dataType)
     return joined.select(*[v.alias(c) for c, v in columns.items()])
 
 

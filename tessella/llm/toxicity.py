@@ -8,7 +8,7 @@ a probability that an earlier one gave to its own training row.
 Labels: ``toxic`` is the table's; a document has an earlier category if it is labelled toxic and holds a seed word of
 it. Tokens are words of letters and the first 6 and 7 bytes of longer words, which catch inflected forms. The telling
 ones are found in the labelled texts: at least MIN_DOCS documents, and a likelihood-ratio statistic of at least MIN_G2
-that points at ``toxic``. Training texts that share a smallest token hash count as copies, once.
+that points at ``toxic``. Training texts that share their smallest hash of five words in a row count as copies, once.
 
 Training reads a sample of labelled documents of about MAX_LABELLED rows (a bound on the digest of the id, from the
 number of labels); scoring reads every whole text.
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.textvec import chunks, mix, tokens
+from tessella.llm.textvec import chunks, mix, shingles, tokens, words
 
 # Seed words of the categories before the last.
 SEEDS = {
@@ -55,7 +55,11 @@ def _texts(column: pa.Array) -> Iterator[tuple]:
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found, counts, ends, size, copy = [], [], [0], [], []
-        for _, h, of, n_words in _texts(batch.column(1)):
+        for _, data, offsets in chunks(batch.column(1)):
+            runs, at = words(data, offsets, letters_only=True)
+            runs = mix(shingles(runs, 5), 9)
+            copy += [int(runs[a : b - 4].min().view(np.int64)) if b - a >= 5 else 0 for a, b in zip(at, at[1:], strict=False)]
+            h, of, n_words = tokens(data, offsets, PREFIXES)
             order = np.lexsort((h, of))
             h, of = h[order], of[order]
             new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])))[: len(h)])
@@ -63,9 +67,7 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts.append(np.diff(np.append(new, len(h))).astype(np.int32))
             per = np.bincount(of[new], minlength=len(n_words))
             size.append(n_words)
-            scrambled, at = mix(h[new], 9), np.cumsum([0, *per])
-            copy += [int(scrambled[a:b].min().view(np.int64)) if b > a else 0 for a, b in zip(at, at[1:], strict=False)]
-            ends += list(ends[-1] + at[1:])
+            ends += list(ends[-1] + np.cumsum(per))
         flat = lambda parts, kind: pa.array(np.concatenate([*parts, np.zeros(0, kind)]))
         at = pa.array(np.array(ends, np.int32))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(at, flat(found, np.int64)), pa.ListArray.from_arrays(at, flat(counts, np.int32)), flat(size, np.int64), pa.array(copy, pa.int64())], ["toxic", "tokens", "counts", "n_words", "copy"])
@@ -150,12 +152,14 @@ class Chain:
             out.append(predict(w, np.column_stack([x, *map(logit, out)])))
         return np.column_stack(out)
 
-    def score(self, column: pa.Array) -> np.ndarray:
-        parts = [self.probabilities(self.features(*found)) for _, *found in _texts(column)]
-        return np.concatenate(parts) if parts else np.zeros((0, len(self.weights)))
-
-    def flags(self, p: np.ndarray) -> np.ndarray:
-        return (p[:, -1] >= THRESHOLD) & self.able
+    def score(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(probabilities of the categories, whether each text is toxic: the last one's, and a telling token at all)."""
+        p, flags = [np.zeros((0, len(self.weights)))], [np.zeros(0, bool)]
+        for _, *found in _texts(column):
+            x = self.features(*found)
+            p.append(self.probabilities(x))
+            flags.append((p[-1][:, -1] >= THRESHOLD) & (x[:, :-1].sum(axis=1) > 0) & self.able)
+        return np.concatenate(p), np.concatenate(flags)
 
 
 def train(sample: pa.Table) -> Chain:
@@ -194,8 +198,8 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = chain.score(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in p.T.copy()), pa.array(chain.flags(p))], names)
+            p, flags = chain.score(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in p.T.copy()), pa.array(flags)], names)
 
     schema = "doc_id long, " + ", ".join(f"p_{c} double" for c in CATEGORIES) + ", toxic boolean"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(apply, schema)
@@ -207,6 +211,6 @@ def clean(docs: DataFrame, chain: Chain) -> DataFrame:
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(~chain.flags(chain.score(batch.column(at)))))
+            yield batch.filter(pa.array(~chain.score(batch.column(at))[1]))
 
     return docs.mapInArrow(apply, docs.schema)
