@@ -60,9 +60,9 @@ def grpo_passk(df: DataFrame, normalise: bool = True, eps: float = 1e-6) -> Data
     n, _, std, _ = _group()
     by = W.partitionBy("uid").orderBy(F.desc("score"), "sample_id")
     lead = F.col("score") - F.lead("score").over(by)
-    lead = F.when(n < 2, F.raise_error(F.lit("pass@k needs two responses a group")).cast("double")).otherwise(lead)
     best = F.row_number().over(by) == 1
-    return df.withColumn("adv", F.when(best | (n < 2), lead / (std + eps) if normalise else lead).otherwise(0.0))
+    alone = F.raise_error(F.lit("pass@k needs two responses a group")).cast("double")
+    return df.withColumn("adv", F.when(n < 2, alone).when(best, lead / (std + eps) if normalise else lead).otherwise(0.0))
 
 
 @register("rloo")

@@ -16,7 +16,6 @@ from tessella.operators.correction import clamp
 from tessella.operators.masked import aggregate_loss, masked_mean
 
 LOSSES: dict[str, tuple[Callable[..., DataFrame], str | None]] = {}
-BY_SAMPLE = W.partitionBy("sample_id")
 
 
 def register(name: str, mode: str | None = None):
@@ -66,8 +65,9 @@ def clip_fractions(t: DataFrame, low: float = 0.2, high: float = 0.2, dual: floa
 
 
 def _mean_over_sample(x: Column, floor: bool = True) -> Column:
-    n = F.sum("mask").over(BY_SAMPLE)
-    return F.sum(x * F.col("mask")).over(BY_SAMPLE) / (F.greatest(n, F.lit(1)) if floor else n + 1e-8)
+    w = W.partitionBy("sample_id")
+    n = F.sum("mask").over(w)
+    return F.sum(x * F.col("mask")).over(w) / (F.greatest(n, F.lit(1)) if floor else n + 1e-8)
 
 
 @register("gspo", "seq-mean-token-mean")
