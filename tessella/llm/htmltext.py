@@ -46,6 +46,8 @@ HINTS = set(
     "signup skip social sponsor sponsored sponsors subscribe subscription tags teaser thread toc toolbar topbar trending warning alert "
     "widget widgets complementary contentinfo".split()
 )
+#: First words of names that describe the page around, as in has-sidebar.
+ABOUT = {"has", "with", "no", "without", "layout"}
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?:{SILENT})\b[^>]*>.*?(?:</(?:{SILENT})\s*>|\Z)|<[/!?]?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|\Z)|<!?[/?]?[a-zA-Z][^>]*(?:>|\Z)", re.S | re.I)
 _NAME = re.compile(r"</?\s*([a-zA-Z][a-zA-Z0-9]*)")
 _HINT = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -57,8 +59,10 @@ FEATURES = ("in_main", "side", "hint", "heading", "item", "words", "link_density
 def _hinted(tag: str) -> bool:
     for m in _HINT.finditer(tag):
         value = next(g for g in (*m.groups(), "") if g is not None)
-        if any(p.lower() in HINTS for p in _PIECE.findall(value)):
-            return True
+        for one in value.split():
+            pieces = [p.lower() for p in _PIECE.findall(one)]
+            if pieces and pieces[0] not in ABOUT and any(p in HINTS for p in pieces):
+                return True
     return bool(_HIDDEN.search(tag))
 
 

@@ -292,6 +292,7 @@ def test_tree_separates_its_training_rows():
         ("<nav><a href=x>Home</a></nav><article><h1>A &amp; B</h1><p>x&nbsp;y<br>z<p>Short.</article><footer>&copy; me</footer>", "A & B\nx y z\nShort."),
         ("<main><p>one</p><aside><p>two</p></aside><form><label>three</label></form><div class='user-comments'><article><p>four</p></article></div><p>five</p></main>", "one\nfive"),
         ("<body><div id=menu><a>a</a> <a>b</a></div><div><h1>Title here</h1><p>" + "w " * 40 + "</p><p>ok.</p><p>" + "v " * 30 + "</p></div></body>", "Title here\n" + ("w " * 40).strip() + "\nok.\n" + ("v " * 30).strip()),
+        ("<div class='page has-sidebar'><article><p>kept</p></article><div class='sidebar'><p>" + "s " * 40 + "</p></div></div>", "kept"),
         ("<p>unclosed <!-- gone", ""),
     ],
 )
