@@ -15,8 +15,9 @@ The best of each cell are merged by query. Ties go to the smaller vec_id.
 
 Defined cases: vectors that are null, empty, or hold null or non-finite components take no part, as query or candidate;
 vectors of different lengths do not meet; rows with a null id take no part; a query's own row is left out by its id, so
-rows that repeat an id are not each other's candidates; a query without candidates gives no row; other columns are
-ignored, whatever their names. Components must be below 2**40 in size, so that scores fit in 64 bits.
+rows that repeat an id are not each other's candidates, and rows that
+repeat id and score count once; a query without candidates gives no row; other columns are
+ignored, whatever their names. Components must be below 2**15 in size, so that bounds are exact.
 """
 
 from __future__ import annotations
