@@ -162,11 +162,24 @@ def unfold_chunks(df: DataFrame, columns: Sequence[str], pieces: int, name: str
     return out.withColumns({c: F.slice(c, F.col(name) * size(c) + 1, size(c)) for c in columns})
 
 
-def trajectory_numbers(df: DataFrame, index: str, order: Sequence[str], name: str = "rollout_n") -> DataFrame:
-    """Run-length counter over consecutive equal values of ``index``, from 0."""
-    w = W.orderBy(*order)
-    run = F.sum(F.when(F.lag(index).over(w).eqNullSafe(F.col(index)), 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0))
-    return df.withColumn("_run", run).withColumn(name, F.row_number().over(W.partitionBy("_run").orderBy(*order)) - 1).drop("_run")
+def trajectory_numbers(df: DataFrame, index: str, order: Sequence[str], name: str = "rollout_n", block: int = 1 << 16) -> DataFrame:
+    """Run-length counter over consecutive equal values of ``index``, from 0.
+
+    Ordinals are dealt to blocks. In a block a row's run begins at the last change before it; where there is none, at
+    the last change of the blocks before, which is a running maximum over a table of one row a block.
+    """
+    rows = with_ordinal(df, order, "_o").withColumn("_b", F.floor(F.col("_o") / block))
+    ends = rows.groupBy("_b").agg(F.max_by(F.struct(index), "_o").alias("_end"))
+    rows = rows.join(ends.select((F.col("_b") + 1).alias("_b"), F.col("_end")[index].alias("_end")), "_b", "left")
+    w = W.partitionBy("_b").orderBy("_o")
+    before = F.when(F.row_number().over(w) == 1, F.col("_end")).otherwise(F.lag(index).over(w))
+    begins = F.when((F.col("_o") == 0) | ~before.eqNullSafe(F.col(index)), F.col("_o"))
+    rows = rows.withColumn("_s", begins)
+    last = rows.groupBy("_b").agg(F.max("_s").alias("_m"))
+    carried = F.max("_m").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.join(last.select("_b", carried.alias("_c")), "_b")
+    here = F.last("_s", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
+    return rows.withColumn(name, F.col("_o") - F.coalesce(here, F.col("_c"))).drop("_o", "_b", "_end", "_s", "_c")
 
 
 def prefixed(df: DataFrame, prefix: str) -> DataFrame:

@@ -135,6 +135,17 @@ def test_batch_round_trips(spark):
     assert [r.k for r in B.pick(df, ["k"], [3, 3, 1]).orderBy("ord").collect()] == [3, 3, 1]
 
 
+def test_trajectory_numbers_over_blocks(spark):
+    values = [None, None, 1, 1, 1, 1, 2, 2, 1, None, 3, 3, 3, 3, 3, 3, 3]
+    df = spark.createDataFrame(list(enumerate(values)), "k int, g int")
+    want, n = [], 0
+    for i, v in enumerate(values):
+        n = n + 1 if i and v == values[i - 1] else 0
+        want.append(n)
+    for block in (2, 3, 100):
+        assert [r.rollout_n for r in B.trajectory_numbers(df, "g", ["k"], block=block).orderBy("k").collect()] == want
+
+
 def test_majority_takes_the_first_seen(spark):
     df = spark.createDataFrame([(1, "B", 0.1, 0), (1, "A", 0.9, 1), (1, "A", 0.5, 2), (1, "B", 0.2, 3)], "uid int, pred string, val double, ord int")
     assert tuple(groups.majority(df, ["uid"], "pred", "val", "ord").first()) == (1, "B", 0.1, 2)
