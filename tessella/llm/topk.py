@@ -6,10 +6,11 @@ CANDIDATES vectors, so that every query meets every candidate in one cell and no
 In a cell every dimension is a list of the candidates sorted by value. The lists are only read in sequence, from both
 ends at once (a negative query component wants small values): after a round the unread values of list d lie between two
 borders. A candidate's score then lies between its read part plus the least, and plus the most, that its unread
-dimensions can add. The k-th best lower bound of a query is its floor; a candidate whose upper bound is below it is out,
-and a candidate that no list has shown yet has the bound of the borders alone. Reading ends when for every query of the
-cell the candidates that are left are few, or the lists are read; their final scores are resolved exactly, in integers.
-All queries of a cell share the reads, as rows of one matrix.
+dimensions can add. The k-th best lower bound of a query, where every other id counts with its best row and the query's
+own id not at all, is its floor; a candidate whose upper bound is below it is out, and a candidate that no list has shown
+yet has the bound of the borders alone. Reading ends when for every query of the cell the candidates that are left are
+few, or the lists are read; their final scores are resolved exactly, in integers. All queries of a cell share the reads,
+as rows of one matrix.
 
 The best of each cell are merged by query. Ties go to the smaller vec_id.
 
@@ -46,7 +47,7 @@ def integers(vectors: DataFrame) -> DataFrame:
 
 
 def nra(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """``(query id, candidate id, score)``, the k best of each query; rows of q and c are integer vectors.
+    """``(query id, candidate id, score)``, the k best of each query without repeats; rows of q and c are integer vectors.
 
     What the lists have shown after some reads are the entries whose place in their list is before ``lo`` or from
     ``hi`` on, so the read parts and the bounds of all queries and candidates are products of matrices.
@@ -57,7 +58,10 @@ def nra(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: i
     np.put_along_axis(place, order, np.broadcast_to(np.arange(n)[:, None], (n, d)), axis=0)
     lists = np.take_along_axis(c, order, axis=0).astype(float)
     qf, cf = q.astype(float), c.astype(float)
-    nth = n - min(k + 1, n)  # one more than k, as the query's own row may be among them
+    by_id = np.argsort(c_ids, kind="stable")
+    first = np.flatnonzero(np.diff(c_ids[by_id], prepend=c_ids[by_id[0]] - 1))  # where the rows of an id begin
+    own = q_ids[:, None] == c_ids
+    nth = len(first) - min(k, len(first))
     for unread in (*UNREAD, 0.0):
         lo = min(int(n * (1 - unread) / 2), n)
         hi = n - lo if unread else lo
@@ -68,15 +72,17 @@ def nra(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: i
             x, y = qf * lists[lo], qf * lists[hi - 1]
             hidden = (~seen).astype(float).T
             lower, upper = lower + np.minimum(x, y) @ hidden, lower + np.maximum(x, y) @ hidden
-        alive = upper >= np.partition(lower, nth, axis=1)[:, nth, None]
+        lower = np.where(own, -np.inf, lower)
+        if len(first) < n:
+            lower = np.maximum.reduceat(lower[:, by_id], first, axis=1)
+        alive = ~own & (upper >= np.partition(lower, nth, axis=1)[:, nth, None])
         if alive.sum(axis=1).max() <= FEW * k:
             break
     out = []
     for i in range(len(q)):
-        rows = np.flatnonzero(alive[i] & (c_ids != q_ids[i]))
-        score = c[rows] @ q[i]
-        best = np.lexsort((c_ids[rows], -score))[:k]
-        out += [(int(q_ids[i]), int(c_ids[rows[b]]), int(score[b])) for b in best]
+        rows = np.flatnonzero(alive[i])
+        pairs = np.unique(np.stack([-(c[rows] @ q[i]), c_ids[rows]], axis=1), axis=0)[:k]
+        out += [(int(q_ids[i]), int(b), -int(score)) for score, b in pairs]
     return out
 
 
@@ -94,7 +100,7 @@ def _cell(table: pa.Table, k: int) -> pa.Table:
 def search(vectors: DataFrame, is_query: Column | None = None, k: int = K) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k best candidates of every query, which is by default every row whose id
     is divisible by EVERY. Candidates are all rows with another id."""
-    all_ = scratch.save(integers(vectors), "vectors")
+    all_ = scratch.save(integers(vectors).dropDuplicates(["id", "v"]), "vectors")
     queries = scratch.save(all_.filter(F.pmod("id", F.lit(EVERY)) == 0 if is_query is None else is_query), "queries")
     q_blocks = max(1, -(-queries.count() // QUERIES))
     c_blocks = max(1, -(-all_.count() // CANDIDATES))

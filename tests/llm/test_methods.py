@@ -227,6 +227,20 @@ def test_search_over_several_cells(spark, monkeypatch):
     assert sorted(tuple(r) for r in topk.search(df).collect()) == want
 
 
+def test_search_with_repeated_rows(spark):
+    rng = np.random.default_rng(4)
+    rows = {i: [float(v) for v in rng.integers(-9, 10, 6)] for i in (50, *range(1, 21))}
+    rows[50], rows[1] = [20.0] * 6, [15.0] * 6  # the best candidate of 50 is 1, and 50 is its own best
+    many = [(i, x) for i, x in rows.items() for _ in range(8 if i in (1, 50) else 1)]
+    # id 2 has further vectors of equal score: each of its scores counts once
+    many += [(2, [10.0 + d, 10.0 - d, 10.0, 10.0, 10.0, 10.0]) for d in range(1, 8)]
+    score = lambda a, b: int(sum(65536 * x * y for x, y in zip(a, b, strict=True)))
+    found = {(i, score(rows[50], x)) for i, x in many if i != 50}
+    want = [(50, k + 1, i, s) for k, (i, s) in enumerate(sorted(found, key=lambda f: (-f[1], f[0]))[:5])]
+    df = spark.createDataFrame(many, "vec_id long, embedding array<float>")
+    assert sorted(tuple(r) for r in topk.search(df).collect()) == want
+
+
 # --- mixing ----------------------------------------------------------------------------------------------------------------
 
 
