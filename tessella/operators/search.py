@@ -1,21 +1,63 @@
-"""Vector top-k for a few stated queries against all rows."""
+"""Vector top-k of a table of queries against all rows.
+
+Queries and candidates are dealt to cells of about QUERIES by CANDIDATES vectors, so that every query meets every
+candidate in one cell, a product of matrices; the best of the cells are merged by query.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-MAX_QUERIES = 1000
+QUERIES, CANDIDATES = 256, 4096
+
+
+def _best(table: pa.Table, k: int) -> pa.Table:
+    """``query_id, vec_id, score``: the k best rows of a cell for each of its queries."""
+    is_query, ids = table["is_query"].to_numpy(), table["id"].to_numpy()
+    v = np.concatenate([x.flatten().to_numpy() for x in table["v"].chunks]).reshape(len(ids), -1).astype(float)
+    q_ids, c_ids = ids[is_query], ids[~is_query]
+    found: list[tuple] = []
+    if len(q_ids) and len(c_ids):
+        with np.errstate(invalid="ignore"):
+            score = np.round(v[is_query] @ v[~is_query].T, 6)
+        own = q_ids[:, None] == c_ids
+        size = np.where(own, -np.inf, np.where(np.isnan(score), np.inf, score))  # NaN is the largest, as in Spark's order
+        nth = len(c_ids) - min(k, len(c_ids))
+        alive = ~own & (size >= np.partition(size, nth, axis=1)[:, nth, None])
+        for i, q in enumerate(q_ids):
+            rows = np.flatnonzero(alive[i])
+            s = score[i, rows]
+            best = rows[np.lexsort((c_ids[rows], -s, ~np.isnan(s)))[:k]]
+            found += [(q, c_ids[b], score[i, b]) for b in best]
+    columns = list(zip(*found, strict=True)) or [[], [], []]
+    kinds = (pa.int64(), pa.int64(), pa.float64())
+    return pa.table([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["query_id", "vec_id", "score"])
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """``query_id, vec_id, score, rank`` by inner product, other ids only. Queries are counted first: more than
-    MAX_QUERIES are an error, as each meets every vector."""
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q"))
-    if q.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries")
-    product = F.aggregate(F.zip_with("_q", "embedding", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    pairs = vectors.select("vec_id", "embedding").join(F.broadcast(q), F.col("vec_id") != F.col("query_id"))
+    """``query_id, vec_id, score, rank`` by inner product to 6 places, other ids only; ties go to the smaller id.
+
+    Rows with a null id and vectors that are null, empty or hold a null have no product and take no part; vectors of
+    different lengths do not meet.
+    """
+    fine = F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull())
+    rows = lambda df: df.filter(fine).select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("v"), F.size("embedding").alias("dim"))
+    q, c = rows(queries), rows(vectors)
+    q_blocks, c_blocks = max(1, -(-q.count() // QUERIES)), max(1, -(-c.count() // CANDIDATES))
+
+    def deal(n: int) -> Column:
+        return F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(n)).cast("int")
+
+    def spread(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    # dealt first: beside an explode, the number of a row would be that of a copy, and a query's copies would part
+    q, c = q.withColumn("qb", deal(q_blocks)), c.withColumn("cb", deal(c_blocks))
+    both = q.select("*", F.lit(True).alias("is_query"), spread(c_blocks).alias("cb")).unionByName(c.select("*", F.lit(False).alias("is_query"), spread(q_blocks).alias("qb")))
+    best = both.groupBy("dim", "qb", "cb").applyInArrow(lambda t: _best(t, k), "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return pairs.select("query_id", "vec_id", F.round(product, 6).alias("score")).withColumn("rank", rank).filter(F.col("rank") <= k)
+    return best.withColumn("rank", rank).filter(F.col("rank") <= k)

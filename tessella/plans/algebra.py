@@ -282,6 +282,14 @@ def t06(spark, d):
     return top_k(e.filter("vec_id < 8"), e, 5)
 
 
+@query("t06_vector_topk_all", "WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id, round(list_sum(list_transform(range(1, 65), lambda i: CAST(e[i] AS DOUBLE) * CAST(embedding[i] AS DOUBLE))), 6) AS score FROM embeddings, q WHERE vec_id <> query_id) SELECT query_id, vec_id, score, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s) WHERE k <= 5")
+def t06_all(spark, d):
+    from tessella.operators.search import top_k
+
+    e = table(spark, d, "embeddings")
+    return top_k(e.filter("vec_id % 50 = 0"), e, 5)
+
+
 @query("t07_batches", "WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS rn, count(*) OVER () AS n FROM documents) SELECT doc_id, CAST(rn // 96 AS INTEGER) AS batch FROM o WHERE rn // 96 < n // 96")
 def t07(spark, d):
     return B.batches(table(spark, d, "documents").select("doc_id"), ["doc_id"], 96)

@@ -9,7 +9,7 @@ from tessella.functions import answers, scoring
 from tessella.operators import advantage as A
 from tessella.operators import batch as B
 from tessella.operators import correction as C
-from tessella.operators import groups, losses, masked, metrics, partition
+from tessella.operators import groups, losses, masked, metrics, partition, search
 from tessella.plans import registry
 from tessella.sources import datasets
 from tessella.streaming import rollouts as Z
@@ -135,6 +135,20 @@ def test_batch_round_trips(spark):
     assert [r.k for r in B.pick(df, ["k"], [3, 3, 1]).orderBy("ord").collect()] == [3, 3, 1]
 
 
+def test_vector_search_of_many_queries(spark, monkeypatch):
+    monkeypatch.setattr(search, "CANDIDATES", 500, raising=False)
+    x = [(i, [float(i * 37 % 101), float(-(i * 53 % 89)), float(i % 7)]) for i in range(1200)]
+    x += [(None, [1.0, 1.0, 1.0]), (2000, None), (2001, [None, 1.0, 1.0]), (2002, [9.0])]
+    df = spark.createDataFrame(x, "vec_id long, embedding array<float>")
+    got = {}
+    for r in search.top_k(df, df, 3).collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    assert got.keys() == set(range(1200))
+    for q in (0, 1, 599, 1199):
+        score = {i: sum(a * b for a, b in zip(x[q][1], v, strict=True)) for i, v in x[:1200] if i != q}
+        assert [got[q][k] for k in (1, 2, 3)] == sorted(score.items(), key=lambda s: (-s[1], s[0]))[:3]
+
+
 def test_trajectory_numbers_over_blocks(spark):
     values = [None, None, 1, 1, 1, 1, 2, 2, 1, None, 3, 3, 3, 3, 3, 3, 3]
     df = spark.createDataFrame(list(enumerate(values)), "k int, g int")
