@@ -50,6 +50,18 @@ def pick(df: DataFrame, order: Sequence[str], indices: Sequence[int], name: str
     return with_ordinal(df, order, "_o").join(wanted, F.col("_o") == F.col("_rn")).drop("_o", "_rn")
 
 
+def reorder(df: DataFrame, order: Sequence[str], permutation: DataFrame, name: str = "ord") -> DataFrame:
+    """All rows in the order of a permutation, which column ``name`` carries: row ``ord`` of the result is the row with
+    ordinal ``rn`` (columns of ``permutation``). One that does not name every ordinal once is an error."""
+    rows = with_ordinal(df, order, "_rn")
+    to = permutation.select(F.col("rn").cast("long").alias("_to"), F.col("ord").cast("long").alias(name))
+    n = df.count()
+    named = permutation.filter(F.col("rn").between(0, n - 1) & F.col("ord").between(0, n - 1)).agg(F.count("*"), F.countDistinct("rn"), F.countDistinct("ord"))
+    if tuple(named.first()) != (n, n, n) or permutation.count() != n:
+        raise ValueError(f"not a permutation of {n} rows")
+    return rows.join(to, F.col("_rn") == F.col("_to")).drop("_rn", "_to")
+
+
 def where(df: DataFrame, mask: Column) -> DataFrame:
     """Rows for which a boolean mask is true."""
     return df.filter(mask)

@@ -62,6 +62,13 @@ def p08(spark, d):
     return B.pick(B.select(ev(spark, d), ["sample_id", "score"]), KEY, range(99, -1, -1))
 
 
+@query("p08_reorder_all", f"WITH {RN} SELECT (SELECT count(*) FROM ev) - 1 - rn AS ord, sample_id, score FROM o")
+def p08_all(spark, d):
+    e = B.select(ev(spark, d), ["sample_id", "score"])
+    n = e.count()
+    return B.reorder(e, KEY, spark.range(n).select(F.col("id").alias("ord"), (n - 1 - F.col("id")).alias("rn")))
+
+
 @query("p09_union_columns", f"WITH {EV} SELECT uid, sample_id, score, pred FROM ev")
 def p09(spark, d):
     e = ev(spark, d)

@@ -135,6 +135,17 @@ def test_batch_round_trips(spark):
     assert [r.k for r in B.pick(df, ["k"], [3, 3, 1]).orderBy("ord").collect()] == [3, 3, 1]
 
 
+def test_reorder_keeps_every_row(spark):
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(0, 1000, 2)], "k long, t string")
+    places = spark.range(500).select(F.col("id").alias("ord"), (F.col("id") * 7 % 500).alias("rn"))
+    got = B.reorder(df, ["k"], places).orderBy("ord").collect()
+    assert [(r.ord, r.k, r.t) for r in got] == [(i, 2 * (i * 7 % 500), f"t{2 * (i * 7 % 500)}") for i in range(500)]
+    assert registry.queries()["p08_reorder_all"](spark, SF).count() == spark.read.parquet(f"{SF}/events.parquet").count()
+    for bad in (places.filter("ord < 499"), places.withColumn("rn", F.col("rn") % 499), places.withColumn("rn", F.col("rn") + 1)):
+        with pytest.raises(ValueError, match="permutation"):
+            B.reorder(df, ["k"], bad)
+
+
 def test_vector_search_of_many_queries(spark, monkeypatch):
     monkeypatch.setattr(search, "CANDIDATES", 500, raising=False)
     x = [(i, [float(i * 37 % 101), float(-(i * 53 % 89)), float(i % 7)]) for i in range(1200)]
