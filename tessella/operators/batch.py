@@ -30,7 +30,7 @@ def rename(df: DataFrame, old: Sequence[str], new: Sequence[str]) -> DataFrame:
     return df.withColumnsRenamed(dict(zip(old, new, strict=True)))
 
 
-def with_ordinal(df: DataFrame, order: Sequence[str], name: str = "rn") -> DataFrame:
+def with_ordinal(df: DataFrame, order: Sequence[str | Column], name: str = "rn") -> DataFrame:
     """Ordinals from 0 in the order of a key, without bringing all rows to one task.
 
     Rows are dealt by ranges of the key and sorted in their partitions; a partition's ordinals begin where the counts

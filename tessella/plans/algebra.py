@@ -275,6 +275,12 @@ def t02(spark, d):
     return ev(spark, d).select("sample_id", F.coalesce(above(50), above(25), F.lit(0.0)).alias("s")).orderBy(F.desc("s"), "sample_id").limit(200)
 
 
+@query("t02_sort_scores_all", f"WITH {EV}, f AS (SELECT sample_id, coalesce(CASE WHEN score > 50 THEN score END, CASE WHEN score > 25 THEN score END, 0.0) AS s FROM ev) SELECT sample_id, s, row_number() OVER (ORDER BY s DESC NULLS LAST, sample_id) - 1 AS rn FROM f")
+def t02_all(spark, d):
+    above = lambda t: F.when(F.col("score") > t, F.col("score"))
+    return B.with_ordinal(ev(spark, d).select("sample_id", F.coalesce(above(50), above(25), F.lit(0.0)).alias("s")), [F.desc("s"), "sample_id"])
+
+
 @query("t03_top2_per_group", f"WITH {EV} SELECT uid, sample_id, score, CAST(k AS INTEGER) AS k FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score DESC, sample_id) AS k FROM ev) WHERE k <= 2")
 def t03(spark, d):
     k = F.row_number().over(W.partitionBy("uid").orderBy(F.desc("score"), "sample_id"))

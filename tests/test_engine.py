@@ -146,6 +146,15 @@ def test_reorder_keeps_every_row(spark):
             B.reorder(df, ["k"], bad)
 
 
+def test_sort_of_scores_reaches_the_fallbacks(spark):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    got = [(r.rn, r.s) for r in registry.queries()["t02_sort_scores_all"](spark, SF).orderBy("rn").collect()]
+    assert [rn for rn, _ in got] == list(range(events.count()))
+    s = [s for _, s in got]
+    assert s == sorted((v if v > 25 else 0.0 for v in (r.value for r in events.select("value").collect())), reverse=True)
+    assert s[-1] == 0.0 and any(25 < v <= 50 for v in s)
+
+
 def test_vector_search_of_many_queries(spark, monkeypatch):
     monkeypatch.setattr(search, "CANDIDATES", 500, raising=False)
     x = [(i, [float(i * 37 % 101), float(-(i * 53 % 89)), float(i % 7)]) for i in range(1200)]
