@@ -1,7 +1,7 @@
 """Main text of web pages: flat text blocks, shallow features, a decision tree.
 
-A page is cut into blocks at block-level tags; scripts, styles, comments, the head and form controls give no text. A
-block's features are its words and link density, those of the blocks before and after it, whether it is a heading or
+A page is cut into blocks at block-level tags; scripts, styles, templates, comments, the head, form controls, drawings
+(svg, canvas), frames and players give no text. A block's features are its words and link density, those of the blocks before and after it, whether it is a heading or
 a list item, whether it stands in an article or main part, whether the nearest part around it is one for navigation,
 headers, footers, asides or forms, and whether a class, id or role around it names such a part. The tree is grown from
 TRAINING, a table of labelled blocks, when the module is loaded.
@@ -10,7 +10,7 @@ Character references are decoded, white space inside a block (also a line break
 blocks are joined by a line feed in page order.
 
 Defined cases: null or empty html, and pages without main text, give an empty text; tags that are not closed end with
-the part around them; a page cut off in a tag or a script ends there; repeated rows are extracted alike; columns other
+the part around them, also those without text; a page cut off in a tag or a script ends there; repeated rows are extracted alike; columns other
 than page_id, url, html are ignored, whatever their names.
 """
 
@@ -36,7 +36,8 @@ PARTS = set("article aside body dialog details div dl fieldset figure footer for
 SIDE = set("aside dialog fieldset footer form head header menu nav".split())
 MAIN = {"article", "main"}
 HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
-SILENT = "script|style|noscript|template|textarea|select|button|svg|iframe|object|canvas|math|video|audio|map"
+RAW = "script|style|template|textarea"
+SILENT = set("select button svg iframe canvas video audio".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 HINTS = set(
     "ad ads adv advert advertisement advertisements advertising adverts adbox banner breadcrumb breadcrumbs byline comment comments commentlist "
@@ -48,7 +49,7 @@ HINTS = set(
 )
 #: First words of names that describe the page around, as in has-sidebar.
 ABOUT = {"has", "with", "no", "without", "layout"}
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?:{SILENT})\b[^>]*>.*?(?:</(?:{SILENT})\s*>|\Z)|<[/!?]?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|\Z)|<!?[/?]?[a-zA-Z][^>]*(?:>|\Z)", re.S | re.I)
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<[/!?]?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|\Z)|<!?[/?]?[a-zA-Z][^>]*(?:>|\Z)", re.S | re.I)
 _NAME = re.compile(r"</?\s*([a-zA-Z][a-zA-Z0-9]*)")
 _HINT = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
@@ -75,6 +76,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool, bool, bool]
     link = 0
     text: list[str] = []
     linked = 0
+    silent: list[str] = []  # the open part without text, and the tags open in it
 
     def flush() -> None:
         nonlocal linked
@@ -87,7 +89,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool, bool, bool]
 
     at = 0
     for m in _TOKEN.finditer(page):
-        if m.start() > at:
+        if m.start() > at and not silent:
             piece = entities.unescape(page[at : m.start()])
             text.append(piece)
             if link:
@@ -99,6 +101,15 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool, bool, bool]
             continue
         name = named.group(1).lower()
         closing = tag[1] == "/"
+        mute = name in SILENT and tag[named.end() : named.end() + 1] in " \t\n\r\f/>"  # not <video-player>
+        if silent and closing and name not in silent and (name in BLOCK or name == "span" or (name == "a" and link)):
+            silent.clear()  # the part around it ends
+        if silent or mute:
+            if name in silent and (closing or (mute and name != "svg")):  # a second button ends the first
+                del silent[len(silent) - 1 - silent[::-1].index(name) :]
+            if not closing and not tag.endswith("/>") and name not in VOID and (mute or (silent and (name in BLOCK or name in ("span", "a")))):
+                silent.append(name)
+            continue
         if name == "br":
             text.append(" ")
             continue
@@ -134,7 +145,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool, bool, bool]
             if name in MAIN and not closing and any(p[3] or (p[2] and p[0] != "body") for p in parts[:-1]):
                 parts[-1] = (name, True, True, True)  # an article quoted in a comment or an aside
                 state = parts[-1][1:]
-    if at < len(page):
+    if at < len(page) and not silent:
         text.append(entities.unescape(page[at:]))
     flush()
     return out

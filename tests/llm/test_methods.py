@@ -314,6 +314,23 @@ def test_main_text(page, text):
     assert htmltext.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("inner", "text"),
+    [
+        ("<p>one <svg width='1'/> two <math/> three</p><p>four <button>no</button> five</p>", "one two three\nfour five"),
+        ("<p>one <video-player src=x>two</video-player> three</p><p><button-group>four</button-group> <map-view>five</map-view></p>", "one two three\nfour five"),
+        ("<p>one <button>no</p><p>two <svg><a>no</p><p>three</p><ul><li>four <select><option>no</li><li>five</li></ul>", "one\ntwo\nthree\nfour\nfive"),
+        ("<p>one <span><video>no</span> two <a href=x><canvas>no</a> three <object data=x> four <map> five</p><p>six</p>", "one two three four five\nsix"),
+        ("<p>let <math><mi>x</mi> = <mn>2</mn></math> be <object>a</object> <noscript>b</noscript></p>", "let x = 2 be a b"),
+        ("<p>one <button><p>no</p>no</button> two <svg><svg><title>no</title></svg>no</svg> three <button>no<button>no</button> four</p>", "one two three four"),
+        ("<p>one <SCRIPT>if (a</style>b) '</p>'</SCRIPT > two <style/>no</style> three <textarea><p>no</textarea> four <script-x>five</script-x></p>", "one two three four five"),
+    ],
+)
+def test_parts_without_text_end_with_the_part_around(inner, text):
+    assert htmltext.main_text(f"<article>{inner}</article>") == text
+    assert htmltext.main_text(f"<article>{inner}<p>last</p></article>") == text + "\nlast"
+
+
 def test_segments_and_verdicts():
     assert urls.Segmenter().split("cheappillsonline") == ["cheap", "pills", "online"]
     model = urls.default_model()
