@@ -16,7 +16,8 @@
 
 Defined cases: a text that is null, empty or white space only has an empty set and no links; a text of fewer than five
 words is one shingle; rows with a null id stand alone (null component, kept); rows that repeat an id get the same
-component where their texts are equal. Other columns are ignored, whatever their names.
+component where their texts are equal; ``keep_one`` goes by rows, not by ids. Other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -233,6 +234,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: rows whose id another document stands for are dropped."""
-    gone = near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """``docs`` with one row of each component of rows: that with the smallest id (null after all others), and of equal
+    ids any one. Where ids repeat or are null, rows are numbered and their numbers take the place of ids."""
+    again = docs.groupBy(F.col("doc_id").cast("long").alias("_doc")).agg(F.count("*").alias("_rows")).filter("_doc IS NULL OR _rows > 1")
+    if again.isEmpty():
+        gone = near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("_gone"))
+        return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    at = "_at" + "_" * max(len(c) for c in docs.columns)  # no column's name
+    numbered = scratch.save(docs.withColumn(at, F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(numbered.select(F.col(at).alias("doc_id"), "text")).select(F.col("doc_id").alias(at), F.col("component_id").alias("_c"))
+    ids = numbered.select(at, F.col("doc_id").cast("long").alias("_doc"))
+    least = F.min(F.struct(F.col("_doc").isNull(), "_doc", at)).alias("_first")
+    first = ids.join(found, at).groupBy("_c").agg(least).select(F.col("_first")[at].alias(at))
+    return numbered.join(first, at, "left_semi").select(*docs.columns)

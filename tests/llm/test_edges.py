@@ -78,6 +78,17 @@ def test_near_duplicates(spark, docs, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    near = PROSE.strip() + " and then"
+    other = " ".join(f"a{i}b" for i in range(40))
+    third = " ".join(f"c{i}d" for i in range(40))
+    texts = [(5, PROSE)] * 6 + [(5, near), (None, PROSE), (7, PROSE), (7, other), (None, third), (None, third), (None, ""), (5, None)]
+    df = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(texts)], "doc_id long, text string, n long").repartition(5)
+    got = [(r.doc_id, r.text) for r in neardup.keep_one(df).collect()]
+    assert len(got) == 5 and {(7, other), (None, third), (None, ""), (5, None)} < set(got)
+    assert [d for d, t in got if t in (PROSE, near)] == [5]
+
+
 def test_token_counts(docs, none):
     got = rows(tokencounts.count(docs))
     assert len(got) == len(ROWS)
