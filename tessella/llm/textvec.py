@@ -32,6 +32,7 @@ _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _LETTER = np.zeros(256, bool)
 _LETTER[ord("a") : ord("z") + 1] = _LETTER[ord("A") : ord("Z") + 1] = True
 _LETTER[128:] = True
+ECHO = np.uint64(1)
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -74,23 +75,38 @@ def words(data: np.ndarray, offsets: np.ndarray, letters_only: bool = False) ->
     return mix((total[ends] - total[starts]) * down[starts], 1), np.searchsorted(starts, offsets)
 
 
-def tokens(data: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, index of each one's text, words a text): all words of letters, and the first bytes of those that are longer."""
+def tokens(data: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...] = (), marks: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, index of each one's text): all words of letters and the first characters of those that are longer; with
+    ``marks`` also the runs of other characters that are not white space, and ECHO for a word like the two before it."""
     starts, ends, total, down = _spans(data, offsets, True)
     of = np.searchsorted(offsets, starts, side="right") - 1
     found, where = [mix((total[ends] - total[starts]) * down[starts], 1)], [of]
-    for k in prefixes:
-        long = starts + k < ends
-        a = starts[long]
-        found.append(mix((total[a + k] - total[a]) * down[a], 100 + k))
-        where.append(of[long])
-    return np.concatenate(found), np.concatenate(where), np.bincount(of, minlength=len(offsets) - 1)
-
-
-def _spans(data: np.ndarray, offsets: np.ndarray, letters_only: bool) -> tuple[np.ndarray, ...]:
-    """(starts and ends of words, running sums of the bytes' values, powers that bring a sum back to its start)."""
+    if prefixes:
+        heads = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # first bytes of characters, and the end
+        at = np.searchsorted(heads, starts)
+        for k in prefixes:
+            stop = heads[np.minimum(at + k, len(heads) - 1)]
+            long = stop < ends
+            a = starts[long]
+            found.append(mix((total[stop[long]] - total[a]) * down[a], 100 + k))
+            where.append(of[long])
+    if marks:
+        a, b, total, down = _spans(data, offsets, ~_LETTER & ~_SPACE)
+        found.append(mix((total[b] - total[a]) * down[a], 99))
+        where.append(np.searchsorted(offsets, a, side="right") - 1)
+        again = np.flatnonzero((found[0][2:] == found[0][1:-1]) & (found[0][2:] == found[0][:-2]) & (of[2:] == of[:-2]))
+        found.append(np.full(len(again), ECHO))
+        where.append(of[again])
+    return np.concatenate(found), np.concatenate(where)
+
+
+def _spans(data: np.ndarray, offsets: np.ndarray, kind: bool | np.ndarray) -> tuple[np.ndarray, ...]:
+    """(starts and ends of words, running sums of the bytes' values, powers that bring a sum back to its start).
+
+    ``kind`` is a table of the bytes that words are made of, or whether they are letters only.
+    """
     n = len(data)
-    inside = _LETTER[data] if letters_only else ~_SPACE[data]
+    inside = kind[data] if isinstance(kind, np.ndarray) else _LETTER[data] if kind else ~_SPACE[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     starts = np.flatnonzero(inside & (edge[:-1] | ~np.concatenate(([False], inside[:-1]))))

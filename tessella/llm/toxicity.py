@@ -1,21 +1,22 @@
 """Toxicity by a chain of linear classifiers.
 
-The categories follow each other: insults, contempt, and the label ``toxic`` itself. Each is a ridge logistic
-regression on the counts of telling tokens and the text's length; from the second on it also sees the log-odds of the
-categories before it. In training these come from models of the other folds, so that a later model never learns from
-a probability that an earlier one gave to its own training row.
+The categories follow each other: unfit texts (labelled of low quality), toxic ones among those, and toxic texts. Each
+is a ridge logistic regression on the counts of telling tokens; from the second on it also sees the log-odds of the
+categories before it. In training these come from models of the other folds, so that a later model never learns from a
+probability that an earlier one gave to its own training row.
 
-Labels: ``toxic`` is the table's; a document has an earlier category if it is labelled toxic and holds a seed word of
-it. Tokens are words of letters and the first 6 and 7 bytes of longer words, which catch inflected forms. The telling
-ones are found in the labelled texts: at least MIN_DOCS documents, and a likelihood-ratio statistic of at least MIN_G2
-that points at ``toxic``. Training texts that share their smallest hash of five words in a row count as copies, once.
+All that the chain knows comes from the table of labels. Tokens are words of letters, the first 4 to 8 characters of
+longer words, which catch inflected forms, and runs of other marks. The telling ones of a category are in at least
+MIN_DOCS of the labelled texts and have a likelihood-ratio statistic for it of at least MIN_G2, which chance alone gives
+once in ten million tokens. Training texts that share their smallest hash of five words in a row count as copies, once.
+A text is toxic if its last probability is at least THRESHOLD.
 
 Training reads a sample of labelled documents of about MAX_LABELLED rows (a bound on the digest of the id, from the
-number of labels); scoring reads every whole text.
+number of labels), and of each the first MAX_TOKENS hashes of its set of tokens, by value; scoring reads every whole text.
 
-Defined cases: a null or empty text has the base probabilities and is not toxic; labels that are null or of unknown
-documents are ignored, and of several labels of a document the largest counts; without both kinds of label nothing is
-toxic; extra columns are carried by ``clean`` and ignored elsewhere, whatever their names.
+Defined cases: a null or empty text has the base probabilities; labels that are null or of unknown documents are
+ignored (a null quality counts as fair), and of several labels of a document the worst counts; without both kinds of
+label, or any telling token, nothing is toxic; extra columns are carried by ``clean`` and ignored elsewhere, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,59 +30,47 @@ from pyspark.sql import functions as F
 
 from tessella.llm.textvec import chunks, mix, shingles, tokens, words
 
-# Seed words of the categories before the last.
-SEEDS = {
-    "insult": ("idiot", "moron", "loser", "clown", "scum", "fool", "imbecile", "jerk"),
-    "contempt": ("stupid", "pathetic", "worthless", "disgusting", "trash", "dumb", "garbage", "filthy"),
-}
-CATEGORIES = (*SEEDS, "toxic")
-MAX_LABELLED = 6_000
-PREFIXES = (6, 7)
-MIN_DOCS, MIN_G2, MAX_WORDS = 4, 25.0, 128
-FOLDS, RIDGE, THRESHOLD = 5, 0.02, 0.5
-SAMPLED = "toxic int, tokens array<long>, counts array<int>, n_words long, copy long"
-
-
-def word_hash(word: str) -> np.uint64:
-    data = np.frombuffer(word.encode(), np.uint8)
-    return tokens(data, np.array([0, len(data)]))[0][0]
-
-
-def _texts(column: pa.Array) -> Iterator[tuple]:
-    for first, data, offsets in chunks(column):
-        yield first, *tokens(data, offsets, PREFIXES)
+#: Their labels are made of the columns quality and toxic of the table.
+CATEGORIES = ("unfit", "toxic_unfit", "toxic")
+MAX_LABELLED, MAX_TOKENS = 6_000, 20_000
+PREFIXES = (4, 5, 6, 7, 8)
+MIN_DOCS, MIN_G2 = 4, 28.4
+FOLDS, RIDGE, THRESHOLD = 5, 0.1, 0.5
+SAMPLED = "toxic int, unfit int, tokens array<long>, counts array<int>, copy long"
 
 
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found, counts, ends, size, copy = [], [], [0], [], []
-        for _, data, offsets in chunks(batch.column(1)):
+        found, counts, ends, copy = [], [], [0], []
+        for _, data, offsets in chunks(batch.column(2)):
             runs, at = words(data, offsets, letters_only=True)
             runs = mix(shingles(runs, 5), 9)
             copy += [int(runs[a : b - 4].min().view(np.int64)) if b - a >= 5 else 0 for a, b in zip(at, at[1:], strict=False)]
-            h, of, n_words = tokens(data, offsets, PREFIXES)
+            h, of = tokens(data, offsets, PREFIXES, marks=True)
             order = np.lexsort((h, of))
             h, of = h[order], of[order]
             new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])))[: len(h)])
-            found.append(h[new].view(np.int64))
-            counts.append(np.diff(np.append(new, len(h))).astype(np.int32))
-            per = np.bincount(of[new], minlength=len(n_words))
-            size.append(n_words)
-            ends += list(ends[-1] + np.cumsum(per))
+            n = np.diff(np.append(new, len(h))).astype(np.int32)
+            first = np.searchsorted(of[new], of[new])
+            few = np.arange(len(new)) - first < MAX_TOKENS
+            found.append(h[new][few].view(np.int64))
+            counts.append(n[few])
+            ends += list(ends[-1] + np.cumsum(np.bincount(of[new][few], minlength=len(offsets) - 1)))
         flat = lambda parts, kind: pa.array(np.concatenate([*parts, np.zeros(0, kind)]))
         at = pa.array(np.array(ends, np.int32))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(at, flat(found, np.int64)), pa.ListArray.from_arrays(at, flat(counts, np.int32)), flat(size, np.int64), pa.array(copy, pa.int64())], ["toxic", "tokens", "counts", "n_words", "copy"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.ListArray.from_arrays(at, flat(found, np.int64)), pa.ListArray.from_arrays(at, flat(counts, np.int32)), pa.array(copy, pa.int64())], ["toxic", "unfit", "tokens", "counts", "copy"])
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
-    """A sample of about ``most`` labelled documents: their label and their tokens."""
-    known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("_t")).filter("_id IS NOT NULL AND _t IS NOT NULL")
-    known = known.groupBy("_id").agg(F.max("_t").alias("_t"))
+    """A sample of about ``most`` labelled documents: their labels and their tokens."""
+    known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("_t"), (F.coalesce(F.col("quality").cast("int"), F.lit(1)) == 0).cast("int").alias("_u"))
+    known = known.filter("_id IS NOT NULL AND _t IS NOT NULL").groupBy("_id").agg(F.max("_t").alias("_t"), F.max("_u").alias("_u"))
     n = known.count()
     share = min(1.0, most / max(n, 1))
     chosen = known.filter(F.pmod(F.xxhash64("_id", F.lit("toxicity")), F.lit(1 << 30)) < int(share * (1 << 30)))
     texts = docs.select(F.col("doc_id").cast("long").alias("_d"), F.col("text").cast("string").alias("_x")).join(F.broadcast(chosen), F.col("_d") == F.col("_id"))
-    return texts.select(F.col("_t").alias("toxic"), F.col("_x").alias("text")).mapInArrow(_sample, SAMPLED)
+    texts = texts.dropDuplicates(["_d"])  # so repeated rows do not exceed the bound
+    return texts.select(F.col("_t").alias("toxic"), F.col("_u").alias("unfit"), F.col("_x").alias("text")).mapInArrow(_sample, SAMPLED)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -102,12 +91,21 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
     a = np.column_stack([x, np.ones(len(x))])
     penalty = np.full(len(w), ridge)
     penalty[-1] = 1e-6
-    for _ in range(12):
+
+    def loss(w: np.ndarray) -> float:
+        z = a @ w
+        return float(np.logaddexp(0, z).sum() - y @ z + 0.5 * penalty @ (w * w))
+
+    now = loss(w)
+    for _ in range(30):
         p = _sigmoid(a @ w)
         step = np.linalg.solve((a * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ a + np.diag(penalty), a.T @ (y - p) - penalty * w)
-        w += step
-        if np.abs(step).max() < 1e-5:
+        size = 1.0
+        while (after := loss(w + size * step)) > now and size > 1e-6:  # a full step may overshoot
+            size /= 2
+        if after >= now - 1e-7 * (1 + now):
             break
+        w, now = w + size * step, after
     return w
 
 
@@ -115,8 +113,8 @@ def predict(w: np.ndarray, x: np.ndarray) -> np.ndarray:
     return _sigmoid(x @ w[:-1] + w[-1])
 
 
-def telling_words(lists: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """Sorted hashes of the words that point at toxic texts most."""
+def telling(lists: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+    """Sorted hashes of the tokens that point at the texts with the label 1."""
     seen, where = np.unique(np.concatenate([*lists, np.zeros(0, np.uint64)]), return_inverse=True)
     if not len(seen):
         return seen
@@ -126,25 +124,23 @@ def telling_words(lists: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     part = lambda k, e: np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / np.maximum(e, 1e-9)), 0.0)
     g2 = 2 * (part(one, both * n1 / n) + part(both - one, both * (n - n1) / n) + part(n1 - one, (n - both) * n1 / n) + part(n - both - n1 + one, (n - both) * (n - n1) / n))
     g2[(both < MIN_DOCS) | (one * n <= both * n1) | (g2 < MIN_G2)] = 0
-    best = np.argsort(-g2, kind="stable")[:MAX_WORDS]
-    return np.sort(seen[best[g2[best] > 0]])
+    return seen[g2 > 0]
 
 
 class Chain:
-    """``vocabulary`` (sorted hashes) and the weights of each category in turn."""
+    """``vocabulary`` (sorted hashes) and the weights of each category in turn; ``able`` if both labels were seen and a token tells."""
 
     def __init__(self, vocabulary: np.ndarray, weights: list[np.ndarray], able: bool):
         self.vocabulary, self.weights, self.able = vocabulary, weights, able
 
-    def features(self, h: np.ndarray, of: np.ndarray, n_words: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
-        n, k = len(n_words), len(self.vocabulary)
-        length = np.log1p(n_words.astype(float))[:, None]
+    def features(self, h: np.ndarray, of: np.ndarray, n: int, counts: np.ndarray | None = None) -> np.ndarray:
+        k = len(self.vocabulary)
         if not k:
-            return length
+            return np.zeros((n, 0))
         place = np.minimum(np.searchsorted(self.vocabulary, h), k - 1)
         hit = np.flatnonzero(self.vocabulary[place] == h)
         found = np.bincount(of[hit] * k + place[hit], None if counts is None else counts[hit], n * k).reshape(n, k)
-        return np.column_stack([np.log1p(found), length])
+        return np.log1p(found)
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         out = []
@@ -153,39 +149,37 @@ class Chain:
         return np.column_stack(out)
 
     def score(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(probabilities of the categories, whether each text is toxic: the last one's, and a telling token at all)."""
-        p, flags = [np.zeros((0, len(self.weights)))], [np.zeros(0, bool)]
-        for _, *found in _texts(column):
-            x = self.features(*found)
-            p.append(self.probabilities(x))
-            flags.append((p[-1][:, -1] >= THRESHOLD) & (x[:, :-1].sum(axis=1) > 0) & self.able)
-        return np.concatenate(p), np.concatenate(flags)
+        """(probabilities of the categories, whether each text is toxic)."""
+        p = [np.zeros((0, len(self.weights)))]
+        for _, data, offsets in chunks(column, most=1024):
+            p.append(self.probabilities(self.features(*tokens(data, offsets, PREFIXES, marks=True), len(offsets) - 1)))
+        p = np.concatenate(p)
+        return p, (p[:, -1] >= THRESHOLD) & self.able
 
 
 def train(sample: pa.Table) -> Chain:
     """Fit the chain on rows of ``labelled``; later categories learn from out-of-fold probabilities of earlier ones."""
-    toxic = sample["toxic"].to_numpy().astype(float).clip(0, 1)
-    copy, n_words = sample["copy"].to_numpy(), sample["n_words"].to_numpy()
+    toxic, unfit = (sample[c].to_numpy().astype(float).clip(0, 1) for c in ("toxic", "unfit"))
+    copy = sample["copy"].to_numpy()
     lists = [np.asarray(x, np.int64).view(np.uint64) for x in sample["tokens"].to_numpy()]
     counts = [np.asarray(x, float) for x in sample["counts"].to_numpy()]
-    order = sorted(range(len(lists)), key=lambda i: (int(copy[i]), toxic[i], len(lists[i]), lists[i].tobytes()))
+    order = sorted(range(len(lists)), key=lambda i: (int(copy[i]), toxic[i], unfit[i], len(lists[i]), lists[i].tobytes()))
     kept = [i for k, i in enumerate(order) if not copy[i] or k == 0 or copy[order[k - 1]] != copy[i]]
-    lists, counts, toxic = [lists[i] for i in kept], [counts[i] for i in kept], toxic[kept]
-    vocabulary = telling_words(lists, toxic)
+    lists, counts, toxic, unfit = [lists[i] for i in kept], [counts[i] for i in kept], toxic[kept], unfit[kept]
+    targets = dict(zip(CATEGORIES, (unfit, unfit * toxic, toxic), strict=True))
+    vocabulary = np.unique(np.concatenate([telling(lists, y) for y in targets.values()]))
     of = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    x = Chain(vocabulary, [], False).features(np.concatenate([*lists, np.zeros(0, np.uint64)]), of, n_words[kept], np.concatenate([*counts, np.zeros(0)]))
-    seeds = {c: np.array([word_hash(s) for s in SEEDS[c]], np.uint64) for c in SEEDS}
+    x = Chain(vocabulary, [], False).features(np.concatenate([*lists, np.zeros(0, np.uint64)]), of, len(lists), np.concatenate([*counts, np.zeros(0)]))
     fold = np.arange(len(lists)) % FOLDS
     weights, before = [], np.zeros((len(lists), 0))
-    for c in CATEGORIES:
-        y = toxic if c == "toxic" else toxic * np.array([np.isin(seeds[c], own).any() for own in lists], float)
+    for y in targets.values():
         a = np.column_stack([x, before])
         weights.append(fit(a, y))
         out = np.zeros(len(y))
         for f in range(FOLDS):
             out[fold == f] = predict(fit(a[fold != f], y[fold != f]), a[fold == f])
         before = np.column_stack([before, logit(out)])
-    return Chain(vocabulary, weights, bool(len(toxic)) and 0 < toxic.sum() < len(toxic))
+    return Chain(vocabulary, weights, len(vocabulary) > 0 and 0 < toxic.sum() < len(toxic))
 
 
 def model(docs: DataFrame, labels: DataFrame) -> Chain:
@@ -193,7 +187,7 @@ def model(docs: DataFrame, labels: DataFrame) -> Chain:
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
-    """``doc_id, p_insult, p_contempt, p_toxic, toxic``, one row for each row of ``docs``."""
+    """``doc_id, p_unfit, p_toxic_unfit, p_toxic, toxic``, one row for each row of ``docs``."""
     names = ["doc_id", *(f"p_{c}" for c in CATEGORIES), "toxic"]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,16 +1,22 @@
 """URL filters: rules first, then words of the host and path in a multinomial naive Bayes model.
 
 Host labels are often words run together. Each label is split where a unigram model makes the split most probable
-(Viterbi): a word of WORDS has the weight of its rank there, an unknown run of letters a weight that falls tenfold with
-each letter. Words of the host, without its last label, and of the path are the tokens. The model is trained on
-EXAMPLES, a table of labelled addresses; a token that it does not know says nothing.
+(Viterbi): a known word has the probability of its count, an unknown run of letters one that falls tenfold with each
+letter. The words of the host and of the path are the tokens.
+
+Both models are learnt from the table of pages. Words are counted over all urls, as letter runs between other
+characters; those with at least 2**-16 of the total count are known, so there are at most 2**16 of them however large the
+table is. Naive Bayes learns from pages that a rule decides, with the rule's verdict as their label: about MAX_ROWS
+different ones (a bound on the digest of the url), and none with crc32(page_id as text) mod 5 = 0, on which it can be
+measured. Both verdicts count as equally probable before a token is seen, and a token that the model does not know says
+nothing, so a page without known tokens is allowed.
 
 Rules ``(host, path, verdict)`` hold for their host and its subdomains where the url's path starts with theirs; the
 longest rule wins. The rule's verdict stands; without a rule the model's does, block where its odds are above even.
 
-Defined cases: a null url or one without ``://`` has an empty host and path, no rule, and is allowed; repeated rows are
-judged alike; columns other than page_id and url are ignored, whatever their names; an empty table gives an empty
-result.
+Defined cases: a null url or one without ``://`` has an empty host and path, no rule, and is allowed; runs of more than
+LONGEST letters are never known words; repeated rows are judged alike; columns other than page_id and url are ignored,
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +25,6 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -34,52 +39,19 @@ RULES = (
     ("org", "/es/", "block"),
 )
 
-# Words of addresses, the more frequent ones first.
-WORDS = (
-    "the of and to in for on is www com net org home page site web blog news info online shop store free best my top "
-    "example test get go new world live life day time city local group media video tv radio music photo art book books "
-    "game games play sport sports travel hotel food recipes health care medical law school university college edu learn "
-    "wiki science tech software code data cloud dev app apps open source library docs help support forum mail post "
-    "daily times journal review guide garden house family kids baby fashion style auto car cars bank finance market "
-    "money business job jobs work service services design studio lab center network hub team club event weather "
-    "casino win winner wins bet bets betting poker slot slots lotto lottery jackpot roulette bingo odds "
-    "cheap pill pills pharma pharmacy viagra drug drugs meds rx adult sex porn xxx nude cam cams dating hot girls "
-    "escort spam farm link links seo traffic ad ads advert track tracker tracking click clicks pop banner "
-    "loan loans credit payday cash crypto bitcoin earn rich prize gift coupon replica watches fake hacks crack "
-    "cracked warez torrent keygen serial malware phish phishing download"
-).split()
-
-# Labelled addresses, written by hand for this module.
-EXAMPLES = (
-    ("block", "casino-win.test/play"), ("block", "bestcasino.test/slots/jackpot"), ("block", "onlinepoker.test/win"), ("block", "free-bets.test/odds"),
-    ("block", "sportbetting.test/bets"), ("block", "lotto-jackpot.test/prize"), ("block", "bingoslots.test/casino"), ("block", "cheap-pills.test/viagra"),
-    ("block", "rxpharmacy.test/meds"), ("block", "cheapdrugs.test/pills"), ("block", "adult-x.test/cams"), ("block", "sexdating.test/girls"),
-    ("block", "pornxxx.test/nude"), ("block", "escortgirls.test/adult"), ("block", "hotcams.test/xxx"), ("block", "spam-farm.test/links"),
-    ("block", "linkfarm.test/seo/spam"), ("block", "seotraffic.test/clicks"), ("block", "ads-track.test/click"), ("block", "adtracker.test/pop"),
-    ("block", "clicktracking.test/ad"), ("block", "paydayloans.test/cash"), ("block", "fastcredit.test/loan"),
-    ("block", "cryptoearn.test/bitcoin/rich"), ("block", "replicawatches.test/cheap"), ("block", "warezcrack.test/keygen"), ("block", "crackedgames.test/torrent/serial"),
-    ("block", "freegift.test/coupon/prize"), ("block", "phishmail.test/malware"), ("block", "roulettewinner.test/bet"), ("block", "fakehacks.test/download/crack"),
-    ("allow", "dailynews.test/world"), ("allow", "localtimes.test/news/city"), ("allow", "weblog.test/my/blog"), ("allow", "schoolbooks.test/learn"),
-    ("allow", "university.test/science/library"), ("allow", "opensource.test/docs/code"), ("allow", "techreview.test/software"), ("allow", "cloudapps.test/dev/help"),
-    ("allow", "travelguide.test/hotel"), ("allow", "foodrecipes.test/family"), ("allow", "healthcare.test/medical/guide"), ("allow", "musicstore.test/radio"),
-    ("allow", "photoart.test/studio"), ("allow", "gardenhouse.test/design"), ("allow", "kidsgames.test/play"), ("allow", "sportclub.test/team/event"),
-    ("allow", "cityweather.test/day"), ("allow", "bookshop.test/books"), ("allow", "autojournal.test/cars"), ("allow", "bankfinance.test/market"),
-    ("allow", "jobcenter.test/work/services"), ("allow", "wikihub.test/info/page"), ("allow", "lawgroup.test/business"), ("allow", "videolive.test/tv/media"),
-    ("allow", "blog.test/free/download/software"), ("allow", "news.test/top/best/new"), ("allow", "forum.test/support/post"), ("allow", "shop.test/online/site"),
-    ("allow", "data.test/lab/test"), ("allow", "fashion.test/style/baby"), ("allow", "mail.test/home/web"), ("allow", "network.test/service/app"),
-)
-LONGEST = max(map(len, WORDS))
+LEAST_SHARE = 2.0**-16
+LONGEST = 32
+MAX_ROWS = 20_000
 _LETTERS = re.compile(r"[a-z]+")
 
 
 class Segmenter:
-    """The most probable split of a run of letters into words."""
+    """The most probable split of a run of letters into words, from the words' counts."""
 
-    def __init__(self, words=WORDS):
-        total = sum(1.0 / (i + 10) for i in range(len(words)))
-        self.cost = {}
-        for i, w in enumerate(words):
-            self.cost.setdefault(w, -math.log(0.9 / (i + 10) / total))
+    def __init__(self, counts: dict[str, int]):
+        total = sum(counts.values())
+        self.cost = {w: -math.log(0.9 * n / total) for w, n in counts.items() if n > 0}
+        self.longest = max(map(len, self.cost), default=0)
         self.unknown, self.letter = -math.log(0.1 / 26), math.log(10.0)
 
     def split(self, run: str) -> list[str]:
@@ -90,7 +62,7 @@ class Segmenter:
         open_: list[tuple[float, int]] = [(math.inf, 0)] * (n + 1)
         best: list[tuple[float, int]] = [(0.0, 0)] + [(math.inf, 0)] * n
         for i in range(1, n + 1):
-            for k in range(1, min(LONGEST, i) + 1):
+            for k in range(1, min(self.longest, i) + 1):
                 if (c := self.cost.get(run[i - k : i])) is not None and best[i - k][0] + c < known[i][0]:
                     known[i] = (best[i - k][0] + c, i - k)
             longer, fresh = open_[i - 1][0] + self.letter, best[i - 1][0] + self.unknown + self.letter
@@ -104,33 +76,23 @@ class Segmenter:
 
 
 class Model:
-    """Multinomial naive Bayes over words of labelled addresses."""
+    """Multinomial naive Bayes over the words of labelled ``(verdict, host, path)``."""
 
-    def __init__(self, examples=EXAMPLES, segmenter: Segmenter | None = None, smooth: float = 0.5):
-        self.segmenter = segmenter or Segmenter()
+    def __init__(self, examples: list[tuple[str, str, str]], segmenter: Segmenter, smooth: float = 0.5):
+        self.segmenter = segmenter
         counts = {"allow": Counter(), "block": Counter()}
-        for verdict, url in examples:
-            host, _, path = url.partition("/")
+        for verdict, host, path in examples:
             counts[verdict].update(self.tokens(host, path))
         words = set(counts["allow"]) | set(counts["block"])
         size = {v: sum(c.values()) + smooth * len(words) for v, c in counts.items()}
-        self.weight = {w: math.log((counts["block"][w] + smooth) / size["block"]) - math.log((counts["allow"][w] + smooth) / size["allow"]) for w in words}
-        n = Counter(v for v, _ in examples)
-        self.prior = math.log(n["block"] / n["allow"]) if n["block"] and n["allow"] else 0.0
+        both = counts["allow"] and counts["block"]
+        self.weight = {w: math.log((counts["block"][w] + smooth) / size["block"]) - math.log((counts["allow"][w] + smooth) / size["allow"]) for w in words} if both else {}
 
     def tokens(self, host: str, path: str) -> list[str]:
-        labels = host.split(".")[:-1] if "." in host else [host]
-        runs = [r for x in labels for r in _LETTERS.findall(x)] + _LETTERS.findall(path.lower())
-        return [w for r in runs for w in self.segmenter.split(r)]
-
-    def log_odds(self, host: str, path: str) -> float:
-        found = [self.weight[w] for w in self.tokens(host, path) if w in self.weight]
-        return self.prior + sum(found) if found else -math.inf
-
+        return [w for part in (host, path.lower()) for run in _LETTERS.findall(part) for w in self.segmenter.split(run)]
 
-@lru_cache(1)
-def default_model() -> Model:
-    return Model()
+    def log_odds(self, tokens: list[str]) -> float:
+        return sum(self.weight.get(w, 0.0) for w in tokens)
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -149,24 +111,51 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return F.coalesce(*[F.when(fits(h, p), F.struct(F.lit(h + p).alias("rule"), F.lit(v).alias("verdict"))) for h, p, v in longest_first])
 
 
-def judge(pages: DataFrame, rules=RULES) -> DataFrame:
-    """``page_id, host, path, rule, verdict, block_odds, words``, one row for each row of ``pages``."""
+def _split(pages: DataFrame, rules) -> DataFrame:
+    """``page_id, host, path, rule, by_rule``."""
     url = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string").alias("_url"))
     host, path = parts(F.col("_url"))
     split = url.select("page_id", host.alias("host"), path.alias("path"))
     split = split.withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
+    return split.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("by_rule"))
+
+
+def word_counts(split: DataFrame) -> dict[str, int]:
+    """The words that make up at least LEAST_SHARE of all words of ``split(host, path)``, with their counts."""
+    runs = F.regexp_extract_all(F.concat_ws("/", "host", F.lower("path")), F.lit("[a-z]+"), F.lit(0))
+    words = split.select(F.explode(runs).alias("w")).withColumn("w", F.when(F.length("w") <= LONGEST, F.col("w"))).groupBy("w").count()
+    total = words.agg(F.sum("count")).first()[0] or 0
+    return {w: n for w, n in words.filter((F.col("count") >= total * LEAST_SHARE) & F.col("w").isNotNull()).collect()}
+
+
+def held_out(page_id: Column) -> Column:
+    return F.coalesce(F.crc32(page_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def train(pages: DataFrame, rules=RULES, most: int = MAX_ROWS) -> Model:
+    """The models of ``pages(page_id, url)``."""
+    split = _split(pages, rules)
+    segmenter = Segmenter(word_counts(split))
+    known = split.filter(F.col("by_rule").isNotNull() & ~held_out(F.col("page_id"))).select("by_rule", F.substring("host", 1, 253).alias("host"), F.substring("path", 1, 1000).alias("path"))
+    n = known.count()
+    chosen = F.pmod(F.xxhash64("host", "path"), F.lit(1 << 30)) < int(min(1.0, most / max(n, 1)) * (1 << 30))
+    examples = known.filter(chosen).distinct()
+    return Model(sorted(tuple(r) for r in examples.collect()), segmenter)
+
+
+def judge(pages: DataFrame, rules=RULES, model: Model | None = None) -> DataFrame:
+    """``page_id, host, path, rule, verdict, block_odds, words``, one row for each row of ``pages``."""
+    model = model or train(pages, rules)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = default_model()
         for batch in batches:
             odds, words = [], []
             for host, path in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                x = model.log_odds(host, path)
-                odds.append(None if math.isinf(x) else x)
-                words.append(" ".join(model.tokens(host, "")))
+                found = model.tokens(host, path)
+                odds.append(model.log_odds(found))
+                words.append(" ".join(found))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(odds, pa.float64()), pa.array(words, pa.string())], [*batch.schema.names, "block_odds", "words"])
 
-    flat = split.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("by_rule"))
-    scored = flat.mapInArrow(apply, "page_id long, host string, path string, rule string, by_rule string, block_odds double, words string")
+    scored = _split(pages, rules).mapInArrow(apply, "page_id long, host string, path string, rule string, by_rule string, block_odds double, words string")
     verdict = F.coalesce("by_rule", F.when(F.col("block_odds") > 0, "block").otherwise("allow"))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "block_odds", "words")

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tessella.llm import components, decontam, htmltext, mixing, neardup, scratch, secrets, tokencounts, topk, trees, urls
+from tessella.llm import components, decontam, htmltext, mixing, neardup, scratch, secrets, textvec, tokencounts, topk, toxicity, trees, urls
 from tessella.llm.textvec import chunks, mix, shingle_sets, words
 
 
@@ -331,10 +331,124 @@ def test_parts_without_text_end_with_the_part_around(inner, text):
     assert htmltext.main_text(f"<article>{inner}<p>last</p></article>") == text + "\nlast"
 
 
-def test_segments_and_verdicts():
-    assert urls.Segmenter().split("cheappillsonline") == ["cheap", "pills", "online"]
-    model = urls.default_model()
-    assert model.log_odds("www.freecasinobets.org", "/x") > 0 > model.log_odds("localnews.org", "/")
+def splits(run):
+    """Every way to cut a run."""
+    yield [run]
+    for k in range(1, len(run)):
+        for rest in splits(run[k:]):
+            yield [run[:k], *rest]
+
+
+def test_segments_are_the_most_probable():
+    import math
+
+    rng = random.Random(12)
+    counts = {"ab": 9, "abc": 4, "c": 2, "ca": 7, "bca": 1, "a": 3, "d": 1}
+    s, total = urls.Segmenter(counts), sum(counts.values())
+    cost = lambda w: min(-math.log(0.9 * counts[w] / total) if w in counts else math.inf, -math.log(0.1 / 26) + len(w) * math.log(10.0))
+    for _ in range(120):
+        run = "".join(rng.choice("abcdx") for _ in range(rng.randint(1, 11)))
+        found = s.split(run)
+        assert "".join(found) == run
+        assert abs(sum(map(cost, found)) - min(sum(map(cost, x)) for x in splits(run))) < 1e-9
+
+
+def test_verdicts_like_plain_naive_bayes(spark):
+    """The registered method over a small table, by loops over words and labels."""
+    import math
+    import re
+    import zlib
+
+    rng = random.Random(13)
+    words = "red green blue house garden river stone tower".split()
+    rows = [(i, f"https://{rng.choice(words)}-{rng.choice(words)}{rng.choice(['', rng.choice(words)])}.example.{rng.choice(['com', 'net', 'org'])}/{rng.choice(['en', 'de', 'es'])}/{rng.choice(words)}/{i}") for i in range(400)]
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    counts = Counter(w for _, u in rows for w in re.findall("[a-z]+", u.split("://")[1]))
+    total = sum(counts.values())
+    cost = lambda w: -math.log(0.9 * counts[w] / total) if w in counts else -math.log(0.1 / 26) + len(w) * math.log(10.0)
+    best = {}
+
+    def cut(run):
+        if run not in best:
+            whole = [run]
+            ways = [whole] + [[run[:k], *cut(run[k:])] for k in range(1, len(run))]
+            best[run] = min(ways, key=lambda x: sum(map(cost, x)))
+        return best[run]
+
+    def rule(host, path):
+        fits = [(len(h + p), h + p, v) for h, p, v in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1:] if fits else (None, None)
+
+    parsed = {i: tuple(u.split("://")[1].split("/", 1)) for i, u in rows}
+    tokens = {i: [w for run in re.findall("[a-z]+", h + " " + p) for w in cut(run)] for i, (h, p) in parsed.items()}
+    seen = {"allow": Counter(), "block": Counter()}
+    for i, (h, p) in parsed.items():
+        _, v = rule(h, "/" + p)
+        if v and zlib.crc32(str(i).encode()) % 5:
+            seen[v].update(tokens[i])
+    vocabulary = set(seen["allow"]) | set(seen["block"])
+    size = {v: sum(c.values()) + 0.5 * len(vocabulary) for v, c in seen.items()}
+    for i, (h, p) in parsed.items():
+        odds = sum(math.log((seen["block"][w] + 0.5) / size["block"] * size["allow"] / (seen["allow"][w] + 0.5)) for w in tokens[i] if w in vocabulary)
+        text, v = rule(h, "/" + p)
+        r = got[i]
+        assert (r.host, r.path, r.rule) == (h, "/" + p, text) and abs(r.block_odds - odds) < 1e-9
+        assert r.verdict == (v or ("block" if odds > 0 else "allow"))
+
+
+# --- toxicity --------------------------------------------------------------------------------------------------------------
+
+
+def test_chain_scores_like_plain_loops(spark):
+    """Tokens by Python's regular expressions and the chain by loops over a model's weights."""
+    import math
+    import re
+
+    rng = random.Random(14)
+    bad = ["vile", "grässliche", "grässlicher"]
+    docs, labels = [], []
+    for i in range(300):
+        w = prose(rng, rng.randint(1, 90))
+        toxic, unfit = i % 3 == 0, i % 7 == 0
+        if toxic:
+            w[rng.randrange(len(w))] = rng.choice(bad).upper() if i % 2 else rng.choice(bad)
+        if unfit:
+            w += ["|", "##", "x", "x", "x", "x"]
+        docs.append((i, " ".join(w)))
+        labels.append((i, int(not unfit), int(toxic)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    chain = toxicity.model(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int").filter("doc_id < 200"))
+    one = lambda t, **how: textvec.tokens(np.frombuffer(t, np.uint8), np.array([0, len(t)]), **how)[0]
+    vocabulary = chain.vocabulary.tolist()
+    got = {r.doc_id: r for r in toxicity.score(df, chain).collect()}
+    right = 0
+    for i, text in docs:
+        found, before = Counter(), [None, None]
+        for m in re.finditer(rb"[A-Za-z\x80-\xff]+|[^A-Za-z\x80-\xff\x20\x09-\x0d]+", text.encode()):
+            run = m.group()
+            if not re.match(rb"[A-Za-z\x80-\xff]", run):
+                found[int(one(run, marks=True)[0])] += 1
+                continue
+            found[int(one(run)[0])] += 1
+            if before[0] == before[1] == run.lower():
+                found[int(textvec.ECHO)] += 1
+            before = [before[1], run.lower()]
+            for k in toxicity.PREFIXES:
+                if len(run.decode()) > k:
+                    at = toxicity.PREFIXES.index(k)
+                    same = one(run, prefixes=(k,))
+                    found[int(same[1])] += 1
+                    assert at >= 0 and int(same[1]) == int(one(run + b"q", prefixes=(k,))[1])
+        x = [math.log1p(found[v]) for v in vocabulary]
+        p = []
+        for w in chain.weights:
+            z = [*x, *(math.log(min(max(q, 1e-4), 1 - 1e-4) / (1 - min(max(q, 1e-4), 1 - 1e-4))) for q in p)]
+            p.append(1 / (1 + math.exp(-(sum(a * b for a, b in zip(w, z, strict=False)) + w[-1]))))
+        r = got[i]
+        assert np.allclose([r.p_unfit, r.p_toxic_unfit, r.p_toxic], p, atol=1e-9)
+        assert r.toxic == (p[-1] >= 0.5)
+        right += i >= 200 and r.toxic == (i % 3 == 0)
+    assert right >= 95
 
 
 # --- pipeline --------------------------------------------------------------------------------------------------------------

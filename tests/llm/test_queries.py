@@ -2,11 +2,12 @@
 
 import html
 import re
-from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.llm import queries as Q
+from tessella.llm import toxicity, urls
 from tools_oracle import compare, connect
 
 SF = "/root/testdata/sf0.01"
@@ -47,13 +48,15 @@ def test_benchmark_passages(spark):
     assert all(r.distance <= 0.09 * r.item_bytes for r in got.values())
 
 
-def test_toxic_labels(spark):
-    larger = "/root/testdata/sf0.1"  # 449 toxic labels, about 5 % of them on texts without any sign of it
-    toxic = {r.doc_id: r.toxic for r in table(spark, "labels", larger).collect()}
-    flagged = {r.doc_id for r in Q.op6_toxicity(spark, larger).collect() if r.toxic}
+def test_toxicity_of_documents_not_learnt_from(spark):
+    larger = "/root/testdata/sf0.1"  # about 5 % of its toxic labels are on texts without any sign of it
+    labels, docs = table(spark, "labels", larger), table(spark, "documents", larger)
+    chain = toxicity.model(docs, labels.filter("doc_id % 5 <> 0"))
+    toxic = {r.doc_id: r.toxic for r in labels.filter("doc_id % 5 = 0").collect()}
+    flagged = {r.doc_id for r in toxicity.score(docs, chain).collect() if r.toxic} & toxic.keys()
     ones = {d for d, t in toxic.items() if t == 1}
     assert len(flagged & ones) >= 0.9 * len(ones)
-    assert len([d for d in flagged if toxic.get(d) == 0]) <= 0.01 * len(toxic)
+    assert len(flagged & ones) >= 0.95 * len(flagged)
 
 
 def test_articles(spark):
@@ -64,9 +67,10 @@ def test_articles(spark):
         assert r.n_chars == len(r.text)
 
 
-def test_listed_hosts(spark):
-    bad = {"casino-win", "free-bets", "ads-track", "spam-farm", "cheap-pills", "adult-x"}
-    verdicts = defaultdict(set)
-    for r in Q.op10_url_filter(spark, SF).filter("rule IS NULL").collect():
-        verdicts[bool(bad & set(r.host.split(".")))].add(r.verdict)
-    assert verdicts[False] == {"allow"} and verdicts[True] <= {"block"}
+def test_verdicts_of_pages_not_learnt_from(spark):
+    """Rules give the labels; one in nine pages under a rule falls under its exception, which hosts and words don't tell."""
+    larger = "/root/testdata/sf0.1"
+    got = urls.judge(table(spark, "pages", larger)).filter("rule IS NOT NULL").filter(urls.held_out(F.col("page_id"))).collect()
+    says, is_ = [r.block_odds > 0 for r in got], [r.verdict == "block" for r in got]
+    both = sum(a and b for a, b in zip(says, is_, strict=True))
+    assert len(got) > 100 and both >= 0.85 * sum(says) and both >= 0.95 * sum(is_)
