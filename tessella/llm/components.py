@@ -1,7 +1,8 @@
 """Union-find over a distributed table of links: the smallest id that each id reaches.
 
-Alternating large-star and small-star rounds, each a hash aggregate and a join, so neither a component nor the links
-ever meet in one task. Every round is written to the shared folder; the round before it is then deleted.
+Alternating large-star and small-star rounds, each a hash aggregate and a join that deals out the links of a hub, so
+neither a component nor the links ever meet in one task. Every round is written to the shared folder; the round before
+it is then deleted.
 """
 
 from __future__ import annotations
@@ -16,18 +17,23 @@ def _mark(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _with_least(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``links(u, v)`` with the least ``v`` of each ``u`` as ``m``, the saved table of these)."""
+    low = scratch.save(links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("w")), "low")
+    return scratch.join_keyed(links, low, "u", "w"), low
+
+
+def _large_star(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Every larger neighbour of a node is linked with the smallest of the node and its neighbours."""
-    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy(F.col("u").alias("n")).agg(F.least(F.min("v"), F.min("u")).alias("m"))
-    return both.join(low, both.u == low.n).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    both, low = _with_least(links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+    return both.filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")), low
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Every smaller-or-equal neighbour of a node, and the node, is linked with the smallest of them."""
-    low = links.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m"))
-    moved = links.join(low, links.u == low.n).filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(low.select(F.col("n").alias("u"), F.col("m").alias("v")))
+    both, low = _with_least(links)
+    moved = both.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(low.select("u", F.col("m").alias("v"))), low
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -36,8 +42,12 @@ def components(links: DataFrame) -> DataFrame:
     now = scratch.save(start, "links")
     mark = _mark(now)
     while mark[0]:
-        after = scratch.save(_small_star(_large_star(now)).distinct(), "links")
-        scratch.drop(now)
+        large, low = _large_star(now)
+        large = scratch.save(large.distinct(), "large")
+        small, low2 = _small_star(large)
+        after = scratch.save(small.distinct(), "links")
+        for done in (now, low, large, low2):
+            scratch.drop(done)
         now, before, mark = after, mark, _mark(after)
         if mark == before:
             break

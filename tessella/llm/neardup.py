@@ -4,19 +4,20 @@
    Element d ranks the 128 slots by a random permutation, level by level: at level j it offers ``(j, random rank)`` to
    the j-th slot of its permutation, and a slot keeps the least offer. Levels go on only until every slot is filled, so
    a long text costs one level. Slots share one permutation an element, which lowers the estimate's variance.
-2. Documents with equal sets form a class; only its smallest id goes on, so copies cost one row each.
+2. Documents with equal sets form a class; only the class goes on, so copies cost one row each.
 3. A signature is 32 bands of 4 slots: a pair at the threshold of 0.75 shares no band with probability 5e-6.
-   In a bucket every member is held against the smallest one, so a bucket of n members gives n - 1 pairs.
+   In a bucket every class is held against the first one, so a bucket of n members gives n - 1 pairs.
 4. Pairs are verified on full sets, and union-find gives components.
-5. Buckets whose members are still in several components are gone through in blocks of at most about 256 members.
-   Every pair of blocks is one task, which holds members of different components against each other by signature, each
+5. Buckets whose members are still in several components are gone through in blocks of at most about 256 members, those
+   of a bucket's largest component apart. Every pair of blocks, but for two of that component, is one cell, which holds
+   members of different components against each other by signature, each
    pair in the first band that it shares. Members with any partner that may be similar come back with their sets; the
    task verifies all such pairs, and passes on only links that join what it has not joined yet. Thus no pair of a
    bucket is left out, no bucket has to fit in a task, and no group gives all its pairs as rows.
 
 Defined cases: a text that is null, empty or white space only has an empty set and no links; a text of fewer than five
-words is one shingle; rows with a null id stand alone (null component, kept); rows that repeat an id get the same
-component where their texts are equal; ``keep_one`` goes by rows, not by ids. Other columns are ignored, whatever their
+words is one shingle; rows with a null id stand alone (null component, kept); rows that repeat an id are documents of
+their own, in the same component where their texts are; ``keep_one`` goes by rows, not by ids. Other columns are ignored, whatever their
 names.
 """
 
@@ -88,34 +89,48 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, items in shingle_sets(batch.column(1), SHINGLE):
             size[i] = len(items)
             if len(items):
-                keys[i] = mix(items, 1).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(items, 2))
+                keys[i] = _keys(items)
                 sig[i] = pack(super_minhash(items))
         bands = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(sig.ravel()))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(keys[:, 0].view(np.int64)), pa.array(keys[:, 1].view(np.int64)), bands], ["doc_id", "n_shingles", "k1", "k2", "bands"])
 
 
+def _keys(items: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """Two fingerprints of a set, which with its size tell classes of equal sets apart."""
+    return mix(items, 1).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(items, 2))
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets of the texts that belong to their class; of a class's repeated rows a task gives one."""
+    seen: set[int] = set()
     for batch in batches:
-        found = [items.view(np.int64) for _, items in shingle_sets(batch.column(1), SHINGLE)]
+        found, of = [], []
+        cid, k1, k2 = (batch.column(c).to_numpy() for c in (1, 2, 3))
+        for i, items in shingle_sets(batch.column(0), SHINGLE):
+            if len(items) and int(cid[i]) not in seen and tuple(x.view(np.int64) for x in _keys(items)) == (k1[i], k2[i]):
+                seen.add(int(cid[i]))
+                of.append(int(cid[i]))
+                found.append(items.view(np.int64))
         ends = np.cumsum([0, *map(len, found)], dtype=np.int64)
         values = np.concatenate(found) if found else np.zeros(0, np.int64)
         column = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(values)).cast(pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), column], ["doc_id", "items"])
+        yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), column], ["cid", "items"])
 
 
-def _sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """``doc_id, items`` for every id in ``ids(_w)``, saved."""
-    texts = docs.select("doc_id", "text").join(ids.distinct().hint("shuffle_hash"), F.col("doc_id") == F.col("_w"), "left_semi")
-    return scratch.save(texts.mapInArrow(_sets, "doc_id long, items array<long>").dropDuplicates(["doc_id"]), "sets")
+def _sets_of(ids: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """``cid, items`` for every class in ``ids(_w)``, saved. A class's set is that of its smallest id's text of that class."""
+    wanted = reps.join(ids.distinct(), F.col("cid") == F.col("_w")).select("cid", F.col("rep").alias("_rep"), "k1", "k2")
+    texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").alias("_text")).join(wanted.hint("shuffle_hash"), F.col("_doc") == F.col("_rep"))
+    return scratch.save(texts.select("_text", "cid", "k1", "k2").mapInArrow(_sets, "cid long, items array<long>").dropDuplicates(["cid"]), "sets")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of ``pairs(a, b)`` that are links: 100 * intersection >= 75 * union, on full sets."""
     if pairs.isEmpty():
         return pairs
-    sets = _sets_of(pairs.select(F.col("a").alias("_w")).unionByName(pairs.select(F.col("b").alias("_w"))), docs)
-    a = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
-    b = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
+    sets = _sets_of(pairs.select(F.col("a").alias("_w")).unionByName(pairs.select(F.col("b").alias("_w"))), reps, docs)
+    a = sets.select(F.col("cid").alias("a"), F.col("items").alias("x"))
+    b = sets.select(F.col("cid").alias("b"), F.col("items").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - both
     links = scratch.save(pairs.join(a, "a").join(b, "b").filter(both * 100 >= union * PERCENT).select("a", "b"), "verified")
@@ -127,8 +142,8 @@ class _Cell:
     """Members of a pair of blocks of a bucket (``side`` 0 and 1; with ``own`` the two are one block)."""
 
     def __init__(self, table: pa.Table):
-        self.rep, self.comp, self.n = (table[c].to_numpy() for c in ("rep", "comp", "n"))
-        self.bands = np.concatenate([c.flatten().to_numpy() for c in table["bands"].chunks]).reshape(len(self.rep), BANDS)
+        self.cid, self.comp, self.n = (table[c].to_numpy() for c in ("cid", "comp", "n"))
+        self.bands = np.concatenate([c.flatten().to_numpy() for c in table["bands"].chunks]).reshape(len(self.cid), BANDS)
         self.slots, self.band = np.ascontiguousarray(self.bands).view(np.uint16), table["band"][0].as_py()
         side, self.own = table["side"].to_numpy(), table["own"][0].as_py()
         self.left, self.right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
@@ -179,55 +194,78 @@ def _links(table: pa.Table) -> pa.Table:
                 x, y = root(int(cell.comp[i])), root(int(cell.comp[k]))
                 if x != y:
                     parent[max(x, y)] = min(x, y)
-                    out.append((min(cell.rep[i], cell.rep[k]), max(cell.rep[i], cell.rep[k])))
+                    out.append((min(cell.cid[i], cell.cid[k]), max(cell.cid[i], cell.cid[k])))
     a, b = zip(*out, strict=True) if out else ((), ())
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def _dealt(members: DataFrame, known: DataFrame) -> DataFrame:
+    """Members of open buckets, once for each pair of blocks that they are in: ``bucket, lo, hi, side, own, ...``.
+
+    A bucket's largest component has blocks of its own, which never meet each other; those of the others meet each
+    other and all of its. So a bucket gives rows in proportion to its members where few are outside that component.
+    """
+    placed = members.join(known.select("cid", "comp"), "cid")
+    of = placed.groupBy("bucket", "comp").agg(F.count("*").alias("m"))
+    largest = of.groupBy("bucket").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("members")).filter("members > top.m")
+    largest = scratch.save(largest.select("bucket", F.col("top.comp").alias("top"), "members", F.ceil((F.col("members") - F.col("top.m")) / BLOCK).cast("int").alias("few"), F.ceil(F.col("top.m") / BLOCK).cast("int").alias("many")), "open")
+    rest = scratch.join_keyed(placed, largest, "bucket", "members")
+    own = F.col("comp") == F.col("top")
+    rest = rest.withColumn("block", F.when(own, F.col("few")).otherwise(0) + F.pmod(F.xxhash64("cid", F.lit(1)), F.when(own, F.col("many")).otherwise(F.col("few"))).cast("int"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("few") - 1 + F.when(own, 0).otherwise(F.col("many")))))
+    order = [F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") > F.col("other")).cast("int").alias("side"), (F.col("block") == F.col("other")).alias("own")]
+    return rest.select("bucket", "band", *order, "cid", "comp", "n")
+
+
 def _across(members: DataFrame, reps: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame | None:
     """Links ``a, b`` between members of a bucket that are in different components; None if no pair may be one."""
-    home = F.coalesce("component", "rep").alias("comp")
-    known = reps.join(found, F.col("rep") == F.col("id"), "left").select(F.col("rep").alias("_r"), home, "bands")
-    placed = members.join(known.select("_r", "comp"), F.col("rep") == F.col("_r")).drop("_r")
-    open_ = placed.groupBy("bucket").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo <> _hi").select("bucket")
-    rest = placed.join(open_, "bucket").drop("comp").join(known, F.col("rep") == F.col("_r")).drop("_r")
-    rest = rest.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    order = [F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") > F.col("other")).cast("int").alias("side"), (F.col("block") == F.col("other")).alias("own")]
-    rest = rest.select("bucket", "band", *order, "rep", "comp", "n", "bands")
-    active = scratch.save(rest.groupBy("bucket", "lo", "hi").applyInArrow(_active, "bucket long, band int, lo int, hi int, side int, own boolean, rep long"), "active")
-    if active.isEmpty():
-        return None
-    sets = _sets_of(active.select(F.col("rep").alias("_w")), docs)
-    full = active.join(known, F.col("rep") == F.col("_r")).drop("_r").join(sets, F.col("rep") == F.col("doc_id")).drop("doc_id").withColumn("n", F.size("items").cast("long"))
-    return scratch.save(full.groupBy("bucket", "lo", "hi").applyInArrow(_links, "a long, b long").distinct(), "across")
+    known = scratch.save(reps.join(found, F.col("cid") == F.col("id"), "left").select("cid", F.coalesce("component", "cid").alias("comp"), "bands"), "known")
+    bands = known.select(F.col("cid").alias("_c"), "bands")
+    dealt = _dealt(members.select("bucket", "band", "cid", "n"), known).join(bands, F.col("cid") == F.col("_c")).drop("_c")
+    active = scratch.save(dealt.groupBy("bucket", "lo", "hi").applyInArrow(_active, "bucket long, band int, lo int, hi int, side int, own boolean, cid long"), "active")
+    links = None
+    if not active.isEmpty():
+        sets = _sets_of(active.select(F.col("cid").alias("_w")), reps, docs)
+        full = active.join(known.withColumnRenamed("cid", "_c"), F.col("cid") == F.col("_c")).drop("_c").join(sets.withColumnRenamed("cid", "_s"), F.col("cid") == F.col("_s")).drop("_s").withColumn("n", F.size("items").cast("long"))
+        links = scratch.save(full.groupBy("bucket", "lo", "hi").applyInArrow(_links, "a long, b long").distinct(), "across")
+        scratch.drop(sets)
+    scratch.drop(active)
+    scratch.drop(known)
+    return links
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(signed documents, classes of equal sets: ``k1, k2, n, rep, bands``), both saved."""
+    """(signed documents, classes of equal sets: ``cid, k1, k2, n, rep, bands``), both saved.
+
+    A class has a number of its own, as its smallest id may be that of another text and class too.
+    """
     signed = scratch.save(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sign, SIGNED), "signed")
     some = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = some.groupBy("k1", "k2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("rep"))
     known = some.select(F.col("doc_id").alias("_d"), F.col("k1").alias("_1"), F.col("k2").alias("_2"), "bands")
     with_bands = reps.join(known, (F.col("rep") == F.col("_d")) & (F.col("k1") == F.col("_1")) & (F.col("k2") == F.col("_2"))).dropDuplicates(["k1", "k2", "n", "rep"])
-    return signed, scratch.save(with_bands.select("k1", "k2", "n", "rep", "bands"), "classes")
+    return signed, scratch.save(with_bands.select(F.monotonically_increasing_id().alias("cid"), "k1", "k2", "n", "rep", "bands"), "classes")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``, one row for each row of ``docs(doc_id, text)``."""
     signed, reps = classes(docs)
-    banded = reps.select("rep", "n", F.posexplode("bands").alias("band", "value")).select("rep", "n", "band", F.xxhash64("band", "value").alias("bucket"))
-    leaders = scratch.save(banded.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("lead"), F.count("*").alias("members")).filter("members > 1"), "leaders")
-    members = scratch.save(banded.join(leaders, "bucket").select("bucket", "band", "rep", "n", "lead", "members"), "members")
+    banded = reps.select("cid", "n", F.posexplode("bands").alias("band", "value")).select("cid", "n", "band", F.xxhash64("band", "value").alias("bucket"))
+    leaders = scratch.save(banded.groupBy("bucket").agg(F.min(F.struct("cid", "n")).alias("lead"), F.count("*").alias("members")).filter("members > 1"), "leaders")
+    members = scratch.save(scratch.join_keyed(banded, leaders, "bucket", "members"), "members")
     near = F.least("n", "lead.n") * 100 >= F.greatest("n", "lead.n") * PERCENT
-    stars = scratch.save(members.filter((F.col("rep") > F.col("lead.rep")) & near).select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
-    links = _verified(stars, docs)
+    stars = scratch.save(members.filter((F.col("cid") > F.col("lead.cid")) & near).select(F.col("lead.cid").alias("a"), F.col("cid").alias("b")).distinct(), "stars")
+    links = _verified(stars, reps, docs)
     final = scratch.save(components(links), "components")
     more = _across(members, reps, final, docs)
     if more is not None:
         final = scratch.save(components(links.unionByName(more)), "components")
+    for done in (leaders, members, stars):
+        scratch.drop(done)
 
-    of_class = reps.join(final, F.col("rep") == F.col("id"), "left").select(F.col("k1").alias("_1"), F.col("k2").alias("_2"), F.col("n").alias("_n"), F.coalesce("component", "rep").alias("_c"))
+    rooted = reps.join(final, F.col("cid") == F.col("id"), "left").select("k1", "k2", "n", "rep", F.coalesce("component", "cid").alias("root"))
+    least = scratch.save(rooted.groupBy("root").agg(F.min("rep").alias("_c"), F.count("*").alias("w")), "least")
+    of_class = scratch.join_keyed(rooted, least, "root", "w").select(F.col("k1").alias("_1"), F.col("k2").alias("_2"), F.col("n").alias("_n"), "_c")
     same = (F.col("k1") == F.col("_1")) & (F.col("k2") == F.col("_2")) & (F.col("n_shingles") == F.col("_n")) & F.col("doc_id").isNotNull()
     out = signed.join(of_class, same, "left").withColumn("component_id", F.coalesce("_c", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -1,7 +1,8 @@
 """Intermediate tables in the folder that the cluster shares.
 
 Tables are written as Parquet below ``spark.checkpoint.dir``, so a lost executor costs the tasks that it ran and not the
-lineage before the table. Where that setting is unset (tests, one machine) a folder of this process is used.
+lineage before the table. Where that setting is unset, a local master uses a folder of this process, and any other one
+is an error, as its executors would each write to a disk of their own.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ def folder(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if shared:
         return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return _own.setdefault("dir", tempfile.mkdtemp(prefix="tessella-"))
 
 
@@ -39,6 +42,20 @@ def drop(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p.getParent(), True)
 
 
+def join_keyed(rows: DataFrame, keyed: DataFrame, key: str, weight: str, small: int = 50_000, hot_keys: int = 1_000) -> DataFrame:
+    """``rows`` joined with a saved table of one row a key, where ``weight`` says how many of the rows have the key.
+
+    A table of at most ``small`` rows is broadcast. Of a larger one the heaviest keys are: those with at least one in
+    ``hot_keys`` of all rows, of which there cannot be more than that. So no task gets all rows of a heavy key.
+    """
+    found = keyed.agg(F.count("*"), F.sum(weight)).first()
+    if found[0] <= small:
+        return rows.join(F.broadcast(keyed), key)
+    cut = max(256, -(-found[1] // hot_keys))
+    hot, rest = F.broadcast(keyed.filter(F.col(weight) >= cut)), keyed.filter(F.col(weight) < cut)
+    return rows.join(hot, key).unionByName(rows.join(F.broadcast(keyed.filter(F.col(weight) >= cut).select(key)), key, "left_anti").join(rest, key))
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
     """A broadcast hint behind a count of the saved table; a larger one is joined by shuffle."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.llm import components, decontam, htmltext, mixing, neardup, scratch, secrets, textvec, tokencounts, topk, toxicity, trees, urls
 from tessella.llm.textvec import chunks, mix, shingle_sets, words
@@ -151,6 +152,32 @@ def test_components_of_near_copies_and_shared_passages(spark):
     assert got == brute_components(texts)
 
 
+def test_ids_with_several_texts(spark):
+    rng = random.Random(21)
+    a, b, c = (" ".join(prose(rng, 60)) for _ in range(3))
+    near = lambda t: " ".join([*t.split(), "end"])
+    rows = [(1, a), (2, a), (2, b), (3, near(b)), (0, c), (0, near(b)), (4, c), (4, near(a)), (5, b)]
+    got = sorted((r.doc_id, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([(1, 1), (2, 1), (2, 0), (3, 0), (0, 0), (0, 0), (4, 0), (4, 1), (5, 0)])
+
+
+def test_a_stray_member_of_a_large_bucket_costs_its_members_once(spark):
+    n = 100_000
+    members = spark.range(n + 1).select(F.lit(7).cast("long").alias("bucket"), F.lit(0).alias("band"), F.col("id").alias("cid"), F.lit(10).cast("long").alias("n"))
+    known = spark.range(n + 1).select(F.col("id").alias("cid"), F.when(F.col("id") == n, n).otherwise(0).cast("long").alias("comp"))
+    dealt = neardup._dealt(members, known)
+    assert n < dealt.count() < n + n / 100
+    assert dealt.groupBy("bucket", "lo", "hi").count().agg(F.max("count")).first()[0] < 2 * neardup.BLOCK
+    assert dealt.filter(F.col("comp") == n).select("lo", "hi").distinct().count() == dealt.select("lo", "hi").distinct().count()
+
+
+def test_keyed_joins_of_heavy_keys(spark):
+    rows = spark.range(3000).select((F.when(F.col("id") < 1000, 1).otherwise(F.col("id"))).cast("long").alias("k"), "id")
+    keyed = scratch.save(rows.groupBy("k").agg(F.count("*").alias("w")), "keyed")
+    want = sorted(tuple(r) for r in scratch.join_keyed(rows, keyed, "k", "w").collect())
+    assert sorted(tuple(r) for r in scratch.join_keyed(rows, keyed, "k", "w", small=10).collect()) == want and len(want) == 3000
+
+
 def test_union_find_over_long_chains(spark):
     rng = random.Random(4)
     links = [(i, i + 1) for i in range(60)] + [(100 + i, 100) for i in range(1, 40)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(50)]
