@@ -13,27 +13,33 @@ from pyspark.sql import functions as F
 from tessella.llm import scratch
 
 
+SMALL = 50_000
+
+
 def _mark(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
-def _with_least(links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(``links(u, v)`` with the least ``v`` of each ``u`` as ``m``, the saved table of these)."""
-    low = scratch.save(links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("w")), "low")
-    return scratch.join_keyed(links, low, "u", "w"), low
+def _with_least(links: DataFrame, small: bool) -> tuple[DataFrame, DataFrame]:
+    """(``links(u, v)`` with the least ``v`` of each ``u`` as ``m``, the table of these); ``small`` ones are broadcast."""
+    low = links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("w"))
+    if small:
+        return links.join(F.broadcast(low), "u"), low
+    low = scratch.save(low, "low")
+    return scratch.join_keyed(links, low, "u", "w", small=SMALL), low
 
 
-def _large_star(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _large_star(links: DataFrame, small: bool) -> tuple[DataFrame, DataFrame]:
     """Every larger neighbour of a node is linked with the smallest of the node and its neighbours."""
-    both, low = _with_least(links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))))
-    return both.filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")), low
+    both, low = _with_least(links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))), small)
+    return both.filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct(), low
 
 
-def _small_star(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _small_star(links: DataFrame, small: bool) -> tuple[DataFrame, DataFrame]:
     """Every smaller-or-equal neighbour of a node, and the node, is linked with the smallest of them."""
-    both, low = _with_least(links)
+    both, low = _with_least(links, small)
     moved = both.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(low.select("u", F.col("m").alias("v"))), low
+    return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), low
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -42,10 +48,11 @@ def components(links: DataFrame) -> DataFrame:
     now = scratch.save(start, "links")
     mark = _mark(now)
     while mark[0]:
-        large, low = _large_star(now)
-        large = scratch.save(large.distinct(), "large")
-        small, low2 = _small_star(large)
-        after = scratch.save(small.distinct(), "links")
+        small = 2 * mark[0] <= SMALL  # the links of a round are at most those of the one before
+        large, low = _large_star(now, small)
+        large = large if small else scratch.save(large, "large")
+        fewer, low2 = _small_star(large, small)
+        after = scratch.save(fewer, "links")
         for done in (now, low, large, low2):
             scratch.drop(done)
         now, before, mark = after, mark, _mark(after)

@@ -178,7 +178,9 @@ def test_keyed_joins_of_heavy_keys(spark):
     assert sorted(tuple(r) for r in scratch.join_keyed(rows, keyed, "k", "w", small=10).collect()) == want and len(want) == 3000
 
 
-def test_union_find_over_long_chains(spark):
+@pytest.mark.parametrize("small", [50_000, 8])
+def test_union_find_over_long_chains(spark, monkeypatch, small):
+    monkeypatch.setattr(components, "SMALL", small)
     rng = random.Random(4)
     links = [(i, i + 1) for i in range(60)] + [(100 + i, 100) for i in range(1, 40)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(50)]
     parent = {}
