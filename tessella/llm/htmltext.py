@@ -1,10 +1,12 @@
 """Main text of web pages: flat text blocks, shallow features, a decision tree.
 
 A page is cut into blocks at block-level tags; scripts, styles, templates, comments, the head, form controls, drawings
-(svg, canvas), frames and players give no text. A block's features are its words and link density, those of the blocks before and after it, whether it is a heading or
-a list item, whether it stands in an article or main part, whether the nearest part around it is one for navigation,
-headers, footers, asides or forms, and whether a class, id or role around it names such a part. The tree is grown from
-TRAINING, a table of labelled blocks, when the module is loaded.
+(svg, canvas), frames and players give no text. A block's features are its words and link density, those of the blocks before and after it, whether it is a
+heading or a list item, whether it is short and begins like a notice, whether it stands in an article or main part,
+whether the nearest part around it is one for navigation, headers, footers, asides or forms, and whether a class, id or
+role around it names such a part, or the heading above it announces readers' comments. The tree is grown from TRAINING, a
+table of labelled blocks, when the module is loaded. Where parts are tagged they tell most; in articles and on pages
+without parts the words and links of a block and its neighbours decide.
 
 Character references are decoded, white space inside a block (also a line break tag) becomes one space, and the chosen
 blocks are joined by a line feed in page order.
@@ -41,20 +43,31 @@ SILENT = set("select button svg iframe canvas video audio".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 HINTS = set(
     "ad ads adv advert advertisement advertisements advertising adverts adbox banner breadcrumb breadcrumbs byline comment comments commentlist "
-    "consent cookie cookies copyright disclaimer discussion disqus dialog dropdown feedback foot footer form gdpr head header hidden login masthead menu meta "
+    "consent cookie cookies copyright disclaimer discussion disqus dialog dropdown feedback foot footer form gdpr header hidden login masthead menu "
     "modal nav navbar navigation navi newsletter notice notices notification overlay pager pagination paywall popup popular "
-    "promo promoted promotion rail recommended related reply replies respond responses search share sharing sidebar sidebars "
-    "signup skip social sponsor sponsored sponsors subscribe subscription tags teaser thread toc toolbar topbar trending warning alert "
+    "promo promoted promotion recommended related replies respond responses search share sharing sidebar sidebars "
+    "signup social sponsor sponsored sponsors subscribe subscription teaser toc toolbar topbar trending "
     "widget widgets complementary contentinfo".split()
 )
+#: Those that say the same as the first word of a longer name: ad-slot, nav-left, but not form-of-government.
+LEADING = set("ad ads advert advertisement breadcrumb comment comments cookie cookies disqus footer gdpr menu nav navbar navigation newsletter pagination promo related share sharing sidebar social sponsor sponsored subscribe widget".split())
+#: What short blocks of notices, comments and offers begin with, in lower case.
+CUES = (
+    "copyright", "\u00a9", "all rights reserved", "readers say", "comments", "comment by", "reader comments", "leave a comment", "leave a reply", "responses",
+    "share this", "related articles", "read more", "sponsored", "advertisement", "subscribe", "sign up", "log in", "we use cookies", "this site uses cookies",
+    "terms of use", "privacy policy", "follow us", "skip to",
+)
+#: Headings under which readers write; what follows, up to the next heading, is theirs.
+READERS = ("readers say", "comments", "reader comments", "leave a comment", "leave a reply", "responses", "discussion")
+CUED_WORDS = 14
 #: First words of names that describe the page around, as in has-sidebar.
 ABOUT = {"has", "with", "no", "without", "layout"}
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<[/!?]?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|\Z)|<!?[/?]?[a-zA-Z][^>]*(?:>|\Z)", re.S | re.I)
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<[/!?]?[a-zA-Z](?:[^>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*?(?:>|\Z)", re.S | re.I)
 _NAME = re.compile(r"</?\s*([a-zA-Z][a-zA-Z0-9]*)")
 _HINT = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _PIECE = re.compile(r"[a-zA-Z][a-z]*|[A-Z]+")
-FEATURES = ("in_main", "side", "hint", "heading", "item", "words", "link_density", "words_before", "links_before", "words_after", "links_after")
+FEATURES = ("words", "link_density", "words_before", "links_before", "words_after", "links_after", "heading", "item", "cue", "in_main", "side", "hint")
 
 
 def _hinted(tag: str) -> bool:
@@ -62,7 +75,7 @@ def _hinted(tag: str) -> bool:
         value = next(g for g in (*m.groups(), "") if g is not None)
         for one in value.split():
             pieces = [p.lower() for p in _PIECE.findall(one)]
-            if pieces and pieces[0] not in ABOUT and any(p in HINTS for p in pieces):
+            if pieces and pieces[0] not in ABOUT and (pieces[-1] in HINTS or pieces[0] in LEADING):
                 return True
     return bool(_HIDDEN.search(tag))
 
@@ -77,13 +90,17 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool, bool, bool]
     text: list[str] = []
     linked = 0
     silent: list[str] = []  # the open part without text, and the tags open in it
+    readers = False
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, readers
         if text:
             words = "".join(text).split()
             if words:
-                out.append((" ".join(words), len(words), min(linked, len(words)), heading, item, *state))
+                line = " ".join(words)
+                if heading:
+                    readers = len(words) <= CUED_WORDS and line.lower().startswith(READERS)
+                out.append((line, len(words), min(linked, len(words)), heading, item, *state[:2], state[2] or readers))
             text.clear()
         linked = 0
 
@@ -160,93 +177,152 @@ def rows(found: list[tuple]) -> list[tuple]:
         heading, item, in_main, side, hint = (float(x) for x in b[3:])
         before = (size[i - 1], density[i - 1]) if i else (0, 0.0)
         after = (size[i + 1], density[i + 1]) if i + 1 < len(found) else (0, 0.0)
-        out.append((in_main, side, hint, heading, item, size[i], density[i], *before, *after))
+        cue = float(b[1] <= CUED_WORDS and b[0].lower().startswith(CUES))
+        out.append((size[i], density[i], *before, *after, heading, item, cue, in_main, side, hint))
     return out
 
 
 # Labelled blocks, in the order of FEATURES, and 1 for main text. Written by hand for this module.
 TRAINING = [
     # articles in their own part: headings, long and short paragraphs, lists, captions
-    (1, 0, 0, 0, 0, 2, 0.0, 1, 0.0, 1, 0.0, 1),
-    (1, 0, 0, 0, 1, 3, 1.0, 3, 1.0, 3, 1.0, 1),
-    (1, 0, 0, 0, 0, 4, 0.3, 2, 0.0, 3, 0.0, 1),
-    (1, 0, 0, 0, 0, 5, 0.0, 4, 0.0, 2, 1.0, 1),
-    (1, 0, 0, 1, 0, 2, 0.0, 3, 1.0, 1, 1.0, 1),
-    (1, 0, 0, 0, 0, 1, 0.0, 2, 0.0, 12, 0.1, 1),
-    (1, 0, 0, 0, 0, 20, 0.9, 3, 0.0, 4, 0.0, 1),
-    (1, 0, 0, 0, 0, 8, 0.0, 8, 0.0, 8, 0.0, 1),
-    (1, 0, 0, 1, 0, 9, 0.0, 6, 1.0, 80, 0.0, 1),
-    (1, 0, 0, 1, 0, 3, 0.0, 2, 1.0, 2, 0.0, 1),
-    (1, 0, 0, 0, 0, 80, 0.0, 9, 0.0, 60, 0.0, 1),
-    (1, 0, 0, 0, 0, 60, 0.05, 80, 0.0, 2, 0.0, 1),
-    (1, 0, 0, 0, 0, 2, 0.0, 60, 0.0, 40, 0.0, 1),
-    (1, 0, 0, 0, 0, 1, 0.0, 1, 0.0, 1, 0.0, 1),
-    (1, 0, 0, 0, 0, 40, 0.1, 2, 0.0, 0, 0.0, 1),
-    (1, 0, 0, 0, 1, 5, 0.2, 30, 0.0, 5, 0.2, 1),
-    (1, 0, 0, 0, 0, 12, 0.5, 30, 0.0, 30, 0.0, 1),
-    (1, 0, 0, 0, 0, 4, 1.0, 50, 0.0, 50, 0.0, 1),
-    (1, 0, 0, 0, 0, 6, 0.0, 6, 0.0, 12, 0.0, 1),
-    (1, 0, 0, 0, 0, 100, 0.0, 100, 0.0, 12, 0.1, 1),
-    (1, 0, 0, 0, 0, 7, 0.0, 1, 1.0, 12, 0.1, 1),
-    (1, 0, 0, 0, 0, 3, 0.0, 5, 0.0, 10, 0.0, 1),
+    (2, 0.0, 1, 0.0, 1, 0.0, 0, 0, 0, 1, 0, 0, 1),
+    (3, 1.0, 3, 1.0, 3, 1.0, 0, 1, 0, 1, 0, 0, 0),
+    (4, 0.3, 2, 0.0, 3, 0.0, 0, 0, 0, 1, 0, 0, 1),
+    (5, 0.0, 4, 0.0, 2, 1.0, 0, 0, 0, 1, 0, 0, 1),
+    (2, 0.0, 3, 1.0, 1, 1.0, 1, 0, 0, 1, 0, 0, 1),
+    (1, 0.0, 2, 0.0, 12, 0.1, 0, 0, 0, 1, 0, 0, 1),
+    (20, 0.9, 3, 0.0, 4, 0.0, 0, 0, 0, 1, 0, 0, 1),
+    (8, 0.0, 8, 0.0, 8, 0.0, 0, 0, 0, 1, 0, 0, 1),
+    (9, 0.0, 6, 1.0, 80, 0.0, 1, 0, 0, 1, 0, 0, 1),
+    (3, 0.0, 2, 1.0, 2, 0.0, 1, 0, 0, 1, 0, 0, 1),
+    (80, 0.0, 9, 0.0, 60, 0.0, 0, 0, 0, 1, 0, 0, 1),
+    (60, 0.05, 80, 0.0, 2, 0.0, 0, 0, 0, 1, 0, 0, 1),
+    (2, 0.0, 60, 0.0, 40, 0.0, 0, 0, 0, 1, 0, 0, 1),
+    (1, 0.0, 1, 0.0, 1, 0.0, 0, 0, 0, 1, 0, 0, 1),
+    (40, 0.1, 2, 0.0, 0, 0.0, 0, 0, 0, 1, 0, 0, 1),
+    (5, 0.2, 30, 0.0, 5, 0.2, 0, 1, 0, 1, 0, 0, 1),
+    (12, 0.5, 30, 0.0, 30, 0.0, 0, 0, 0, 1, 0, 0, 1),
+    (4, 1.0, 50, 0.0, 50, 0.0, 0, 0, 0, 1, 0, 0, 1),
+    (6, 0.0, 6, 0.0, 12, 0.0, 0, 0, 0, 1, 0, 0, 1),
+    (100, 0.0, 100, 0.0, 12, 0.1, 0, 0, 0, 1, 0, 0, 1),
+    (7, 0.0, 1, 1.0, 12, 0.1, 0, 0, 0, 1, 0, 0, 1),
+    (3, 0.0, 5, 0.0, 10, 0.0, 0, 0, 0, 1, 0, 0, 1),
     # side parts and named parts inside articles
-    (1, 0, 1, 0, 0, 10, 0.0, 60, 0.0, 60, 0.0, 0),
-    (1, 0, 1, 0, 0, 50, 0.0, 60, 0.0, 60, 0.0, 0),
-    (1, 0, 1, 0, 0, 3, 0.0, 60, 0.0, 10, 0.0, 0),
-    (1, 1, 0, 0, 0, 30, 0.1, 60, 0.0, 3, 0.0, 0),
-    (1, 1, 0, 0, 1, 4, 1.0, 60, 0.0, 4, 1.0, 0),
-    (1, 1, 1, 0, 0, 70, 0.0, 30, 0.0, 70, 0.0, 0),
-    (1, 1, 1, 1, 0, 5, 0.0, 70, 0.0, 0, 0.0, 0),
+    (10, 0.0, 60, 0.0, 60, 0.0, 0, 0, 0, 1, 0, 1, 0),
+    (50, 0.0, 60, 0.0, 60, 0.0, 0, 0, 0, 1, 0, 1, 0),
+    (3, 0.0, 60, 0.0, 10, 0.0, 0, 0, 0, 1, 0, 1, 0),
+    (30, 0.1, 60, 0.0, 3, 0.0, 0, 0, 0, 1, 1, 0, 0),
+    (4, 1.0, 60, 0.0, 4, 1.0, 0, 1, 0, 1, 1, 0, 0),
+    (70, 0.0, 30, 0.0, 70, 0.0, 0, 0, 0, 1, 1, 1, 0),
+    (5, 0.0, 70, 0.0, 0, 0.0, 1, 0, 0, 1, 1, 1, 0),
     # navigation, headers, footers, adverts, forms and notices outside articles
-    (0, 1, 0, 0, 1, 1, 1.0, 0, 0.0, 1, 1.0, 0),
-    (0, 1, 0, 0, 1, 2, 1.0, 1, 1.0, 2, 1.0, 0),
-    (0, 1, 0, 0, 0, 9, 0.0, 0, 0.0, 1, 1.0, 0),
-    (0, 1, 0, 0, 0, 12, 0.1, 60, 0.0, 0, 0.0, 0),
-    (0, 1, 0, 0, 0, 60, 0.0, 40, 0.0, 9, 0.0, 0),
-    (0, 0, 1, 0, 0, 8, 0.0, 1, 1.0, 9, 0.0, 0),
-    (0, 0, 1, 0, 0, 45, 0.0, 10, 0.0, 20, 0.0, 0),
-    (0, 0, 1, 0, 0, 25, 0.0, 50, 0.0, 30, 0.0, 0),
-    (0, 1, 1, 1, 0, 4, 0.0, 1, 1.0, 30, 0.0, 0),
-    (0, 1, 1, 0, 0, 100, 0.0, 90, 0.0, 80, 0.0, 0),
-    (0, 1, 0, 0, 0, 60, 0.0, 40, 0.0, 0, 0.0, 0),
-    (0, 1, 0, 0, 0, 30, 0.0, 80, 0.0, 3, 0.0, 0),
-    (0, 1, 0, 0, 0, 25, 0.0, 2, 1.0, 60, 0.0, 0),
-    (0, 0, 1, 0, 0, 50, 0.0, 30, 0.0, 4, 0.0, 0),
-    (0, 0, 1, 0, 0, 60, 0.1, 60, 0.0, 0, 0.0, 0),
-    (0, 0, 1, 0, 0, 25, 0.0, 3, 1.0, 5, 0.0, 0),
-    (0, 0, 1, 1, 0, 5, 0.0, 40, 0.0, 40, 0.0, 0),
+    (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0, 0, 1, 0, 0),
+    (2, 1.0, 1, 1.0, 2, 1.0, 0, 1, 0, 0, 1, 0, 0),
+    (9, 0.0, 0, 0.0, 1, 1.0, 0, 0, 0, 0, 1, 0, 0),
+    (12, 0.1, 60, 0.0, 0, 0.0, 0, 0, 0, 0, 1, 0, 0),
+    (60, 0.0, 40, 0.0, 9, 0.0, 0, 0, 0, 0, 1, 0, 0),
+    (8, 0.0, 1, 1.0, 9, 0.0, 0, 0, 0, 0, 0, 1, 0),
+    (45, 0.0, 10, 0.0, 20, 0.0, 0, 0, 0, 0, 0, 1, 0),
+    (25, 0.0, 50, 0.0, 30, 0.0, 0, 0, 0, 0, 0, 1, 0),
+    (4, 0.0, 1, 1.0, 30, 0.0, 1, 0, 0, 0, 1, 1, 0),
+    (100, 0.0, 90, 0.0, 80, 0.0, 0, 0, 0, 0, 1, 1, 0),
+    (60, 0.0, 40, 0.0, 0, 0.0, 0, 0, 0, 0, 1, 0, 0),
+    (30, 0.0, 80, 0.0, 3, 0.0, 0, 0, 0, 0, 1, 0, 0),
+    (25, 0.0, 2, 1.0, 60, 0.0, 0, 0, 0, 0, 1, 0, 0),
+    (50, 0.0, 30, 0.0, 4, 0.0, 0, 0, 0, 0, 0, 1, 0),
+    (60, 0.1, 60, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 1, 0),
+    (25, 0.0, 3, 1.0, 5, 0.0, 0, 0, 0, 0, 0, 1, 0),
+    (5, 0.0, 40, 0.0, 40, 0.0, 1, 0, 0, 0, 0, 1, 0),
     # pages without such parts: long prose is text, so are headings and short lines next to it
-    (0, 0, 0, 0, 0, 3, 0.0, 4, 0.0, 4, 0.0, 0),
-    (0, 0, 0, 0, 0, 2, 0.0, 1, 1.0, 0, 0.0, 0),
-    (0, 0, 0, 0, 0, 6, 0.0, 5, 0.0, 0, 0.0, 0),
-    (0, 0, 0, 0, 0, 4, 0.0, 0, 0.0, 3, 0.0, 0),
-    (0, 0, 0, 1, 0, 3, 0.0, 0, 0.0, 2, 1.0, 0),
-    (0, 0, 0, 0, 0, 60, 0.0, 5, 0.0, 70, 0.0, 1),
-    (0, 0, 0, 0, 0, 25, 0.05, 60, 0.0, 40, 0.0, 1),
-    (0, 0, 0, 0, 0, 30, 0.0, 2, 1.0, 5, 0.0, 1),
-    (0, 0, 0, 0, 0, 18, 0.1, 9, 0.0, 25, 0.0, 1),
-    (0, 0, 0, 0, 0, 100, 0.1, 3, 1.0, 3, 1.0, 1),
-    (0, 0, 0, 1, 0, 7, 0.0, 2, 1.0, 60, 0.0, 1),
-    (0, 0, 0, 1, 0, 4, 0.0, 40, 0.0, 60, 0.0, 1),
-    (0, 0, 0, 0, 0, 3, 0.0, 50, 0.0, 45, 0.0, 1),
-    (0, 0, 0, 0, 0, 1, 0.0, 40, 0.0, 30, 0.0, 1),
-    (0, 0, 0, 0, 0, 2, 0.0, 30, 0.0, 20, 0.0, 1),
-    (0, 0, 0, 0, 0, 4, 0.0, 25, 0.0, 15, 0.0, 1),
-    (0, 0, 0, 0, 0, 2, 0.0, 15, 0.0, 60, 0.0, 1),
-    (0, 0, 0, 0, 0, 6, 0.0, 45, 0.0, 35, 0.05, 1),
-    (0, 0, 0, 0, 1, 9, 0.1, 30, 0.0, 9, 0.1, 1),
-    (0, 0, 0, 0, 0, 5, 0.0, 4, 0.0, 5, 0.0, 0),
-    (0, 0, 0, 0, 0, 2, 1.0, 2, 1.0, 2, 1.0, 0),
-    (0, 0, 0, 0, 0, 3, 1.0, 0, 0.0, 60, 0.0, 0),
-    (0, 0, 0, 0, 1, 6, 0.9, 60, 0.0, 6, 0.9, 0),
-    (0, 0, 0, 0, 0, 4, 0.0, 3, 1.0, 2, 1.0, 0),
-    (0, 0, 0, 0, 0, 15, 0.8, 2, 1.0, 30, 0.0, 0),
-    (0, 0, 0, 0, 0, 30, 0.7, 15, 0.8, 4, 0.9, 0),
-    (0, 0, 0, 0, 0, 5, 0.3, 60, 0.0, 0, 0.0, 0),
-    (0, 0, 0, 1, 0, 4, 0.0, 2, 1.0, 3, 1.0, 0),
-    (0, 0, 0, 0, 0, 8, 0.0, 3, 1.0, 4, 0.9, 0),
+    (3, 0.0, 4, 0.0, 4, 0.0, 0, 0, 0, 0, 0, 0, 0),
+    (2, 0.0, 1, 1.0, 0, 0.0, 0, 0, 0, 0, 0, 0, 0),
+    (6, 0.0, 5, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 0, 0),
+    (4, 0.0, 0, 0.0, 3, 0.0, 0, 0, 0, 0, 0, 0, 0),
+    (3, 0.0, 0, 0.0, 2, 1.0, 1, 0, 0, 0, 0, 0, 0),
+    (60, 0.0, 5, 0.0, 70, 0.0, 0, 0, 0, 0, 0, 0, 1),
+    (25, 0.05, 60, 0.0, 40, 0.0, 0, 0, 0, 0, 0, 0, 1),
+    (30, 0.0, 2, 1.0, 5, 0.0, 0, 0, 0, 0, 0, 0, 1),
+    (18, 0.1, 9, 0.0, 25, 0.0, 0, 0, 0, 0, 0, 0, 1),
+    (100, 0.1, 3, 1.0, 3, 1.0, 0, 0, 0, 0, 0, 0, 1),
+    (7, 0.0, 2, 1.0, 60, 0.0, 1, 0, 0, 0, 0, 0, 1),
+    (4, 0.0, 40, 0.0, 60, 0.0, 1, 0, 0, 0, 0, 0, 1),
+    (3, 0.0, 50, 0.0, 45, 0.0, 0, 0, 0, 0, 0, 0, 1),
+    (1, 0.0, 40, 0.0, 30, 0.0, 0, 0, 0, 0, 0, 0, 1),
+    (2, 0.0, 30, 0.0, 20, 0.0, 0, 0, 0, 0, 0, 0, 1),
+    (4, 0.0, 25, 0.0, 15, 0.0, 0, 0, 0, 0, 0, 0, 1),
+    (2, 0.0, 15, 0.0, 60, 0.0, 0, 0, 0, 0, 0, 0, 1),
+    (6, 0.0, 45, 0.0, 35, 0.05, 0, 0, 0, 0, 0, 0, 1),
+    (9, 0.1, 30, 0.0, 9, 0.1, 0, 1, 0, 0, 0, 0, 1),
+    (5, 0.0, 4, 0.0, 5, 0.0, 0, 0, 0, 0, 0, 0, 0),
+    (2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 0, 0, 0),
+    (3, 1.0, 0, 0.0, 60, 0.0, 0, 0, 0, 0, 0, 0, 0),
+    (6, 0.9, 60, 0.0, 6, 0.9, 0, 1, 0, 0, 0, 0, 0),
+    (4, 0.0, 3, 1.0, 2, 1.0, 0, 0, 0, 0, 0, 0, 0),
+    (15, 0.8, 2, 1.0, 30, 0.0, 0, 0, 0, 0, 0, 0, 0),
+    (30, 0.7, 15, 0.8, 4, 0.9, 0, 0, 0, 0, 0, 0, 0),
+    (5, 0.3, 60, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 0, 0),
+    (4, 0.0, 2, 1.0, 3, 1.0, 1, 0, 0, 0, 0, 0, 0),
+    (8, 0.0, 3, 1.0, 4, 0.9, 0, 0, 0, 0, 0, 0, 0),
+    # lists of links in an article: menus; a link of its own between prose: text
+    (1, 1.0, 3, 0.0, 1, 1.0, 0, 1, 0, 1, 0, 0, 0),
+    (1, 1.0, 1, 1.0, 2, 1.0, 0, 1, 0, 1, 0, 0, 0),
+    (2, 1.0, 1, 1.0, 40, 0.0, 0, 1, 0, 1, 0, 0, 0),
+    (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0, 1, 0, 0, 0),
+    (4, 1.0, 5, 1.0, 6, 1.0, 0, 0, 0, 1, 0, 0, 0),
+    (3, 1.0, 30, 0.0, 25, 0.0, 0, 1, 0, 1, 0, 0, 1),
+    (2, 1.0, 12, 0.2, 9, 0.1, 0, 1, 0, 1, 0, 0, 1),
+    (15, 0.9, 40, 0.0, 12, 0.1, 0, 0, 0, 1, 0, 0, 1),
+    # short notices and offers, which articles may quote
+    (7, 0.0, 60, 0.0, 0, 0.0, 0, 0, 1, 0, 0, 0, 0),
+    (5, 0.0, 40, 0.0, 6, 0.0, 0, 0, 1, 0, 0, 0, 0),
+    (2, 0.0, 60, 0.0, 3, 0.0, 1, 0, 1, 0, 0, 0, 0),
+    (8, 0.0, 80, 0.0, 0, 0.0, 0, 0, 1, 1, 0, 0, 1),
+    (3, 0.0, 20, 0.0, 60, 0.0, 0, 0, 1, 1, 0, 0, 1),
+    (2, 1.0, 60, 0.0, 50, 0.0, 0, 0, 1, 1, 0, 0, 0),
+    (3, 0.0, 30, 0.0, 12, 0.0, 1, 0, 1, 1, 0, 0, 0),
+    (12, 0.1, 20, 0.0, 40, 0.0, 0, 0, 1, 0, 0, 0, 0),
+    # headings: before prose, before links
+    (2, 0.0, 0, 0.0, 60, 0.0, 1, 0, 0, 0, 0, 0, 1),
+    (2, 0.0, 2, 1.0, 40, 0.0, 1, 0, 0, 0, 0, 0, 1),
+    (1, 0.0, 30, 0.0, 30, 0.0, 1, 0, 0, 0, 0, 0, 1),
+    (6, 0.0, 0, 0.0, 14, 0.0, 1, 0, 0, 0, 0, 0, 1),
+    (4, 0.0, 3, 1.0, 20, 0.1, 1, 0, 0, 0, 0, 0, 1),
+    (3, 0.0, 3, 0.0, 25, 0.0, 1, 0, 0, 0, 0, 0, 1),
+    (2, 0.0, 1, 0.0, 50, 0.0, 1, 0, 0, 0, 0, 0, 1),
+    (3, 0.0, 2, 1.0, 2, 1.0, 1, 0, 0, 0, 0, 0, 0),
+    (4, 0.0, 40, 0.0, 3, 1.0, 1, 0, 0, 0, 0, 0, 0),
+    (2, 1.0, 0, 0.0, 30, 0.0, 1, 0, 0, 0, 0, 0, 0),
+    # prose between links, and remarks between them
+    (50, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 0, 0, 1),
+    (30, 0.0, 4, 1.0, 3, 0.9, 0, 0, 0, 0, 0, 0, 1),
+    (25, 0.1, 3, 1.0, 2, 1.0, 0, 0, 0, 0, 0, 0, 1),
+    (16, 0.0, 3, 1.0, 2, 1.0, 0, 0, 0, 0, 0, 0, 1),
+    (40, 0.05, 60, 0.0, 3, 1.0, 0, 0, 0, 0, 0, 0, 1),
+    (20, 0.0, 2, 1.0, 25, 0.0, 0, 0, 0, 0, 0, 0, 1),
+    (4, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 0, 0, 0),
+    (6, 0.2, 3, 1.0, 4, 1.0, 0, 0, 0, 0, 0, 0, 0),
+    (1, 0.0, 40, 0.0, 1, 0.0, 0, 0, 0, 0, 0, 0, 1),
+    (3, 0.0, 60, 0.0, 2, 0.0, 0, 0, 0, 0, 0, 0, 1),
+    (5, 0.0, 30, 0.0, 3, 0.0, 0, 0, 0, 0, 0, 0, 1),
+    (3, 0.67, 50, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 0, 0),
+    (5, 0.8, 40, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 0, 0),
+    (8, 0.75, 30, 0.0, 3, 0.5, 0, 0, 0, 0, 0, 0, 0),
+    # items without links
+    (2, 0.0, 2, 0.0, 20, 0.0, 0, 1, 0, 0, 0, 0, 1),
+    (2, 0.0, 30, 0.0, 2, 0.0, 0, 1, 0, 0, 0, 0, 1),
+    (4, 0.0, 4, 0.0, 4, 0.0, 0, 1, 0, 0, 0, 0, 1),
+    (3, 0.0, 3, 0.0, 30, 0.0, 0, 1, 0, 0, 0, 0, 1),
+    (5, 0.0, 6, 0.0, 3, 0.0, 0, 1, 0, 0, 0, 0, 1),
+    # pages of one or two plain blocks
+    (14, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 0, 1),
+    (7, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 0, 1),
+    (19, 0.0, 3, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 0, 1),
+    (12, 0.0, 2, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 0, 1),
+    (13, 0.0, 0, 0.0, 16, 0.0, 0, 0, 0, 0, 0, 0, 1),
+    (16, 0.0, 13, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 0, 1),
+    (2, 1.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 0, 0),
 ]
-TREE = grow([r[:-1] for r in TRAINING], [r[-1] for r in TRAINING])
+TREE = grow([r[:-1] for r in TRAINING], [r[-1] for r in TRAINING], depth=12)
 
 
 def main_text(page: str | None, tree=TREE) -> str:

@@ -343,6 +343,28 @@ def test_main_text(page, text):
     assert htmltext.main_text(page) == text
 
 
+W40 = ("w " * 40).strip()
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><p title=it's>one two</p><p>three</p></article>", "one two\nthree"),
+        ("<article><p>a <svg><style>x{}</style><text>LABEL</text></svg> b</p></article>", "a b"),
+        ("<article><section class='head-injury'><p>kept here</p></section><div id=meta-analysis><p>more kept</p></div></article>", "kept here\nmore kept"),
+        ("<article><p>kept</p><div class=site-footer><p>gone</p></div><div class='ad-slot'>gone</div></article>", "kept"),
+        ("<body><p>One plain sentence is all that this page has to say to its readers.</p></body>", "One plain sentence is all that this page has to say to its readers."),
+        (f"<article><ul><li><a href=/>Home</a></li><li><a href=/a>About</a></li></ul><p>{W40}</p></article>", W40),
+        (f"<body><h1>Title</h1><p>{W40}</p><p>Copyright 2020 Example Corp. All rights reserved.</p></body>", f"Title\n{W40}"),
+        (f"<body><h1>Title</h1><p>{W40}</p><h3>Readers say</h3><p>Great stuff, thanks for this!</p><p>{W40}</p></body>", f"Title\n{W40}"),
+        (f"<body><div><a href=/>Home</a> <a href=/b>Blog</a></div><p>{W40}</p><div><a>x</a> | <a>y</a></div></body>", W40),
+        (f"<body><h1>Title</h1><p>{W40}</p><p>ok.</p><h2>Next</h2><p>{W40}</p><ul><li>one two</li><li>three four</li></ul><p>{W40}</p></body>", f"Title\n{W40}\nok.\nNext\n{W40}\none two\nthree four\n{W40}"),
+    ],
+)
+def test_neighbours_and_names_decide(page, text):
+    assert htmltext.main_text(page) == text
+
+
 @pytest.mark.parametrize(
     ("inner", "text"),
     [
