@@ -2,7 +2,7 @@
 
 A page is cut into blocks at block-level tags; scripts, styles, templates, comments, the head, form controls, drawings
 (svg, canvas), frames and players give no text. A block's features are its words and link density, those of the blocks before and after it, whether it is a
-heading or a list item, whether it is short and begins like a notice, whether it stands in an article or main part,
+heading or a list item, whether it is short and begins like a notice (articles may quote those), whether it stands in an article or main part,
 whether the nearest part around it is one for navigation, headers, footers, asides or forms, and whether a class, id or
 role around it names such a part, or the heading above it announces readers' comments. The tree is grown from TRAINING, a
 table of labelled blocks, when the module is loaded. Where parts are tagged they tell most; in articles and on pages
@@ -177,7 +177,7 @@ def rows(found: list[tuple]) -> list[tuple]:
         heading, item, in_main, side, hint = (float(x) for x in b[3:])
         before = (size[i - 1], density[i - 1]) if i else (0, 0.0)
         after = (size[i + 1], density[i + 1]) if i + 1 < len(found) else (0, 0.0)
-        cue = float(b[1] <= CUED_WORDS and b[0].lower().startswith(CUES))
+        cue = float(not in_main and b[1] <= CUED_WORDS and b[0].lower().startswith(CUES))
         out.append((size[i], density[i], *before, *after, heading, item, cue, in_main, side, hint))
     return out
 
@@ -272,14 +272,13 @@ TRAINING = [
     (3, 1.0, 30, 0.0, 25, 0.0, 0, 1, 0, 1, 0, 0, 1),
     (2, 1.0, 12, 0.2, 9, 0.1, 0, 1, 0, 1, 0, 0, 1),
     (15, 0.9, 40, 0.0, 12, 0.1, 0, 0, 0, 1, 0, 0, 1),
-    # short notices and offers, which articles may quote
+    # short notices and offers
+    (4, 0.0, 20, 0.0, 30, 0.0, 0, 0, 1, 0, 0, 0, 0),
+    (9, 0.0, 0, 0.0, 60, 0.0, 0, 0, 1, 0, 0, 0, 0),
+    (3, 0.0, 10, 0.0, 8, 0.0, 0, 0, 1, 0, 0, 0, 0),
     (7, 0.0, 60, 0.0, 0, 0.0, 0, 0, 1, 0, 0, 0, 0),
     (5, 0.0, 40, 0.0, 6, 0.0, 0, 0, 1, 0, 0, 0, 0),
     (2, 0.0, 60, 0.0, 3, 0.0, 1, 0, 1, 0, 0, 0, 0),
-    (8, 0.0, 80, 0.0, 0, 0.0, 0, 0, 1, 1, 0, 0, 1),
-    (3, 0.0, 20, 0.0, 60, 0.0, 0, 0, 1, 1, 0, 0, 1),
-    (2, 1.0, 60, 0.0, 50, 0.0, 0, 0, 1, 1, 0, 0, 0),
-    (3, 0.0, 30, 0.0, 12, 0.0, 1, 0, 1, 1, 0, 0, 0),
     (12, 0.1, 20, 0.0, 40, 0.0, 0, 0, 1, 0, 0, 0, 0),
     # headings: before prose, before links
     (2, 0.0, 0, 0.0, 60, 0.0, 1, 0, 0, 0, 0, 0, 1),
