@@ -4,8 +4,8 @@ Features are hashed counts of byte pairs and triples of letters (other character
 their shares. A one-against-rest linear support vector machine chooses the family. Within a family every pair of
 languages has a linear support vector machine of its own; the language with most pairs wins, ties by summed margins.
 
-Training uses about MAX_ROWS labelled texts in all, dealt evenly over the languages by a digest of the text, which is
-a bound on what reaches the driver; prediction reads every whole text. Only text and lang of the rows for which
+Training uses about MAX_ROWS different labelled texts in all, or MIN_EACH of every language if that is more, chosen by a
+digest of the text, which is a bound on what reaches the driver; prediction reads every whole text. Only text and lang of the rows for which
 ``learn`` holds are learnt from.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; rows with a null lang or id are not learnt
@@ -44,7 +44,7 @@ FAMILIES = {
 }
 WIDTH_BITS = 11
 WIDTH = 1 << WIDTH_BITS
-MAX_ROWS = 4_000
+MAX_ROWS, MIN_EACH = 4_000, 20
 NONE = "und"
 
 _SHAPE = np.full(256, 32, np.uint8)
@@ -164,13 +164,13 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, learn: Column, most: int = MAX_ROWS) -> Identifier | None:
     """An identifier, or None if nothing can be learnt."""
     usable = docs.filter(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}")).select(F.col("lang").cast("string"), F.col("text").cast("string"))
-    counts = {r[0]: r[1] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most // 20).collect()}
+    counts = {r[0]: r[1] for r in usable.groupBy("lang").count().collect()}
     if not counts:
         return None
-    each = most // len(counts)
-    part = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    limit = F.coalesce(*[F.when(F.col("lang") == g, F.lit(min(1 << 30, int((1 << 30) * each / n)))) for g, n in counts.items()])
-    sample = usable.filter(part < limit).mapInArrow(_rows, "lang string, x array<float>").toArrow()
+    each = max(MIN_EACH, most // len(counts))
+    limits = F.create_map(*[F.lit(x) for g, n in sorted(counts.items()) for x in (g, min(1 << 30, int((1 << 30) * each / n)))])
+    chosen = usable.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.element_at(limits, F.col("lang"))).distinct()  # copies once
+    sample = chosen.mapInArrow(_rows, "lang string, x array<float>").toArrow()
     if not sample.num_rows:
         return None
     x = sample["x"].combine_chunks().values.to_numpy().reshape(-1, WIDTH).astype(float)
