@@ -1,28 +1,30 @@
 """Exact top-k inner products without random access (NRA).
 
-Vectors become integers, floor(256 * x). Queries and candidates are dealt to cells of at most about QUERIES by
-CANDIDATES vectors, so that every query meets every candidate in one cell and no cell grows with the table.
+Vectors become integers, floor(256 * x). Candidates stay where they are: every task reads its own in cells of at most CELL
+rows. Queries go to them in blocks of at most QUERY_BYTES, so every query meets every candidate once and nothing grows
+with the product of the two but the work itself.
 
-In a cell every dimension is a list of the candidates sorted by value. The lists are only read in sequence, from both
-ends at once (a negative query component wants small values): after a round the unread values of list d lie between two
-borders. A candidate's score then lies between its read part plus the least, and plus the most, that its unread
-dimensions can add. The k-th best lower bound of a query, where every other id counts with its best row and the query's
-own id not at all, is its floor; a candidate whose upper bound is below it is out, and a candidate that no list has shown
-yet has the bound of the borders alone. Reading ends when for every query of the cell the candidates that are left are
-few, or the lists are read; their final scores are resolved exactly, in integers. All queries of a cell share the reads,
-as rows of one matrix.
+In a cell every dimension is a list of the candidates sorted by value, read only in sequence, for a query from the end
+that its component wants (a negative one wants small values). After each step a candidate's score lies between its read
+part plus the least, and plus the most, that its unread dimensions can add: the most is the border up to which a list is
+read. The floor of a query is the k-th best score that it has from the cells before, or the k-th best lower bound of this
+one, where an id counts once and the query's own id not at all. A candidate whose upper bound is below the floor is out
+for good, also one that no list has shown yet. Reading ends when few candidates are left; their final scores are
+resolved exactly, in integers, and raise the floor for the next cell.
 
-The best of each cell are merged by query. Ties go to the smaller vec_id.
+The best of each task are merged by query. Ties go to the smaller vec_id.
 
 Defined cases: vectors that are null, empty, or hold null or non-finite components take no part, as query or candidate;
 vectors of different lengths do not meet; rows with a null id take no part; a query's own row is left out by its id, so
-rows that repeat an id are not each other's candidates, and rows that
-repeat id and score count once; a query without candidates gives no row; other columns are
-ignored, whatever their names. Components must be below 2**15 in size, so that bounds are exact.
+rows that repeat an id are not each other's candidates, and rows that repeat id and score count once; a query without
+candidates gives no row; other columns are ignored, whatever their names. Bounds are floating-point numbers with room for
+their rounding; scores must fit a long.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -32,9 +34,9 @@ from pyspark.sql import functions as F
 from tessella.llm import scratch
 
 K, EVERY, SCALE = 5, 50, 256
-QUERIES, CANDIDATES = 256, 4096
-#: Shares of the lists that are unread when bounds are compared, and candidates a wanted result that end the reading.
-UNREAD = (0.3, 0.15, 0.07)
+CELL, QUERY_BYTES = 1 << 14, 8 << 20
+#: Shares of the lists after which bounds are compared, and candidates a wanted result that end the reading.
+READ = (0.25, 0.5, 0.625, 0.75, 1.0)
 FEW = 30
 RESULT = "query_id long, vec_id long, score long"
 
@@ -46,73 +48,122 @@ def integers(vectors: DataFrame) -> DataFrame:
     return vectors.filter(fine).select(F.col("vec_id").cast("long").alias("id"), F.transform(x, lambda c: F.floor(c * SCALE).cast("long")).alias("v"))
 
 
-def nra(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """``(query id, candidate id, score)``, the k best of each query without repeats; rows of q and c are integer vectors.
-
-    What the lists have shown after some reads are the entries whose place in their list is before ``lo`` or from
-    ``hi`` on, so the read parts and the bounds of all queries and candidates are products of matrices.
-    """
-    n, d = c.shape
-    order = np.argsort(c, axis=0, kind="stable")
-    place = np.empty_like(order)
-    np.put_along_axis(place, order, np.broadcast_to(np.arange(n)[:, None], (n, d)), axis=0)
-    lists = np.take_along_axis(c, order, axis=0).astype(float)
-    qf, cf = q.astype(float), c.astype(float)
-    by_id = np.argsort(c_ids, kind="stable")
-    first = np.flatnonzero(np.diff(c_ids[by_id], prepend=c_ids[by_id[0]] - 1))  # where the rows of an id begin
-    own = q_ids[:, None] == c_ids
-    nth = len(first) - min(k, len(first))
-    for unread in (*UNREAD, 0.0):
-        lo = min(int(n * (1 - unread) / 2), n)
-        hi = n - lo if unread else lo
-        seen = (place < lo) | (place >= hi)
-        lower = qf @ np.where(seen, cf, 0.0).T
-        upper = lower
-        if lo < hi:
-            x, y = qf * lists[lo], qf * lists[hi - 1]
-            hidden = (~seen).astype(float).T
-            lower, upper = lower + np.minimum(x, y) @ hidden, lower + np.maximum(x, y) @ hidden
-        lower = np.where(own, -np.inf, lower)
-        if len(first) < n:
-            lower = np.maximum.reduceat(lower[:, by_id], first, axis=1)
-        alive = ~own & (upper >= np.partition(lower, nth, axis=1)[:, nth, None])
-        if alive.sum(axis=1).max() <= FEW * k:
-            break
-    out = []
-    for i in range(len(q)):
-        rows = np.flatnonzero(alive[i])
-        pairs = np.unique(np.stack([-(c[rows] @ q[i]), c_ids[rows]], axis=1), axis=0)[:k]
-        out += [(int(q_ids[i]), int(b), -int(score)) for score, b in pairs]
-    return out
-
-
-def _cell(table: pa.Table, k: int) -> pa.Table:
-    is_query = table["is_query"].to_numpy()
-    ids = table["id"].to_numpy()
-    v = np.concatenate([x.flatten().to_numpy() for x in table["v"].chunks]).reshape(len(ids), -1)
-    found = []
-    if is_query.any() and not is_query.all():
-        found = nra(v[is_query], ids[is_query], v[~is_query], ids[~is_query], k)
+class Cell:
+    """Candidates ``v`` (integers, a row each) with their ids, and each dimension's list."""
+
+    def __init__(self, v: np.ndarray, ids: np.ndarray):
+        self.v, self.ids = v, ids
+        self.order = np.argsort(v, axis=0, kind="stable")
+        self.lists = np.take_along_axis(v, self.order, axis=0).astype(float)
+        self.place = np.empty_like(self.order)
+        np.put_along_axis(self.place, self.order, np.broadcast_to(np.arange(len(v))[:, None], v.shape), axis=0)
+        self.repeats = len(np.unique(ids)) < len(ids)
+
+    def best(self, q: np.ndarray, own: int, floor: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(scores, ids) of the few candidates of query ``q`` that can be among its k best; ``floor`` is what these need."""
+        n, d = self.v.shape
+        w, up = q.astype(float), q >= 0
+        rest = np.where(up, self.lists[0], self.lists[-1]) * w  # the least that a dimension can add
+        room = 1e-12 * float(np.abs(w) @ np.abs(self.lists).max(axis=0))
+        got, alive, read = np.zeros(n), np.flatnonzero(self.ids != own), 0
+        for share in READ:
+            to = max(int(n * share), read)
+            shown = [(slice(n - to, n - read), np.flatnonzero(up)), (slice(read, to), np.flatnonzero(~up))]
+            for part, dims in shown:
+                got += np.bincount(self.order[part, dims].ravel(), (self.lists[part, dims] * w[dims]).ravel(), n)
+            read = to
+            if len(alive) <= FEW * k or read == n:
+                break
+            place = self.place[alive]
+            hidden = (np.where(up, place < n - read, place >= read)).astype(float)
+            border = np.where(up, self.lists[n - 1 - read], self.lists[read]) * w
+            lower = got[alive] + hidden @ rest
+            if self.repeats:
+                by_id = np.argsort(self.ids[alive], kind="stable")
+                first = np.flatnonzero(np.diff(self.ids[alive][by_id], prepend=self.ids[alive][by_id[0]] - 1))
+                lower = np.maximum.reduceat(lower[by_id], first)
+            if len(lower) >= k:
+                floor = max(floor, np.partition(lower, -k)[-k] - room)
+            alive = alive[got[alive] + hidden @ border + room >= floor]
+        return self.v[alive] @ q, self.ids[alive]
+
+
+class Search:
+    """Queries ``v`` with their ids, and the k best distinct (score, id) of each so far."""
+
+    def __init__(self, v: np.ndarray, ids: np.ndarray, k: int):
+        self.v, self.ids, self.k = v, ids, k
+        self.found: list[list[tuple[int, int]]] = [[] for _ in ids]  # (-score, id)
+
+    def read(self, cell: Cell) -> None:
+        for i, (q, own) in enumerate(zip(self.v, self.ids, strict=True)):
+            have = self.found[i]
+            floor = -have[-1][0] if len(have) == self.k else -np.inf
+            scores, ids = cell.best(q, own, floor, self.k)
+            new = np.flatnonzero(scores >= floor)
+            self.found[i] = sorted({*have, *zip((-scores[new]).tolist(), ids[new].tolist(), strict=True)})[: self.k]
+
+    def rows(self) -> list[tuple[int, int, int]]:
+        return [(int(own), c, -s) for own, have in zip(self.ids, self.found, strict=True) for s, c in have]
+
+
+def _matrix(column: pa.ListArray, rows: np.ndarray, dim: int) -> np.ndarray:
+    starts = column.offsets.to_numpy()[rows]
+    return column.values.to_numpy()[starts[:, None] + np.arange(dim)]
+
+
+def _groups(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(dimensions, ids, vectors) for each length of vector in ``batch(id, v)``."""
+    ids, sizes = batch.column(0).to_numpy(), np.diff(batch.column(1).offsets.to_numpy())
+    for dim in np.unique(sizes).tolist():
+        rows = np.flatnonzero(sizes == dim)
+        yield dim, ids[rows], _matrix(batch.column(1), rows, dim)
+
+
+def _scan(batches: Iterator[pa.RecordBatch], queries: dict, k: int) -> Iterator[pa.RecordBatch]:
+    searches = {dim: Search(v, ids, k) for dim, (ids, v) in queries.items()}
+    waiting: dict[int, list] = {dim: [] for dim in searches}
+
+    def read(dim: int, least: int) -> None:
+        while sum(len(ids) for ids, _ in waiting[dim]) >= least:
+            ids, v = (np.concatenate(x) for x in zip(*waiting[dim], strict=True))
+            searches[dim].read(Cell(v[:CELL], ids[:CELL]))
+            waiting[dim] = [(ids[CELL:], v[CELL:])] if len(ids) > CELL else []
+
+    for batch in batches:
+        for dim, ids, v in _groups(batch):
+            if dim in searches:
+                waiting[dim].append((ids, v))
+                read(dim, CELL)
+    for dim in searches:
+        read(dim, 1)
+    found = [r for s in searches.values() for r in s.rows()]
     columns = list(zip(*found, strict=True)) or [[], [], []]
-    return pa.table([pa.array(x, pa.int64()) for x in columns], names=["query_id", "vec_id", "score"])
+    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
 
 
 def search(vectors: DataFrame, is_query: Column | None = None, k: int = K) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k best candidates of every query, which is by default every row whose id
     is divisible by EVERY. Candidates are all rows with another id."""
+    spark = vectors.sparkSession
     all_ = scratch.save(integers(vectors).dropDuplicates(["id", "v"]), "vectors")
-    queries = scratch.save(all_.filter(F.pmod("id", F.lit(EVERY)) == 0 if is_query is None else is_query), "queries")
-    q_blocks = max(1, -(-queries.count() // QUERIES))
-    c_blocks = max(1, -(-all_.count() // CANDIDATES))
-    deal = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    deal_row = lambda n: F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(n)).cast("int")
-    q = queries.select("id", "v", F.size("v").alias("dim"), F.lit(True).alias("is_query"), deal(q_blocks, 1).alias("qb"), spread(c_blocks).alias("cb"))
-    c = all_.select("id", "v", F.size("v").alias("dim"), F.lit(False).alias("is_query"), deal_row(c_blocks).alias("cb"), spread(q_blocks).alias("qb"))
-    both = q.unionByName(c)
-    best = both.groupBy("dim", "qb", "cb").applyInArrow(lambda t: _cell(t, k), RESULT).distinct()
+    queries = all_.filter(F.pmod("id", F.lit(EVERY)) == 0 if is_query is None else is_query)
+    size = queries.agg(F.sum(8 * F.size("v"))).first()[0] or 0
+    n = max(1, -(-size // QUERY_BYTES))
+    best = None
+    for i in range(n):
+        part = queries.filter(F.pmod(F.xxhash64("id", "v"), F.lit(n)) == i).toArrow().combine_chunks()
+        held: dict[int, tuple] = {}
+        for batch in part.to_batches():
+            for dim, ids, v in _groups(batch):
+                a, b = held.get(dim, (ids[:0], v[:0]))
+                held[dim] = np.concatenate([a, ids]), np.concatenate([b, v])
+        shared = spark.sparkContext.broadcast(held)
+        found = all_.mapInArrow(lambda batches, shared=shared: _scan(batches, shared.value, k), RESULT)
+        found = scratch.save(found, "found") if n > 1 else found
+        best = found if best is None else best.unionByName(found)
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    ranked = best.distinct().withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -235,12 +235,33 @@ def test_nra_is_exact(n, m, spread):
         score = c @ c[i]
         others = sorted((j for j in range(n) if ids[j] != ids[i]), key=lambda j: (-score[j], ids[j]))[:5]
         want += [(int(ids[i]), int(ids[j]), int(score[j])) for j in others]
-    assert topk.nra(c[:m], ids[:m], c, ids, 5) == want
+    for size in (n, 64):
+        found = topk.Search(c[:m], ids[:m], 5)
+        for a in range(0, n, size):
+            found.read(topk.Cell(c[a : a + size], ids[a : a + size]))
+        assert found.rows() == want
+
+
+def test_later_cells_resolve_few_candidates():
+    rng = np.random.default_rng(2)
+    c, found = rng.integers(-900, 900, (9000, 24)), topk.Search(rng.integers(-900, 900, (1, 24)), np.array([-1]), 5)
+    found.read(topk.Cell(c[:5000], np.arange(5000)))
+    floor = -found.found[0][-1][0]
+    scores, _ = topk.Cell(c[5000:], np.arange(5000, 9000)).best(found.v[0], -1, floor, 5)
+    assert len(scores) <= topk.FEW * 5 and (scores >= floor).sum() == (c[5000:] @ found.v[0] >= floor).sum()
+
+
+def test_large_components_have_room_for_rounding():
+    rng = np.random.default_rng(3)
+    c = rng.integers(2**29, 2**29 + 3, (600, 5))
+    found = topk.Search(c[:9], np.arange(9), 5)
+    found.read(topk.Cell(c, np.arange(600)))
+    want = [(i, j, int(c[j] @ c[i])) for i in range(9) for j in sorted((j for j in range(600) if j != i), key=lambda j: (-int(c[j] @ c[i]), j))[:5]]
+    assert found.rows() == want
 
 
 def test_search_over_several_cells(spark, monkeypatch):
-    monkeypatch.setattr(topk, "CANDIDATES", 64)
-    monkeypatch.setattr(topk, "QUERIES", 3)
+    monkeypatch.setattr(topk, "QUERY_BYTES", 200)
     rng = np.random.default_rng(9)
     x = np.round(rng.normal(size=(400, 8)), 2)
     x[7:60] = x[50]
