@@ -7,10 +7,10 @@ with the product of the two but the work itself.
 In a cell every dimension is a list of the candidates sorted by value, read only in sequence, for a query from the end
 that its component wants (a negative one wants small values). After each step a candidate's score lies between its read
 part plus the least, and plus the most, that its unread dimensions can add: the most is the border up to which a list is
-read. The floor of a query is the k-th best score that it has from the cells before, or the k-th best lower bound of this
-one, where an id counts once and the query's own id not at all. A candidate whose upper bound is below the floor is out
-for good, also one that no list has shown yet. Reading ends when few candidates are left; their final scores are
-resolved exactly, in integers, and raise the floor for the next cell.
+read. The floor of a query is the k-th best score that it has from the cells before; in a task's first cell, a small one,
+the k-th best lower bound, where an id counts once and the query's own id not at all. Once the borders alone are below
+the floor, a candidate whose upper bound is below it is out for good, as are those that no list has shown yet. Reading
+ends when few candidates are left; their final scores are resolved exactly, in integers, and raise the floor.
 
 The best of each task are merged by query. Ties go to the smaller vec_id.
 
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tessella.llm import scratch
 
 K, EVERY, SCALE = 5, 50, 256
-CELL, QUERY_BYTES = 1 << 14, 8 << 20
+FIRST, CELL, QUERY_BYTES = 1 << 10, 1 << 14, 8 << 20
 #: Shares of the lists after which bounds are compared, and candidates a wanted result that end the reading.
 READ = (0.25, 0.5, 0.625, 0.75, 1.0)
 FEW = 30
@@ -49,41 +49,44 @@ def integers(vectors: DataFrame) -> DataFrame:
 
 
 class Cell:
-    """Candidates ``v`` (integers, a row each) with their ids, and each dimension's list."""
+    """Candidates ``v`` (integers, a row each) with their ids, and each dimension's list: a row of ``order`` and ``lists``."""
 
     def __init__(self, v: np.ndarray, ids: np.ndarray):
-        self.v, self.ids = v, ids
-        self.order = np.argsort(v, axis=0, kind="stable")
-        self.lists = np.take_along_axis(v, self.order, axis=0).astype(float)
-        self.place = np.empty_like(self.order)
-        np.put_along_axis(self.place, self.order, np.broadcast_to(np.arange(len(v))[:, None], v.shape), axis=0)
-        self.repeats = len(np.unique(ids)) < len(ids)
+        n, d = v.shape
+        self.v, self.ids, columns = v, ids, np.ascontiguousarray(v.T)
+        self.order = np.argsort(columns, axis=1, kind="stable")
+        self.lists = np.take_along_axis(columns, self.order, axis=1).astype(float)
+        self.place = np.empty((n, d), np.int32)
+        self.place[self.order.ravel(), np.repeat(np.arange(d), n)] = np.tile(np.arange(n, dtype=np.int32), d)
+        self.largest = np.abs(self.lists[:, [0, -1]]).max(axis=1)
+        self.repeats = len(np.unique(ids)) < n
 
     def best(self, q: np.ndarray, own: int, floor: float, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(scores, ids) of the few candidates of query ``q`` that can be among its k best; ``floor`` is what these need."""
         n, d = self.v.shape
         w, up = q.astype(float), q >= 0
-        rest = np.where(up, self.lists[0], self.lists[-1]) * w  # the least that a dimension can add
-        room = 1e-12 * float(np.abs(w) @ np.abs(self.lists).max(axis=0))
-        got, alive, read = np.zeros(n), np.flatnonzero(self.ids != own), 0
+        room = 1e-12 * float(np.abs(w) @ self.largest)
+        got, alive, read, known = np.zeros(n), np.flatnonzero(self.ids != own), 0, floor > -np.inf
         for share in READ:
             to = max(int(n * share), read)
-            shown = [(slice(n - to, n - read), np.flatnonzero(up)), (slice(read, to), np.flatnonzero(~up))]
-            for part, dims in shown:
-                got += np.bincount(self.order[part, dims].ravel(), (self.lists[part, dims] * w[dims]).ravel(), n)
-            read = to
-            if len(alive) <= FEW * k or read == n:
+            if len(alive) <= FEW * k or to == n:
                 break
+            for dims, part in ((np.flatnonzero(up), slice(n - to, n - read)), (np.flatnonzero(~up), slice(read, to))):
+                got += np.bincount(self.order[dims, part].ravel(), (self.lists[dims, part] * w[dims, None]).ravel(), n)
+            read = to
+            border = np.where(up, self.lists[:, n - 1 - read], self.lists[:, read]) * w
+            if known and border.sum() + room >= floor:
+                continue  # candidates that no list has shown yet may still be among the best
             place = self.place[alive]
-            hidden = (np.where(up, place < n - read, place >= read)).astype(float)
-            border = np.where(up, self.lists[n - 1 - read], self.lists[read]) * w
-            lower = got[alive] + hidden @ rest
-            if self.repeats:
-                by_id = np.argsort(self.ids[alive], kind="stable")
-                first = np.flatnonzero(np.diff(self.ids[alive][by_id], prepend=self.ids[alive][by_id[0]] - 1))
-                lower = np.maximum.reduceat(lower[by_id], first)
-            if len(lower) >= k:
-                floor = max(floor, np.partition(lower, -k)[-k] - room)
+            hidden = np.where(up, place < n - read, place >= read).astype(float)
+            if not known:
+                lower = got[alive] + hidden @ (np.where(up, self.lists[:, 0], self.lists[:, -1]) * w)
+                if self.repeats:
+                    by_id = np.argsort(self.ids[alive], kind="stable")
+                    first = np.flatnonzero(np.diff(self.ids[alive][by_id], prepend=self.ids[alive][by_id[0]] - 1))
+                    lower = np.maximum.reduceat(lower[by_id], first)
+                if len(lower) >= k:
+                    floor = max(floor, np.partition(lower, -k)[-k] - room)
             alive = alive[got[alive] + hidden @ border + room >= floor]
         return self.v[alive] @ q, self.ids[alive]
 
@@ -123,12 +126,14 @@ def _groups(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray
 def _scan(batches: Iterator[pa.RecordBatch], queries: dict, k: int) -> Iterator[pa.RecordBatch]:
     searches = {dim: Search(v, ids, k) for dim, (ids, v) in queries.items()}
     waiting: dict[int, list] = {dim: [] for dim in searches}
+    fresh = dict.fromkeys(searches, True)
 
-    def read(dim: int, least: int) -> None:
-        while sum(len(ids) for ids, _ in waiting[dim]) >= least:
+    def read(dim: int, rows: int = 1) -> None:
+        while sum(len(ids) for ids, _ in waiting[dim]) >= rows:
             ids, v = (np.concatenate(x) for x in zip(*waiting[dim], strict=True))
-            searches[dim].read(Cell(v[:CELL], ids[:CELL]))
-            waiting[dim] = [(ids[CELL:], v[CELL:])] if len(ids) > CELL else []
+            n = FIRST if fresh.pop(dim, False) else CELL
+            searches[dim].read(Cell(v[:n], ids[:n]))
+            waiting[dim] = [(ids[n:], v[n:])] if len(ids) > n else []
 
     for batch in batches:
         for dim, ids, v in _groups(batch):
@@ -136,7 +141,7 @@ def _scan(batches: Iterator[pa.RecordBatch], queries: dict, k: int) -> Iterator[
                 waiting[dim].append((ids, v))
                 read(dim, CELL)
     for dim in searches:
-        read(dim, 1)
+        read(dim)
     found = [r for s in searches.values() for r in s.rows()]
     columns = list(zip(*found, strict=True)) or [[], [], []]
     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
