@@ -53,11 +53,16 @@ def without_padding(ids: Column, mask: Column) -> Column:
     return F.transform(kept, lambda s: s["i"])
 
 
-def test_feedback(results: Column, most: int = 2, width: int = 20) -> Column:
-    """Lines for the first failing tests of ``array<struct<input, want, got>>``; fields are cut."""
+def test_feedback(results: Column, most: int = 2, width: int = 250) -> Column:
+    """Lines for failing tests of ``array<struct<input, want, got>>``: the first one that gave nothing, else ``most``,
+    the shortest by input and output first; fields are cut."""
     cut = lambda x: F.when(F.length(x) > width, F.concat(F.left(x, F.lit(width)), F.lit("..."))).otherwise(x)
-    failing = F.slice(F.filter(results, lambda r: F.coalesce(r["got"] != r["want"], F.lit(True))), 1, most)
-    return F.array_join(F.transform(failing, lambda r: F.concat(F.lit("input "), cut(r["input"]), F.lit(": want "), cut(r["want"]), F.lit(", got "), F.coalesce(cut(r["got"]), F.lit("nothing")))), "\n")
+    failing = F.filter(results, lambda r: F.coalesce(r["got"] != r["want"], F.lit(True)))
+    broken = F.slice(F.filter(failing, lambda r: r["got"].isNull()), 1, 1)
+    placed = F.transform(failing, lambda r, i: F.struct((F.length(r["input"]) + F.length(r["got"])).alias("n"), i.alias("i"), r.alias("r")))
+    shortest = F.slice(F.transform(F.array_sort(placed), lambda s: s["r"]), 1, most)
+    shown = F.when(F.size(broken) > 0, broken).otherwise(shortest)
+    return F.array_join(F.transform(shown, lambda r: F.concat(F.lit("input "), cut(r["input"]), F.lit(": want "), cut(r["want"]), F.lit(", got "), F.coalesce(cut(r["got"]), F.lit("nothing")))), "\n")
 
 
 def mixed_number(text: Column) -> Column:

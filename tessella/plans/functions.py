@@ -150,12 +150,13 @@ def x21(spark, d):
     return table(spark, d, "documents").select("doc_id", S.output_equal(F.concat(F.lit(" "), "lang", F.lit("\n"), "source", F.lit(" ")), F.concat("lang", F.lit(" "), "source")).alias("same"))
 
 
-@query("x22_test_feedback", "SELECT item_id, 'input 1: want 2, got ' || item_id || chr(10) || 'input 3: want ' || left(text, 20) || '..., got nothing' AS feedback FROM benchmark WHERE item_id <> 2")
+@query("x22_test_feedback", """WITH t AS (SELECT item_id, item_id % 3 = 0 AS broken, length(text) AS n, CASE WHEN length(text) > 250 THEN left(text, 250) || '...' ELSE text END AS x FROM benchmark)
+SELECT item_id, CASE WHEN broken THEN 'input 4: want a, got nothing' ELSE 'input 11: want none, got ' || item_id || chr(10) || 'input 123456: want ' || x || ', got yes' END AS feedback FROM t""")
 def x22(spark, d):
-    one = lambda i, w, g: F.struct(i.alias("input"), w.alias("want"), g.alias("got"))
-    none = F.lit(None).cast("string")
-    r = F.array(one(F.lit("0"), F.lit("x"), F.lit("x")), one(F.lit("1"), F.lit("2"), F.col("item_id").cast("string")), one(F.lit("3"), F.col("text"), none), one(F.lit("4"), F.lit("a"), none))
-    return table(spark, d, "benchmark").filter("item_id <> 2").select("item_id", T.test_feedback(r).alias("feedback"))
+    one = lambda i, w, g: F.struct(F.lit(i).alias("input"), w.alias("want"), g.alias("got"))
+    gave = F.when(F.col("item_id") % 3 != 0, "a")
+    r = F.array(one("0", F.lit("x"), F.lit("x")), one("1" * 90, F.lit("y"), F.lit("z")), one("123456", F.col("text"), F.lit("yes")), one("11", F.lit("none"), F.col("item_id").cast("string")), one("4", F.lit("a"), gave))
+    return table(spark, d, "benchmark").select("item_id", T.test_feedback(r).alias("feedback"))
 
 
 @query("x25_description", "SELECT item_id, 'Solve task ' || item_id || ' now.' AS description FROM benchmark")
