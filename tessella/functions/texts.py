@@ -74,3 +74,40 @@ def mixed_number(text: Column) -> Column:
 def canonical_json(text: Column, schema: str) -> Column:
     """JSON with the schema's fields in its order, for comparison."""
     return F.to_json(F.from_json(text, schema))
+
+
+def shuffled_choices(options: Column, right: Column, key: Column, seed: str = "0") -> Column:
+    """``struct<options, right>``: options in the order of a digest of seed, key and place, and the right one's letter."""
+    drawn = lambda x, i: F.struct(F.md5(F.concat_ws("|", F.lit(seed), key.cast("string"), i.cast("string")).cast("binary")).alias("h"), i.alias("i"), x.alias("x"))
+    order = F.array_sort(F.transform(options, drawn))
+    place = F.array_position(F.transform(order, lambda s: s["i"]), right.cast("int"))
+    return F.struct(F.transform(order, lambda s: s["x"]).alias("options"), F.char(place + 64).alias("right"))
+
+
+def with_temperature(logits: Column, temperature: float) -> Column:
+    return F.transform(logits, lambda x: x / temperature)
+
+
+def clip_by(values: Column, low: Column, high: Column) -> Column:
+    """Each value held between the bounds at its place; the upper one wins where they cross."""
+    return F.zip_with(F.zip_with(values, low, lambda x, a: F.greatest(x, a)), high, lambda x, b: F.least(x, b))
+
+
+def test_cases(text: Column) -> Column:
+    """Test cases in one form, as JSON ``inputs, outputs, testtype, fn_name, time_limit``.
+
+    Read are objects with lists of inputs and outputs, and lists of ``{"input", "output"}``.
+    """
+    both = F.from_json(text, "inputs array<string>, outputs array<string>, fn_name string, time_limit double")
+    pairs = F.from_json(text, "array<struct<input:string,output:string>>")
+    listed = F.ltrim(text).startswith("[")
+    fn = F.when(~listed, both["fn_name"])
+    return F.to_json(
+        F.struct(
+            F.when(listed, F.transform(pairs, lambda p: p["input"])).otherwise(both["inputs"]).alias("inputs"),
+            F.when(listed, F.transform(pairs, lambda p: p["output"])).otherwise(both["outputs"]).alias("outputs"),
+            F.when(F.coalesce(fn, F.lit("")) != "", "functional").otherwise("stdin").alias("testtype"),
+            F.coalesce(fn, F.lit("")).alias("fn_name"),
+            F.when(~listed, both["time_limit"]).alias("time_limit"),
+        )
+    )

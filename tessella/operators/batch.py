@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def select(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -200,13 +201,80 @@ def prefixed(df: DataFrame, prefix: str) -> DataFrame:
 
 
 def unite(frames: Sequence[DataFrame]) -> DataFrame:
-    """Rows of all frames; columns that one lacks are null there."""
+    """Rows of all frames; columns that one lacks are null there. Structs of one name must have the same fields."""
     out = frames[0]
     for f in frames[1:]:
+        for c in set(out.columns) & set(f.columns):
+            x, y = (d.schema[c].dataType for d in (out, f))
+            if isinstance(x, StructType) and isinstance(y, StructType) and set(x.names) != set(y.names):
+                raise ValueError(f"fields of {c} differ: {sorted(x.names)} and {sorted(y.names)}")
         out = out.unionByName(f, allowMissingColumns=True)
     return out
 
 
+def outer_merge(left: DataFrame, right: DataFrame, key: str, values: str) -> DataFrame:
+    """``key, values``: the arrays of both sides one after the other; a key that a side lacks is empty there."""
+    r = right.select(key, F.col(values).alias("_right"))
+    kind = left.schema[values].dataType
+    both = F.concat(*[F.coalesce(c, F.array().cast(kind)) for c in (values, "_right")])
+    return left.select(key, values).join(r, key, "full").select(key, both.alias(values))
+
+
+def inverse(permutation: DataFrame) -> DataFrame:
+    """The permutation ``rn, ord`` that takes ``permutation``'s result back."""
+    return permutation.select(F.col("ord").alias("rn"), F.col("rn").alias("ord"))
+
+
+def transpose(df: DataFrame, order: str, column: str) -> DataFrame:
+    """``key, values``: an array for each key of a map column, in order of rows; rows with other keys are an error."""
+    keys = F.array_sort(F.map_keys(column))
+    first = df.select(order, keys.alias("_k")).agg(F.min_by("_k", order).alias("_k"))
+    ok = F.when(keys == F.col("_k"), F.col(column)).otherwise(F.raise_error(F.lit("rows have different keys")).cast(df.schema[column].dataType))
+    rows = df.crossJoin(F.broadcast(first)).select(order, F.explode(ok).alias("key", "_v"))
+    packed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), "_v")))
+    return rows.groupBy("key").agg(F.transform(packed, lambda s: s["_v"]).alias("values"))
+
+
+def differences(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows that only one side has, with ``side``; of repeated rows as many as are too many. Empty for equal batches."""
+    if sorted(left.columns) != sorted(right.columns):
+        raise ValueError(f"columns differ: {sorted(left.columns)} and {sorted(right.columns)}")
+    right = right.select(*left.columns)
+    return left.exceptAll(right).withColumn("side", F.lit("left")).unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))
+
+
+def row_range(df: DataFrame, order: Sequence[str], start: int, rows: int, name: str = "rn") -> DataFrame:
+    """``rows`` rows from ordinal ``start``, or as many as there are."""
+    return slice_rows(df, order, start, start + rows, 1, name)
+
+
+def sampled_order(df: DataFrame, key: str, kind: str = "sequential", seed: int = 0, weight: str | None = None, name: str = "place") -> DataFrame:
+    """``name``: the place of each row in an epoch: by key, shuffled by a digest of seed and key, or heaviest first."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
+    orders = {"sequential": [F.col(key)], "random": [digest, F.col(key)], "curriculum": [F.desc(weight or key), F.col(key)]}
+    if kind not in orders:
+        raise ValueError(f"no such sampler: {kind}")
+    return with_ordinal(df, orders[kind], name)
+
+
+def feedback(weights: DataFrame, batch: DataFrame, key: str, score: str, rate: float = 0.5) -> DataFrame:
+    """A curriculum's ``key, weight`` after a batch: rows that scored low weigh more next time."""
+    per = batch.groupBy(key).agg(F.avg(score).alias("_s"))
+    moved = F.col("weight") + rate * (1.0 - F.col("_s") - F.col("weight"))
+    return weights.join(per, key, "left").select(key, F.coalesce(moved, F.col("weight")).alias("weight"))
+
+
+def mesh(df: DataFrame, order: Sequence[str], shards: int, replicas: int) -> DataFrame:
+    """Rows for each rank of a mesh: a shard's rows go to all its ``replicas``; ``collects`` marks the one that answers."""
+    rows = chunk(df, order, shards, pad=True, name="shard").withColumn("replica", F.explode(F.sequence(F.lit(0), F.lit(replicas - 1))))
+    return rows.withColumn("rank", F.col("shard") * replicas + F.col("replica")).withColumn("collects", F.col("replica") == 0)
+
+
+def all_gather(df: DataFrame, ranks: int) -> DataFrame:
+    """Every row on every rank."""
+    return df.withColumn("rank", F.explode(F.sequence(F.lit(0), F.lit(ranks - 1))))
+
+
 def info(df: DataFrame) -> DataFrame:
     """``column, type, nullable``."""
     return df.sparkSession.createDataFrame([(f.name, f.dataType.simpleString(), f.nullable) for f in df.schema], "column string, type string, nullable boolean")

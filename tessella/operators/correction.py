@@ -102,18 +102,38 @@ def bypass(df: DataFrame) -> DataFrame:
     return df.withColumn("old_lp", F.col("rollout_lp"))
 
 
+# Named settings of ``correct``; bypassing ones take the rollout's log-probabilities for the old ones.
 PRESETS: dict[str, dict] = {
     "decoupled_token_is": {"level": "token", "threshold": 2.0},
     "decoupled_seq_is": {"level": "sequence", "threshold": 2.0},
     "decoupled_seq_is_rs": {"level": "sequence", "threshold": 2.0, "rules": "seq_sum_k1", "rs_threshold": "0.5_2.0"},
     "decoupled_geo_rs": {"level": None, "rules": "seq_mean_k1", "rs_threshold": "0.999_1.001"},
-    "geo_rs_token_is": {"level": "token", "threshold": 2.0, "rules": "seq_mean_k1", "rs_threshold": "0.999_1.001"},
-    "k3_rs": {"level": None, "rules": "seq_mean_k3", "rs_threshold": 0.01},
-    "k3_rs_token_is": {"level": "token", "threshold": 2.0, "rules": "seq_mean_k3", "rs_threshold": 0.01},
+    "bypass_ppo_clip": {"level": None, "bypass": True, "loss": "ppo_clip"},
+    "bypass_ppo_clip_geo_rs": {"level": None, "rules": "seq_mean_k1", "rs_threshold": "0.999_1.001", "bypass": True, "loss": "ppo_clip"},
+    "bypass_ppo_clip_k3_rs": {"level": None, "rules": "seq_mean_k3", "rs_threshold": 0.01, "bypass": True, "loss": "ppo_clip"},
+    "bypass_pg_is": {"level": "sequence", "threshold": 2.0, "bypass": True, "loss": "reinforce"},
+    "bypass_pg_geo_rs": {"level": None, "rules": "seq_mean_k1", "rs_threshold": "0.999_1.001", "bypass": True, "loss": "reinforce"},
+    "decoupled_geo_rs_seq_tis": {"level": "sequence", "threshold": 2.0, "rules": "seq_mean_k1", "rs_threshold": "0.999_1.001"},
+    "decoupled_geo_rs_token_tis": {"level": "token", "threshold": 2.0, "rules": "seq_mean_k1", "rs_threshold": "0.999_1.001"},
+    "bypass_pg_geo_rs_seq_tis": {"level": "sequence", "threshold": 2.0, "rules": "seq_mean_k1", "rs_threshold": "0.999_1.001", "bypass": True, "loss": "reinforce"},
+    "bypass_pg_geo_rs_token_tis": {"level": "token", "threshold": 2.0, "rules": "seq_mean_k1", "rs_threshold": "0.999_1.001", "bypass": True, "loss": "reinforce"},
+    "decoupled_k3_rs": {"level": None, "rules": "seq_mean_k3", "rs_threshold": 0.01},
+    "decoupled_k3_rs_seq_tis": {"level": "sequence", "threshold": 2.0, "rules": "seq_mean_k3", "rs_threshold": 0.01},
+    "decoupled_k3_rs_token_tis": {"level": "token", "threshold": 2.0, "rules": "seq_mean_k3", "rs_threshold": 0.01},
     "disabled": {"level": None},
 }
 
 
+def preset(df: DataFrame, name: str) -> DataFrame:
+    """``correct`` with a named setting. A bypassing one corrects the rollout against ``old_lp`` and leaves the rollout's
+    log-probabilities there, as the loss is taken against them."""
+    if name not in PRESETS:
+        raise ValueError(f"no such setting: {name}; there are {sorted(PRESETS)}")
+    how = {k: v for k, v in PRESETS[name].items() if k not in ("bypass", "loss")}
+    out = correct(df, **how)
+    return bypass(out) if PRESETS[name].get("bypass") else out
+
+
 def off_policy_metrics(df: DataFrame) -> DataFrame:
     """One row: perplexities, KL, k3-KL, perplexity ratios and chi-squared of tokens and sequences."""
     d = log_ratio()

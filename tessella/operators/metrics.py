@@ -89,3 +89,12 @@ def drift(df: DataFrame, a: str, b: str, mask: str) -> DataFrame:
     rows = df.filter(F.col(mask) != 0).select(F.exp(a).alias("p"), F.exp(b).alias("q"))
     gap = F.abs(F.col("p") - F.col("q"))
     return rows.agg(F.max(gap).alias("diff_max"), F.avg(gap).alias("diff_mean"), F.stddev_samp(gap).alias("diff_std"), F.corr("p", "q").alias("pearson"))
+
+
+def accumulate(df: DataFrame, name: str, kind: str, value: str) -> DataFrame:
+    """``name, kind, value``: each metric by its own kind, mean, sum, min or max; a metric of two kinds is an error."""
+    v = F.col(value)
+    by = F.when(F.first(kind) == "mean", F.avg(v)).when(F.first(kind) == "sum", F.sum(v)).when(F.first(kind) == "min", F.min(v)).when(F.first(kind) == "max", F.max(v))
+    by = by.otherwise(F.raise_error(F.lit("no such kind of metric")).cast("double"))
+    one = F.when(F.min(kind) == F.max(kind), by).otherwise(F.raise_error(F.lit("a metric of two kinds")).cast("double"))
+    return df.groupBy(name).agg(F.first(kind).alias(kind), one.alias(value))

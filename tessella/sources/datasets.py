@@ -97,3 +97,33 @@ def cached(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> Dat
     if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def json_array_lines(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """``rn, line``: the lines of one JSON array of all rows, in order; no task holds more than its own rows."""
+    from tessella.operators.batch import with_ordinal
+
+    n = df.count()
+    rows = with_ordinal(df, order, "rn")
+    line = F.concat(F.when(F.col("rn") == 0, "[").otherwise(","), F.to_json(F.struct(*df.columns)), F.when(F.col("rn") == n - 1, "]").otherwise(""))
+    return rows.select("rn", line.alias("line"))
+
+
+def parse_json_lines(lines: DataFrame, column: str, schema: str) -> DataFrame:
+    """Rows of JSON lines; blank ones are skipped."""
+    return lines.filter(F.trim(column) != "").select(F.from_json(column, schema).alias("_r")).select("_r.*")
+
+
+def example(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """``json``: the first row by key."""
+    return df.orderBy(*order).limit(1).select(F.to_json(F.struct(*df.columns)).alias("json"))
+
+
+def traced(df: DataFrame, step: str, sample: str, most: int, seed: str = "0") -> DataFrame:
+    """All rows of ``most`` sample ids of each step, drawn by a digest."""
+    from pyspark.sql import Window as W
+
+    ids = df.select(step, sample).distinct()
+    digest = F.md5(F.concat_ws("|", F.lit(seed), F.col(step).cast("string"), F.col(sample).cast("string")).cast("binary"))
+    chosen = ids.withColumn("_k", F.row_number().over(W.partitionBy(step).orderBy(digest, sample))).filter(F.col("_k") <= most).drop("_k")
+    return df.join(chosen, [step, sample], "left_semi")

@@ -22,6 +22,8 @@ def state_folder(spark: SparkSession) -> str:
         import uuid
 
         return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return tempfile.mkdtemp(prefix="stream-")
 
 
@@ -149,3 +151,17 @@ def for_each_batch(stream: DataFrame, f: Callable[[DataFrame, int], None], where
     """Run ``f`` on every micro-batch of what is there: growth of datasets, curricula, feedback."""
     where = where or state_folder(stream.sparkSession)
     stream.writeStream.foreachBatch(f).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
+
+
+def gets(items: DataFrame, calls: DataFrame, queue: str, order: str, call: str) -> DataFrame:
+    """``queue, call, item``: the oldest row that is left for each call; null for calls after the last row."""
+    rows = items.select(queue, F.col(order).alias("item"), F.row_number().over(W.partitionBy(queue).orderBy(order)).alias("_k"))
+    asked = calls.select(queue, call, F.row_number().over(W.partitionBy(queue).orderBy(call)).alias("_k"))
+    return asked.join(rows, [queue, "_k"], "left").select(queue, call, "item")
+
+
+def version_advances(df: DataFrame, queue: str, version: str, produced: str, consumed: str, active: str, elapsed: str) -> DataFrame:
+    """``staleness`` after each advance of the version, which is what is outstanding then, and the ``idle_ratio`` before it."""
+    w = W.partitionBy(queue).orderBy(version).rowsBetween(W.unboundedPreceding, 0)
+    left = F.sum(F.col(produced) - F.col(consumed)).over(w)
+    return df.select(queue, version, left.alias("staleness"), (1.0 - F.col(active) / F.col(elapsed)).alias("idle_ratio"))
