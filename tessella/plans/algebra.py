@@ -57,13 +57,8 @@ def p06(spark, d):
     return B.get_item(ev(spark, d), KEY, slice(10, 500, 7))
 
 
-@query("p08_reorder", f"WITH {RN} SELECT 99 - rn AS ord, sample_id, score FROM o WHERE rn < 100")
+@query("p08_reorder", f"WITH {RN} SELECT (SELECT count(*) FROM ev) - 1 - rn AS ord, sample_id, score FROM o")
 def p08(spark, d):
-    return B.pick(B.select(ev(spark, d), ["sample_id", "score"]), KEY, range(99, -1, -1))
-
-
-@query("p08_reorder_all", f"WITH {RN} SELECT (SELECT count(*) FROM ev) - 1 - rn AS ord, sample_id, score FROM o")
-def p08_all(spark, d):
     e = B.select(ev(spark, d), ["sample_id", "score"])
     n = e.count()
     return B.reorder(e, KEY, spark.range(n).select(F.col("id").alias("ord"), (n - 1 - F.col("id")).alias("rn")))
@@ -269,14 +264,8 @@ def t01_sample(spark, d):
     return table(spark, d, "documents").select("doc_id").orderBy(F.md5(F.concat(F.lit("11|"), F.col("doc_id").cast("string")).cast("binary")), "doc_id").limit(100)
 
 
-@query("t02_sort_scores", f"WITH {EV} SELECT sample_id, coalesce(CASE WHEN score > 50 THEN score END, CASE WHEN score > 25 THEN score END, 0.0) AS s FROM ev ORDER BY s DESC, sample_id LIMIT 200")
+@query("t02_sort_scores", f"WITH {EV}, f AS (SELECT sample_id, coalesce(CASE WHEN score > 50 THEN score END, CASE WHEN score > 25 THEN score END, 0.0) AS s FROM ev) SELECT sample_id, s, row_number() OVER (ORDER BY s DESC NULLS LAST, sample_id) - 1 AS rn FROM f")
 def t02(spark, d):
-    above = lambda t: F.when(F.col("score") > t, F.col("score"))
-    return ev(spark, d).select("sample_id", F.coalesce(above(50), above(25), F.lit(0.0)).alias("s")).orderBy(F.desc("s"), "sample_id").limit(200)
-
-
-@query("t02_sort_scores_all", f"WITH {EV}, f AS (SELECT sample_id, coalesce(CASE WHEN score > 50 THEN score END, CASE WHEN score > 25 THEN score END, 0.0) AS s FROM ev) SELECT sample_id, s, row_number() OVER (ORDER BY s DESC NULLS LAST, sample_id) - 1 AS rn FROM f")
-def t02_all(spark, d):
     above = lambda t: F.when(F.col("score") > t, F.col("score"))
     return B.with_ordinal(ev(spark, d).select("sample_id", F.coalesce(above(50), above(25), F.lit(0.0)).alias("s")), [F.desc("s"), "sample_id"])
 
@@ -287,18 +276,10 @@ def t03(spark, d):
     return ev(spark, d).select("uid", "sample_id", "score", k.alias("k")).filter("k <= 2")
 
 
-@query("t06_vector_topk", "WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id < 8), s AS (SELECT query_id, vec_id, round(list_sum(list_transform(range(1, 65), lambda i: CAST(e[i] AS DOUBLE) * CAST(embedding[i] AS DOUBLE))), 6) AS score FROM embeddings, q WHERE vec_id <> query_id) SELECT query_id, vec_id, score, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s) WHERE k <= 5")
+@query("t06_vector_topk", "WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id, round(list_sum(list_transform(range(1, 65), lambda i: CAST(e[i] AS DOUBLE) * CAST(embedding[i] AS DOUBLE))), 6) AS score FROM embeddings, q WHERE vec_id <> query_id) SELECT query_id, vec_id, score, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s) WHERE k <= 5")
 def t06(spark, d):
     from tessella.operators.search import top_k
 
-    e = table(spark, d, "embeddings")
-    return top_k(e.filter("vec_id < 8"), e, 5)
-
-
-@query("t06_vector_topk_all", "WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id, round(list_sum(list_transform(range(1, 65), lambda i: CAST(e[i] AS DOUBLE) * CAST(embedding[i] AS DOUBLE))), 6) AS score FROM embeddings, q WHERE vec_id <> query_id) SELECT query_id, vec_id, score, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s) WHERE k <= 5")
-def t06_all(spark, d):
-    from tessella.operators.search import top_k
-
     e = table(spark, d, "embeddings")
     return top_k(e.filter("vec_id % 50 = 0"), e, 5)
 

@@ -116,10 +116,11 @@ def z07(spark, d):
     return Z.resumed_first(e, "cancelled", "event_id", "user_id").select("user_id", "event_id", "place")
 
 
-@query("z10_ready", "SELECT event_id, value, event_type FROM events WHERE event_id % 2 = 0 AND event_id % 3 = 0")
+@query("z10_ready", "SELECT event_id, value, event_type FROM events WHERE value >= 5 AND event_type <> 'click'")
 def z10(spark, d):
     read = lambda: Z.read_stream(spark, f"{d}/events.parquet")
-    return Z.run(Z.ready([read().filter("event_id % 2 = 0").select("event_id", "value"), read().filter("event_id % 3 = 0").select("event_id", "event_type")], "event_id"))
+    scored, typed = read().filter("value >= 5").select("event_id", "value"), read().filter("event_type <> 'click'").select("event_id", "event_type")
+    return Z.run(Z.ready([scored, typed], "event_id"))
 
 
 @query("z12_tumbling", "SELECT time_bucket(INTERVAL '6 hours', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

@@ -208,7 +208,7 @@ def j07(spark, d):
     return B.outer_merge(part("sample_id % 3 = 0"), part("sample_id % 3 = 1 AND uid % 4 > 0"), "uid", "v")
 
 
-@query("j09_nearest", "WITH s AS (SELECT q.vec_id AS query_id, c.vec_id, c.label, list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS score FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 25), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s) SELECT query_id, list(vec_id ORDER BY k) AS found, count(DISTINCT label) AS labels FROM r WHERE k <= 4 GROUP BY 1")
+@query("j09_nearest", "WITH s AS (SELECT q.vec_id AS query_id, c.vec_id, c.label, list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS score FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 25 AND q.vec_id <> c.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s) SELECT query_id, list(vec_id ORDER BY k) AS found, count(DISTINCT label) AS labels FROM r WHERE k <= 4 GROUP BY 1")
 def j09(spark, d):
     from tessella.operators.search import top_k
 

@@ -161,11 +161,12 @@ def x45(spark, d):
     return per.select("sample_id", S.reward_on_last(F.lit(1.0), F.col("n"), F.col("w")).alias("rewards"))
 
 
-@query("p17_placeholders", "SELECT item_id, 3 AS n, 1 AS media FROM benchmark")
+@query("p17_placeholders", "WITH t AS (SELECT doc_id, 'look: <image>' || replace(text, 'a', '<image>') || '<image>' AS x FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, x, string_split(x, '<image>') AS s FROM t) SELECT doc_id, len(s) - 1 + len(list_filter(s, lambda v: v <> '')) AS n, len(s) - 1 AS media FROM p")
 def p17(spark, d):
-    parts = S.expand_media(F.concat(F.lit("look: <image>"), F.col("text"), F.lit("<image>")))
-    first = F.slice(parts, 1, 3)
-    return table(spark, d, "benchmark").select("item_id", F.size(first).alias("n"), F.size(F.filter(first, lambda p: p["type"] == "image")).alias("media"))
+    docs = table(spark, d, "documents").filter("text IS NOT NULL")
+    parts = S.expand_media(F.concat(F.lit("look: <image>"), F.replace("text", F.lit("a"), F.lit("<image>")), F.lit("<image>")))
+    rows = docs.select("doc_id", parts.alias("parts"))
+    return rows.select("doc_id", F.size("parts").cast("long").alias("n"), F.size(F.filter("parts", lambda p: p["type"] == "image")).cast("long").alias("media"))
 
 
 @query("n20_cut_tool_response", "SELECT item_id, left(text, 40) || '...(truncated)' AS head, '(truncated)...' || right(text, 40) AS tail, left(text, 20) || '...(truncated)...' || right(text, 20) AS both FROM benchmark")

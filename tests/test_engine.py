@@ -140,7 +140,7 @@ def test_reorder_keeps_every_row(spark):
     places = spark.range(500).select(F.col("id").alias("ord"), (F.col("id") * 7 % 500).alias("rn"))
     got = B.reorder(df, ["k"], places).orderBy("ord").collect()
     assert [(r.ord, r.k, r.t) for r in got] == [(i, 2 * (i * 7 % 500), f"t{2 * (i * 7 % 500)}") for i in range(500)]
-    assert registry.queries()["p08_reorder_all"](spark, SF).count() == spark.read.parquet(f"{SF}/events.parquet").count()
+    assert registry.queries()["p08_reorder"](spark, SF).count() == spark.read.parquet(f"{SF}/events.parquet").count()
     for bad in (places.filter("ord < 499"), places.withColumn("rn", F.col("rn") % 499), places.withColumn("rn", F.col("rn") + 1)):
         with pytest.raises(ValueError, match="permutation"):
             B.reorder(df, ["k"], bad)
@@ -148,7 +148,7 @@ def test_reorder_keeps_every_row(spark):
 
 def test_sort_of_scores_reaches_the_fallbacks(spark):
     events = spark.read.parquet(f"{SF}/events.parquet")
-    got = [(r.rn, r.s) for r in registry.queries()["t02_sort_scores_all"](spark, SF).orderBy("rn").collect()]
+    got = [(r.rn, r.s) for r in registry.queries()["t02_sort_scores"](spark, SF).orderBy("rn").collect()]
     assert [rn for rn, _ in got] == list(range(events.count()))
     s = [s for _, s in got]
     assert s == sorted((v if v > 25 else 0.0 for v in (r.value for r in events.select("value").collect())), reverse=True)
