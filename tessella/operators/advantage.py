@@ -7,8 +7,10 @@ and add ``adv`` and ``ret``. Groups are window partitions, so a group's size is
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -111,39 +113,64 @@ def arrays(tokens: DataFrame, *columns: str) -> DataFrame:
     return tokens.groupBy("uid", "sample_id").agg(packed.alias("t"))
 
 
-def _scanned(tokens: DataFrame, columns: list[str], zero, step, names: list[str]) -> DataFrame:
-    """Tokens with what a scan from the last to the first token of each sample gives for them."""
+def _scanned(tokens: DataFrame, columns: list[str], scan: Callable[..., np.ndarray], name: str) -> DataFrame:
+    """Tokens with what a scan from the last to the first token of each sample gives for them, as column ``name``.
+
+    ``scan`` gets iterators over the places of a batch of samples, from the end, and works on all of them at once, so
+    time is linear in the number of tokens.
+    """
     wide = arrays(tokens, *columns)
-    scan = F.aggregate(F.reverse("t"), zero, step, lambda s: s["out"])
-    keep = [c for c in columns if c not in names]
-    return wide.select("uid", "sample_id", F.explode(F.arrays_zip("t", F.reverse(scan).alias("o"))).alias("z")).select("uid", "sample_id", "z.t.pos", *[f"z.t.{c}" for c in keep], *[f"z.o.{n}" for n in names])
+    kept = [c for c in columns if c != name]
+    kinds = {c: wide.schema["t"].dataType.elementType[c].dataType.simpleString() for c in ("pos", *kept)}
+    ids = {c: wide.schema[c].dataType.simpleString() for c in ("uid", "sample_id")}
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            flat, ends = lists.flatten(), np.asarray(lists.offsets) - lists.offsets[0].as_py()
+            size = np.diff(ends)
+            values = {c: flat.field(c).to_numpy(zero_copy_only=False).astype(float) for c in columns}
+            order = np.argsort(-size, kind="stable")  # the samples that have a j-th token from the end come first
+            last, alive = ends[1:][order] - 1, np.searchsorted(-size[order], -np.arange(size.max(initial=0)), side="left")
+            out = scan((last[:n] - j for j, n in enumerate(alive)), len(size), values)
+            of = np.repeat(np.arange(len(size)), size)
+            columns_ = [batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of)), flat.field("pos"), *[flat.field(c) for c in kept], pa.array(out)]
+            yield pa.RecordBatch.from_arrays(columns_, [*ids, "pos", *kept, name])
+
+    schema = ", ".join(f"{c} {k}" for c, k in (ids | kinds | {name: "double"}).items())
+    return wide.select("uid", "sample_id", "t").mapInArrow(apply, schema)
 
 
 @register("gae")
 def gae(tokens: DataFrame, gamma: float = 1.0, lam: float = 1.0) -> DataFrame:
     """Generalised advantages by a reverse scan that goes through masked tokens unchanged; returns, then whitening."""
-    zero = F.struct(F.lit(0.0).alias("next"), F.lit(0.0).alias("last"), F.array().cast("array<struct<raw:double>>").alias("out"))
-
-    def step(s, x):
-        m = x["mask"].cast("double")
-        delta = x["reward"] + gamma * s["next"] - x["value"]
-        last = (delta + gamma * lam * s["last"]) * m + (1 - m) * s["last"]
-        return F.struct((x["value"] * m + (1 - m) * s["next"]).alias("next"), last.alias("last"), F.concat(s["out"], F.array(F.struct(last.alias("raw")))).alias("out"))
 
-    raw = _scanned(tokens, ["reward", "value", "mask"], zero, step, ["raw"]).withColumn("ret", F.col("raw") + F.col("value"))
+    def scan(places: Iterator[np.ndarray], n: int, x: dict) -> np.ndarray:
+        after, carried, out = np.zeros(n), np.zeros(n), np.zeros(len(x["value"]))
+        for at in places:
+            k, m, v = len(at), x["mask"][at], x["value"][at]
+            delta = x["reward"][at] + gamma * after[:k] - v
+            carried[:k] = (delta + gamma * lam * carried[:k]) * m + (1 - m) * carried[:k]
+            after[:k] = v * m + (1 - m) * after[:k]
+            out[at] = carried[:k]
+        return out
+
+    raw = _scanned(tokens, ["reward", "value", "mask"], scan, "raw").withColumn("ret", F.col("raw") + F.col("value"))
     return whiten(raw, "raw", "mask", "adv").drop("raw")
 
 
 @register("reinforce_plus_plus")
 def reinforce_plus_plus(tokens: DataFrame, gamma: float = 1.0) -> DataFrame:
     """Discounted returns that start anew before a masked token, whitened and masked."""
-    zero = F.struct(F.lit(0.0).alias("run"), F.array().cast("array<struct<ret:double>>").alias("out"))
 
-    def step(s, x):
-        ret = x["reward"] + gamma * s["run"]
-        return F.struct((ret * x["mask"]).alias("run"), F.concat(s["out"], F.array(F.struct(ret.alias("ret")))).alias("out"))
+    def scan(places: Iterator[np.ndarray], n: int, x: dict) -> np.ndarray:
+        run, out = np.zeros(n), np.zeros(len(x["reward"]))
+        for at in places:
+            out[at] = x["reward"][at] + gamma * run[: len(at)]
+            run[: len(at)] = out[at] * x["mask"][at]
+        return out
 
-    out = whiten(_scanned(tokens, ["reward", "mask"], zero, step, ["ret"]), "ret", "mask", "adv")
+    out = whiten(_scanned(tokens, ["reward", "mask"], scan, "ret"), "ret", "mask", "adv")
     return out.withColumn("adv", F.col("adv") * F.col("mask"))
 
 

@@ -34,10 +34,12 @@ def rename(df: DataFrame, old: Sequence[str], new: Sequence[str]) -> DataFrame:
 def with_ordinal(df: DataFrame, order: Sequence[str | Column], name: str = "rn") -> DataFrame:
     """Ordinals from 0 in the order of a key, without bringing all rows to one task.
 
-    Rows are dealt by ranges of the key and sorted in their partitions; a partition's ordinals begin where the counts
-    of the partitions before it end, a table of one row a partition.
+    Rows are dealt by ranges of the key and sorted in their partitions, ties by all columns, so that a partition that is
+    made again has the same order; its ordinals begin where the counts of the partitions before it end, a table of one
+    row a partition.
     """
-    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()).persist()
+    plain = [c for c, k in df.dtypes if "map<" not in k and "variant" not in k]
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order, F.xxhash64(*plain)).withColumn("_m", F.monotonically_increasing_id()).persist()
     part, place = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = dealt.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

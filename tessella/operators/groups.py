@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessella.operators.batch import with_ordinal
+
 
 def mean_std_count(score: str, group: str, eps: float = 1e-6) -> tuple[Column, Column, Column]:
     """(mean, std, count) over the group: sample std with its variance floored at ``eps``; (0, 1, 1) for one row."""
@@ -18,9 +20,7 @@ def mean_std_count(score: str, group: str, eps: float = 1e-6) -> tuple[Column, C
 
 def group_index(df: DataFrame, key: str, name: str = "gidx") -> DataFrame:
     """Keys as 0, 1, ... in sorted order; the distinct keys are ranked, not the rows."""
-    keys = df.select(key).distinct()
-    ranked = keys.withColumn(name, (F.dense_rank().over(W.orderBy(key)) - 1).cast("int"))
-    return df.join(ranked, key)
+    return df.join(with_ordinal(df.select(key).filter(F.col(key).isNotNull()).distinct(), [key], name).withColumn(name, F.col(name).cast("int")), key)
 
 
 def sibling_success(df: DataFrame, group: str, key: str, success: Column, exclude_self: bool = True, name: str = "solution") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessella.operators.batch import with_ordinal
 from tessella.operators.correction import clamp
 from tessella.operators.masked import aggregate_loss, masked_mean
 
@@ -118,11 +119,11 @@ def _covariance(t: DataFrame) -> DataFrame:
 def kl_cov(t: DataFrame, share: float = 0.0002, coef: float = 1.0) -> DataFrame:
     """The tokens of largest covariance, a share of all, get a KL penalty. Ties by sample and position.
 
-    The cut is the covariance of the k-th token; a sort with a limit finds it without ordering all tokens.
+    Ranks come from ranges of the covariance, so no task gets all of a share that grows with the tokens.
     """
     rows = _covariance(t)
     k = max(1, int(t.agg(F.sum("mask")).first()[0] * share))
-    top = rows.filter("mask <> 0").orderBy(F.desc("cov"), "sample_id", "pos").limit(k).select(F.col("sample_id").alias("_s"), F.col("pos").alias("_p"))
+    top = with_ordinal(rows.filter("mask <> 0").select("cov", "sample_id", "pos"), [F.desc("cov"), "sample_id", "pos"], "_o").filter(F.col("_o") < k).select(F.col("sample_id").alias("_s"), F.col("pos").alias("_p"))
     plain = -F.col("adv") * F.exp(F.col("lp") - F.col("old_lp"))
     out = rows.join(top, (F.col("sample_id") == F.col("_s")) & (F.col("pos") == F.col("_p")), "left")
     return out.withColumn("loss", plain + F.when(F.col("_s").isNotNull(), coef * F.abs(F.col("lp") - F.col("old_lp"))).otherwise(0.0)).drop("_s", "_p", "cov")
@@ -137,7 +138,7 @@ def clip_cov(t: DataFrame, share: float = 0.0002, lower: float = 1.0, upper: flo
     k = max(1, int(t.agg(F.sum("mask")).first()[0] * share))
     draw = F.md5(F.concat_ws("|", F.lit(seed), "sample_id", "pos").cast("binary"))
     able = rows.filter((F.col("mask") != 0) & ~clipped & (F.col("cov") > lower) & (F.col("cov") < upper))
-    drawn = able.orderBy(draw, "sample_id", "pos").limit(k).select(F.col("sample_id").alias("_s"), F.col("pos").alias("_p"))
+    drawn = with_ordinal(able.select(draw.alias("_d"), "sample_id", "pos"), ["_d", "sample_id", "pos"], "_o").filter(F.col("_o") < k).select(F.col("sample_id").alias("_s"), F.col("pos").alias("_p"))
     out = rows.join(drawn, (F.col("sample_id") == F.col("_s")) & (F.col("pos") == F.col("_p")), "left")
     return out.withColumn("loss", F.when(F.col("_s").isNotNull(), 0.0).otherwise(_clipped(r, low, high))).drop("_s", "_p", "cov")
 

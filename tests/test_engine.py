@@ -238,3 +238,21 @@ def test_stream_equals_batch(spark, tmp_path):
     appended = Z.run(Z.read_stream(spark, d).filter("k % 2 = 0"))
     assert appended.count() == 75
     assert Z.staleness_budget(32, 0.5, 4) == 192
+
+
+def test_long_responses_are_scanned_in_linear_time(spark):
+    import time
+
+    from tessella.operators.advantage import gae
+
+    n = 20_000
+    tokens = spark.range(n).select(F.lit(1).alias("uid"), F.lit(1).alias("sample_id"), F.col("id").cast("int").alias("pos"), (F.col("id") % 7 / 7).alias("reward"), (F.col("id") % 5 / 5).alias("value"), F.when(F.col("id") % 11 == 0, 0).otherwise(1).alias("mask"))
+    t = time.time()
+    got = {r.pos: r.ret for r in gae(tokens, 0.99, 0.95).collect()}
+    assert len(got) == n and time.time() - t < 60
+    after = last = 0.0
+    for i in range(n - 1, -1, -1):
+        v, m = i % 5 / 5, 0 if i % 11 == 0 else 1
+        last = (i % 7 / 7 + 0.99 * after - v + 0.99 * 0.95 * last) * m + (1 - m) * last
+        after = v * m + (1 - m) * after
+        assert abs(got[i] - last - v) < 1e-9
