@@ -5,7 +5,11 @@ document keeps a segment tree: leaves are pre-tokens (length, tokens), in bucket
 and tokens below them. An edit re-encodes only what it touches: cutting starts at a border at least CONTEXT characters
 and one pre-token before the edit, and stops at the first border behind the edit that the old text had as well, since
 from equal borders before equal texts the pattern goes on alike. The new leaves replace the old ones, and sums are
-renewed on the paths above them.
+renewed on the paths above them. Several edits of a text are made in one walk over its leaves, in time linear in the
+text and in the edits.
+
+``keep`` writes the leaves of every document as a table, from which ``follow`` makes the trees again, so a batch of edits
+re-encodes the regions that it touches and not the corpus; ``count`` does both in one pass.
 
 Vocabularies are files of public tokenizers, named by path; they are read once a Python worker.
 
@@ -61,13 +65,21 @@ class Tokenizer:
 class DocumentTree:
     """The segment tree of one text; ``tokens`` and ``leaves`` are its root's sums."""
 
-    def __init__(self, tokenizer: Tokenizer, text: str):
+    def __init__(self, tokenizer: Tokenizer, text: str, leaves: tuple[list[int], list[int]] | None = None):
+        """``leaves``: lengths and counts of the text's pre-tokens, if they are known."""
         self.tokenizer, self.text, self.encoded = tokenizer, text, 0
-        pieces = tokenizer.pattern.findall(text)
-        lengths, counts = list(map(len, pieces)), list(map(tokenizer.count, pieces))
-        self.buckets = [(lengths[i : i + BUCKET], counts[i : i + BUCKET]) for i in range(0, len(pieces), BUCKET)]
+        if leaves is None:
+            pieces = tokenizer.pattern.findall(text)
+            leaves = list(map(len, pieces)), list(map(tokenizer.count, pieces))
+        self._deal(*leaves)
+
+    def _deal(self, lengths: list[int], counts: list[int]) -> None:
+        self.buckets = [(lengths[i : i + BUCKET], counts[i : i + BUCKET]) for i in range(0, len(lengths), BUCKET)]
         self._build()
 
+    def all_leaves(self) -> tuple[list[int], list[int]]:
+        return [n for b in self.buckets for n in b[0]], [n for b in self.buckets for n in b[1]]
+
     def _build(self) -> None:
         self.width = 1 << max(0, len(self.buckets) - 1).bit_length()
         self.nodes = [(0, 0, 0)] * (2 * self.width)
@@ -163,6 +175,52 @@ class DocumentTree:
             self._renew(first)
 
 
+    def edit_all(self, edits: list[tuple[int, int, str]]) -> None:
+        """Replace several parts, given in order of place in the old text and not overlapping."""
+        if len(edits) < 2:
+            for e in edits:
+                self.edit(*e)
+            return
+        parts, places, at, moved = [], [], 0, 0
+        for a, b, new in edits:
+            parts += [self.text[at:a], new]
+            places.append((a + moved, a + moved + len(new)))  # in the new text
+            moved += len(new) - (b - a)
+            at = b
+        text = self.text = "".join([*parts, self.text[at:]])
+        lengths, counts = self.all_leaves()
+        out_n, out_c = [], []
+        k = border = shift = i = 0  # the next old leaf and where it begins, new minus old places, the next edit
+        while i < len(edits):
+            first, start = k, max(0, edits[i][0] - CONTEXT)
+            while k < len(lengths) and border + lengths[k] <= start:
+                border += lengths[k]
+                k += 1
+            if k > first:  # one pre-token more; those before an earlier edit's end are cut anew already
+                k -= 1
+                border -= lengths[k]
+            out_n += lengths[first:k]
+            out_c += counts[first:k]
+            j, found = i, False
+            for m in self.tokenizer.pattern.finditer(text, border + shift):
+                out_n.append(m.end() - m.start())
+                out_c.append(self.tokenizer.count(m.group()))
+                self.encoded += 1
+                while j < len(edits) and places[j][1] <= m.end():
+                    shift += len(edits[j][2]) - (edits[j][1] - edits[j][0])
+                    j += 1
+                if j < len(edits) and places[j][0] < m.end():
+                    continue  # ends inside a replacement
+                while k < len(lengths) and border < m.end() - shift:
+                    border += lengths[k]
+                    k += 1
+                if j > i and border == m.end() - shift:
+                    found = True
+                    break
+            i, k = (j, k) if found else (len(edits), len(lengths))
+        self._deal(out_n + lengths[k:], out_c + counts[k:])
+
+
 def mask_addresses(text: str) -> list[tuple[int, int, str]]:
     """Edits that put ``[mail]`` in place of e-mail addresses, in order."""
     out, at, word = [], text.find("@"), "._%+-"
@@ -219,10 +277,8 @@ def count(docs: DataFrame, edits: Callable[[str], list] | str = mask_addresses,
                 tree = DocumentTree(tokenizer, text)
                 own = edits(text) if callable(edits) else [tuple(e.values()) for e in batch.column(2)[i].as_py() or [] if e]
                 own = applicable(own, len(text))
-                before, moved = (tree.leaves, tree.tokens), 0
-                for a, b, new in own:
-                    tree.edit(a + moved, b + moved, new)
-                    moved += len(new) - (b - a)
+                before = tree.leaves, tree.tokens
+                tree.edit_all(own)
                 rows.append((*before, len(own), tree.leaves, tree.tokens, tree.encoded))
             columns = list(zip(*rows, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], names)
@@ -231,3 +287,36 @@ def count(docs: DataFrame, edits: Callable[[str], list] | str = mask_addresses,
     if not callable(edits):
         columns.append(F.col(edits).alias("edits"))
     return docs.select(*columns).mapInArrow(apply, RESULT)
+
+
+KEPT = "doc_id long, text string, lengths array<int>, counts array<int>"
+
+
+def _trees(batches: Iterator[pa.RecordBatch], vocabulary: str, edited: bool) -> Iterator[pa.RecordBatch]:
+    tokenizer = _tokenizer(vocabulary)
+    for batch in batches:
+        rows = []
+        for i in range(batch.num_rows):
+            text = batch.column(1)[i].as_py() or ""
+            leaves = (batch.column(2)[i].as_py(), batch.column(3)[i].as_py()) if edited else None
+            tree = DocumentTree(tokenizer, text, leaves)
+            if edited:
+                tree.edit_all(applicable([tuple(e.values()) for e in batch.column(4)[i].as_py() or [] if e], len(text)))
+            rows.append((tree.text, *tree.all_leaves(), tree.tokens, tree.encoded))
+        text, lengths, counts, tokens, encoded = list(zip(*rows, strict=True)) or [[]] * 5
+        kinds = (pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.int64())
+        columns = [pa.array(c, k) for c, k in zip((text, lengths, counts, tokens, encoded), kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "text", "lengths", "counts", "n_tokens", "n_reencoded"])
+
+
+def keep(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """``doc_id, text, lengths, counts, n_tokens, n_reencoded``: the leaves of every document's tree, to be written as a table."""
+    columns = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return columns.mapInArrow(lambda b: _trees(b, vocabulary, False), KEPT + ", n_tokens long, n_reencoded long")
+
+
+def follow(kept: DataFrame, edits: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """``kept`` after a batch of edits ``doc_id, edits`` (one row a document): only the regions touched are encoded again."""
+    new = edits.select(F.col("doc_id").alias("_id"), F.col("edits").alias("_edits"))
+    rows = kept.join(new, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "lengths", "counts", "_edits")
+    return rows.mapInArrow(lambda b: _trees(b, vocabulary, True), KEPT + ", n_tokens long, n_reencoded long")

@@ -216,6 +216,43 @@ def test_small_edits_encode_little_again():
     assert tree.encoded < 12 < tree.leaves
 
 
+def test_several_edits_in_one_walk_count_like_new_texts():
+    rng, t = random.Random(15), tokencounts.Tokenizer()
+    bits = ["", " ", "  ", "'ll", "'", "hello", " wor", "\n\n", "123", "é", "!!", " " * 9, "the quick brown "]
+    for _ in range(250):
+        text = "".join(rng.choice(bits) for _ in range(rng.choice([0, 3, 40, 300])))
+        cuts = sorted(rng.randint(0, len(text)) for _ in range(2 * rng.randint(0, 8)))
+        edits = [(a, b, rng.choice(bits)) for a, b in zip(cuts[::2], cuts[1::2], strict=True)]
+        want = text
+        for a, b, new in reversed(edits):
+            want = want[:a] + new + want[b:]
+        tree = tokencounts.DocumentTree(t, text)
+        tree.edit_all(edits)
+        assert tree.text == want and (tree.tokens, tree.leaves) == (t.full(want), len(t.pattern.findall(want)))
+
+
+def test_ten_thousand_edits_of_a_text():
+    import time
+
+    text = "ab@cd.ef, " * 7000
+    tree, edits = tokencounts.DocumentTree(tokencounts.Tokenizer(), text), tokencounts.mask_addresses(text)
+    t = time.perf_counter()
+    tree.edit_all(edits)
+    assert len(edits) == 7000 and time.perf_counter() - t < 1 and tree.text == "[mail], " * 7000
+
+
+def test_kept_trees_follow_batches_of_edits(spark):
+    docs = spark.createDataFrame([(1, "some words " * 400), (2, None), (3, "hello world")], "doc_id long, text string")
+    kept = scratch.save(tokencounts.keep(docs), "kept")
+    edits = spark.createDataFrame([(1, [(100, 105, "other")]), (3, [(0, 5, "bye"), (6, 11, "you")])], "doc_id long, edits array<struct<start:int,end:int,text:string>>")
+    once = scratch.save(tokencounts.follow(kept, edits), "kept")
+    twice = {r.doc_id: r for r in tokencounts.follow(once, edits.filter("doc_id = 1")).collect()}
+    t = tokencounts.Tokenizer()
+    assert {r.doc_id: r.text for r in twice.values()} == {1: ("some words " * 400)[:100] + "other" + ("some words " * 400)[105:], 2: "", 3: "bye you"}
+    assert all(r.n_tokens == t.full(r.text) == sum(r.counts) and sum(r.lengths) == len(r.text) for r in twice.values())
+    assert 0 < twice[1].n_reencoded < 12 and twice[3].n_reencoded == 0
+
+
 def test_edits_from_a_column(spark):
     df = spark.createDataFrame([(1, "hello world", [(0, 5, "bye"), (3, 6, "no"), (6, 99, "x"), (6, 11, None)])], "doc_id long, text string, edits array<struct<start:int,end:int,text:string>>")
     r = tokencounts.count(df, "edits").first()
