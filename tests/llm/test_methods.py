@@ -343,6 +343,26 @@ def test_mix_comes_near_its_targets(spark):
     assert sorted(zip(got.doc_id, got.taken)) == sorted(zip(again.doc_id, again.taken))
 
 
+def test_shorter_documents_are_taken_more_often(spark):
+    rng = random.Random(16)
+    docs = [(i, " ".join(["w"] * rng.choice([2, 10, 40, 200])), "abc"[i % 3]) for i in range(6000)]
+    got = mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string")).toPandas()
+    for _, rows in got.groupby("source"):
+        per = rows.groupby("size")["copies"].mean()
+        assert per.is_monotonic_decreasing and per.iloc[-1] < per.iloc[0]
+        if per.iloc[0] < 2.9:  # halves with each fourfold of the words, up to what sampling leaves
+            assert abs(per.iloc[1] / per.iloc[0] - 0.5) < 0.08
+
+
+def test_repeated_rows_at_the_cut_are_taken_in_part(spark):
+    docs = [(None if i % 3 == 0 else i, "w " * 10, "ab"[i % 2]) for i in range(3000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    got = mixing.mix(df).toPandas()
+    for _, rows in got.groupby("source"):
+        assert abs(rows["taken"].sum() - rows["target"].iloc[0]) <= 10
+    assert mixing.apply_mix(df).count() == got["copies"].sum()
+
+
 # --- secrets ---------------------------------------------------------------------------------------------------------------
 
 
