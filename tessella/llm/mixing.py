@@ -96,12 +96,12 @@ def _ranked(rows: DataFrame, classes: DataFrame, seed: str) -> DataFrame:
 
 
 def _cut_units(ranked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(``c_source, c_bin``: where each source's words end; ``u_source, u_rank, u_doc, u_size, m, took`` of those bins), saved."""
+    """(``c_source, c_bin``: where each source's words end; ``u_source, u_rank, u_doc, u_size, m, took`` of those bins)."""
     bins = ranked.filter("bin IS NOT NULL").groupBy("source", "bin").agg(F.sum("size").alias("words"), F.max("rest").alias("rest"))
     up_to = F.sum("words").over(W.partitionBy("source").orderBy("bin"))
     cut = bins.withColumn("up_to", up_to).filter(F.col("up_to") > F.col("rest")).groupBy("source").agg(F.min(F.struct("bin", (F.col("up_to") - F.col("words")).alias("below"))).alias("c"))
-    cut = scratch.save(cut.select(F.col("source").alias("c_source"), F.col("c.bin").alias("c_bin"), F.col("c.below").alias("below")), "cut")
-    here = ranked.join(scratch.broadcast_if_small(cut), F.col("source").eqNullSafe(F.col("c_source")) & (F.col("bin") == F.col("c_bin")))
+    cut = scratch.broadcast_if_small(scratch.save(cut.select(F.col("source").alias("c_source"), F.col("c.bin").alias("c_bin"), F.col("c.below").alias("below")), "cut"))
+    here = ranked.join(cut, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("bin") == F.col("c_bin")))
     units = here.groupBy("source", "rank", "doc_id", "size").agg(F.count("*").alias("m"), F.max(F.col("rest") - F.col("below")).alias("gap"))
     units = units.withColumn("took", F.lit(0).cast("long"))
     source = W.partitionBy("source")
@@ -139,10 +139,11 @@ def _some_of(rows: DataFrame, spread: int = 256) -> DataFrame:
 def _decided(rows: DataFrame, weights, max_epochs: int, seed: str) -> DataFrame:
     """``rows(doc_id, source, size, ...)`` with ``source_size, target, copies``. Only narrow tables are shuffled."""
     sized = scratch.save(rows.select("doc_id", "source", "size"), "sized")
+    rows = sized if rows.columns == sized.columns else rows
     targets = scratch.broadcast_if_small(scratch.save(source_targets(sized, weights, max_epochs), "targets"))
     classes = scratch.broadcast_if_small(scratch.save(_classes(sized, targets, max_epochs), "classes"))
     cut, units = _cut_units(_ranked(sized, classes, seed))
-    out = _ranked(rows, classes, seed).join(scratch.broadcast_if_small(cut), F.col("source").eqNullSafe(F.col("c_source")), "left").drop("c_source")
+    out = _ranked(rows, classes, seed).join(cut, F.col("source").eqNullSafe(F.col("c_source")), "left").drop("c_source")
     mine = (F.col("source").eqNullSafe(F.col("u_source"))) & (F.col("rank") == F.col("u_rank")) & (F.col("doc_id").eqNullSafe(F.col("u_doc"))) & (F.col("size") == F.col("u_size"))
     out = out.join(scratch.broadcast_if_small(units), mine, "left")
     extra = F.when(F.col("bin").isNull(), 0).when(F.col("c_bin").isNull() | (F.col("bin") < F.col("c_bin")), 1).when(F.col("bin") > F.col("c_bin"), 0).otherwise((F.col("took") == F.col("m")).cast("int"))
