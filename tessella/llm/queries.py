@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import decontam, htmltext, langid, mixing, neardup, secrets, tokencounts, topk, toxicity, urls
+from tessella.llm import audit, decontam, htmltext, langid, mixing, neardup, secrets, spelling, tokencounts, topk, toxicity, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,9 +52,17 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.count(_read(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op1_decontamination": op1_decontamination, "op2_language_id": op2_language_id, "op4_token_counts": op4_token_counts, "op5_topk_search": op5_topk_search, "op6_toxicity": op6_toxicity, "op3_neardup": op3_neardup, "op7_secrets": op7_secrets, "op8_mixing": op8_mixing, "op9_html_extraction": op9_html_extraction, "op10_url_filter": op10_url_filter}
+    return {"op1_decontamination": op1_decontamination, "op2_language_id": op2_language_id, "op4_token_counts": op4_token_counts, "op5_topk_search": op5_topk_search, "op6_toxicity": op6_toxicity, "op3_neardup": op3_neardup, "op7_secrets": op7_secrets, "op8_mixing": op8_mixing, "op9_html_extraction": op9_html_extraction, "op10_url_filter": op10_url_filter, "op11_filter_audit": op11_filter_audit, "op12_spelling_variants": op12_spelling_variants}
 
 
 def oracle_sql() -> dict:
-    return {"op5_topk_search": topk.sql(), "op7_secrets": secrets.sql(), "op8_mixing": mixing.sql()}
+    return {"op5_topk_search": topk.sql(), "op7_secrets": secrets.sql(), "op8_mixing": mixing.sql(), "op11_filter_audit": audit.sql(), "op12_spelling_variants": spelling.sql()}
