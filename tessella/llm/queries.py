@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import audit, decontam, htmltext, langid, mixing, neardup, secrets, spelling, tokencounts, topk, toxicity, urls
+from tessella.llm import audit, decontam, htmltext, langid, lm, mixing, neardup, secrets, spelling, tokencounts, topk, toxicity, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,8 +60,12 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(_read(spark, sf_dir, "documents"))
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op1_decontamination": op1_decontamination, "op2_language_id": op2_language_id, "op4_token_counts": op4_token_counts, "op5_topk_search": op5_topk_search, "op6_toxicity": op6_toxicity, "op3_neardup": op3_neardup, "op7_secrets": op7_secrets, "op8_mixing": op8_mixing, "op9_html_extraction": op9_html_extraction, "op10_url_filter": op10_url_filter, "op11_filter_audit": op11_filter_audit, "op12_spelling_variants": op12_spelling_variants}
+    return {"op1_decontamination": op1_decontamination, "op2_language_id": op2_language_id, "op4_token_counts": op4_token_counts, "op5_topk_search": op5_topk_search, "op6_toxicity": op6_toxicity, "op3_neardup": op3_neardup, "op7_secrets": op7_secrets, "op8_mixing": op8_mixing, "op9_html_extraction": op9_html_extraction, "op10_url_filter": op10_url_filter, "op11_filter_audit": op11_filter_audit, "op12_spelling_variants": op12_spelling_variants, "op13_lm_scoring": op13_lm_scoring}
 
 
 def oracle_sql() -> dict:

@@ -26,7 +26,7 @@ def test_sql(spark, duck, name):
 
 def test_names():
     names = list(Q.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 13))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
 
 
 def table(spark, name, sf=SF):
