@@ -16,9 +16,10 @@ lower order's probability; Spark counts tokens by bucket and ratio (in steps of
 for any corpus. Scores then use the counts of all training documents.
 
 How counts reach the tokens: documents are dealt to chunks of about ``chunk_bytes`` of text by the hash of the row. A
-chunk counts its own n-grams, which meet those of other chunks by key, a row for each chunk at most, so a frequent word
-or passage is no hot key. Only n-grams that several chunks have come back to them; the others' own counts are complete.
-So neither vocabulary nor n-grams are ever in one place, none is pruned, and texts are shuffled once.
+chunk counts its own n-grams and sends them, in order and packed, to as many ranges of hashes as there are chunks. A
+range adds up what all chunks sent it and returns each chunk's counts in the order in which they came. So a range has
+about as many n-grams as a chunk, neither vocabulary nor n-grams are ever in one place, none is pruned, texts are
+shuffled once, and a frequent word or passage costs each chunk one entry.
 
 N-grams are compared as 64-bit hashes. Defined cases: a null text is empty, and scored as one end; a null id is hashed
 as an empty string, so its document is learnt from; rows that repeat an id are documents of their own; without training
@@ -31,14 +32,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.llm import scratch, textvec
 
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
 ORDER = 2
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 16 << 20
+MIN_PARTS = 32
 #: Steps of an octave by which EM tells ratios apart; it counts ratios from 2^-RANGE to 2^RANGE.
 STEPS, RANGE = 16, 80
 UNSEEN = -1
@@ -73,54 +74,113 @@ def _grams(hashes: np.ndarray, sizes: np.ndarray, k: int) -> tuple[np.ndarray, n
     return keys[ends], ends
 
 
-def _own(hashes: np.ndarray, sizes: np.ndarray, kind: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """(distinct keys, the key of each n-gram, ends, counts in kept training texts, in texts set aside)."""
+def _own(hashes: np.ndarray, sizes: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """(distinct keys in order, the key of each n-gram, where each ends)."""
     keys, ends = _grams(hashes, sizes, k)
-    keys, which = np.unique(keys, return_inverse=True)
-    of = np.repeat(kind, sizes)[ends]
-    return keys, which, ends, *(np.bincount(which[of == i], minlength=len(keys)) for i in (0, 1))
+    return *np.unique(keys, return_inverse=True), ends
 
 
-def _counter(order: int):
+def _slices(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(lowest key of each of ``parts`` equal ranges of hashes, index of its first key in ``keys``, and the end)."""
+    lowest = np.array([i * 2**64 // parts for i in range(parts)], np.uint64)
+    return lowest, np.append(np.searchsorted(keys, lowest), len(keys))
+
+
+def _pack_keys(keys: np.ndarray, lowest: np.uint64) -> bytes:
+    """Keys in order as their distances, in as many bytes as the largest needs."""
+    if not len(keys):
+        return b""
+    steps = np.diff(keys, prepend=lowest)
+    width = max(1, -(-int(steps.max()).bit_length() // 8))
+    return bytes([width]) + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _unpack_keys(packed: bytes, lowest: np.uint64) -> np.ndarray:
+    if not packed:
+        return np.zeros(0, np.uint64)
+    wide = np.zeros(((len(packed) - 1) // packed[0], 8), np.uint8)
+    wide[:, : packed[0]] = np.frombuffer(packed, np.uint8, offset=1).reshape(-1, packed[0])
+    return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64) + lowest
+
+
+def _pack_counts(counts: np.ndarray) -> bytes:
+    """A byte a count; those from 255 on follow in full."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
+
+
+def _unpack_counts(packed: bytes, n: int) -> np.ndarray:
+    counts = np.frombuffer(packed, np.uint8, n).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(packed, "<i8", offset=n)
+    return counts
+
+
+COUNTED = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("rest", pa.binary()), ("aside", pa.binary())])
+SUMMED = pa.schema([("chunk", pa.int64()), ("part", pa.int64()), ("n", pa.int64()), ("types", pa.int64()), ("rest", pa.binary()), ("aside", pa.binary())])
+
+
+def _counter(order: int, parts: int):
     def count(chunk: pa.Table) -> pa.Table:
+        """A chunk's n-grams and their counts by range of hashes: parts 0 to ``parts - 1`` for words, then for pairs and so on."""
         hashes, sizes = _tokens(chunk["text"])
-        kind, parts = chunk["kind"].to_numpy(), []
+        kind, number, rows = np.repeat(chunk["kind"].to_numpy(), sizes), chunk["chunk"][0].as_py(), []
         for k in range(1, order + 1):
-            keys, _, _, rest, aside = _own(hashes, sizes, kind, k)
-            number = pa.array(np.full(len(keys), chunk["chunk"][0].as_py()), pa.int32())
-            parts.append(pa.table({"key": keys.view(np.int64), "chunk": number, "rest": rest, "aside": aside}))
-        return pa.concat_tables(parts)
+            keys, which, ends = _own(hashes, sizes, k)
+            rest, aside = (np.bincount(which[kind[ends] == i], minlength=len(keys)) for i in (0, 1))
+            lowest, first = _slices(keys, parts)
+            for i in range(parts):
+                at = slice(first[i], first[i + 1])
+                rows.append(((k - 1) * parts + i, number, _pack_keys(keys[at], lowest[i]), _pack_counts(rest[at]), _pack_counts(aside[at])))
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), COUNTED, strict=True)], schema=COUNTED)
 
     return count
 
 
-def _resolver(order: int):
-    def resolve(docs: pa.Table, shared: pa.Table) -> pa.Table:
+def _summer(parts: int):
+    def add(part: pa.Table) -> pa.Table:
+        """For each chunk the counts over all chunks, in the order of its own keys."""
+        number = part["part"][0].as_py()
+        lowest = np.uint64((number % parts) * 2**64 // parts)
+        own = [_unpack_keys(x.as_py(), lowest) for x in part["keys"]]
+        keys, which = np.unique(np.concatenate(own), return_inverse=True)
+        first = np.cumsum([0, *map(len, own)])
+        total = {}
+        for name in ("rest", "aside"):
+            each = np.concatenate([_unpack_counts(x.as_py(), len(k)) for x, k in zip(part[name], own, strict=True)])
+            total[name] = np.zeros(len(keys), np.int64)
+            np.add.at(total[name], which, each)
+        types = int((total["rest"] + total["aside"] > 0).sum()) if number < parts else 0
+        rows = []
+        for i, chunk in enumerate(part["chunk"].to_pylist()):
+            at = which[first[i] : first[i + 1]]
+            rows.append((chunk, number, len(at), types if i == 0 else 0, _pack_counts(total["rest"][at]), _pack_counts(total["aside"][at])))
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), SUMMED, strict=True)], schema=SUMMED)
+
+    return add
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int64()), pa.array(values, pa.int64())).cast(pa.list_(pa.int64()))
+
+
+def _resolver(order: int, parts: int):
+    def resolve(docs: pa.Table, summed: pa.Table) -> pa.Table:
         hashes, sizes = _tokens(docs["text"])
         kind = docs["kind"].to_numpy()
-        known = shared["key"].to_numpy().view(np.uint64)
-        by = np.argsort(known)
-        known, rest_of, aside_of, mine = known[by], *(shared[c].to_numpy()[by] for c in ("rest", "aside", "own"))
-        out = {"doc_id": docs["doc_id"], "held_out": pa.array(kind == 2)}
-        first = np.concatenate([[0], np.cumsum(sizes)])
-        put_aside = np.repeat(kind == 1, sizes)
-        first_aside = np.concatenate([[0], np.cumsum(np.where(kind == 1, sizes, 0))])
-        lists = lambda at, x: pa.LargeListArray.from_arrays(pa.array(at, pa.int64()), pa.array(x, pa.int64())).cast(pa.list_(pa.int64()))
+        summed = summed.sort_by("part")
+        n = summed["n"].to_pylist()
+        types = np.zeros(len(sizes), np.int64)
+        types[:1] = sum(summed["types"].to_pylist())
+        out = {"doc_id": docs["doc_id"], "held_out": pa.array(kind == 2), "types": pa.array(types)}
         for k in range(1, order + 1):
-            keys, which, ends, rest, aside = _own(hashes, sizes, kind, k)
-            fresh = np.ones(len(keys), bool)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                hit = known[at] == keys
-                rest[hit], aside[hit], fresh[hit] = rest_of[at[hit]], aside_of[at[hit]], mine[at[hit]]
-            if k == 1:
-                types = np.zeros(len(sizes), np.int64)
-                types[:1] = ((rest + aside > 0) & fresh).sum()
-                out["types"] = pa.array(types)
+            keys, which, ends = _own(hashes, sizes, k)
+            mine = range((k - 1) * parts, k * parts)
+            rest, aside = (np.concatenate([_unpack_counts(summed[name][i].as_py(), n[i]) for i in mine]) for name in ("rest", "aside"))
+            if len(rest) != len(keys):
+                raise ValueError("a chunk's texts changed between two reads")
             both, without = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
             both[ends], without[ends] = (rest + aside)[which], rest[which]
-            out[f"c{k}"] = lists(first, both)
-            out[f"r{k}"] = lists(first_aside, without[put_aside])
+            out[f"c{k}"] = _lists(both, sizes)
+            out[f"r{k}"] = _lists(without[np.repeat(kind == 1, sizes)], np.where(kind == 1, sizes, 0))
         return pa.table(out)
 
     return resolve
@@ -133,18 +193,16 @@ def resolved(docs: DataFrame, order: int = ORDER, chunk_bytes: int = CHUNK_BYTES
     count without the set aside documents, and only for these. ``types`` sums up to the distinct training tokens.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // chunk_bytes))
+    chunks = max(1, -(-total // chunk_bytes))
+    parts = max(MIN_PARTS, chunks)
     rest = fold(F.col("doc_id"))
     kind = F.when(rest == HELD_OUT, 2).when(rest == DELETED, 1).otherwise(0)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), kind.alias("kind"))
-    chunked = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")).groupBy("chunk")
-    keyed = chunked.applyInArrow(_counter(order), "key long, chunk int, rest long, aside long")
-    key = W.partitionBy("key")
-    total_of = lambda c: F.sum(c).over(key).alias(c)
-    shared = keyed.select("chunk", "key", total_of("rest"), total_of("aside"), (F.min("chunk").over(key) == F.col("chunk")).alias("own"), F.count("*").over(key).alias("chunks"))
-    shared = shared.filter("chunks > 1").drop("chunks")
+    chunked = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks))).groupBy("chunk")
+    counted = chunked.applyInArrow(_counter(order, parts), "part long, chunk long, keys binary, rest binary, aside binary")
+    summed = counted.groupBy("part").applyInArrow(_summer(parts), "chunk long, part long, n long, types long, rest binary, aside binary")
     counts = ", ".join(f"c{k} array<long>, r{k} array<long>" for k in range(1, order + 1))
-    return chunked.cogroup(shared.groupBy("chunk")).applyInArrow(_resolver(order), f"doc_id long, held_out boolean, types long, {counts}")
+    return chunked.cogroup(summed.groupBy("chunk")).applyInArrow(_resolver(order, parts), f"doc_id long, held_out boolean, types long, {counts}")
 
 
 class Model:
