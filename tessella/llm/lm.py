@@ -12,7 +12,7 @@ that no training document holds, so probabilities sum to one.
 The weights m are learnt on held-out counts: of the training documents, those with ``crc32(doc_id) mod 7 = DELETED`` are
 set aside, counts of the others give the estimates, and expectation-maximisation finds the weights under which the set
 aside texts are most likely, order by order. What EM needs of a token is its bucket and the ratio of its estimate to the
-lower order's probability; Spark counts tokens by bucket and ratio (in steps of 1/16 octave), a table of bounded size
+lower order's probability; Spark sums up tokens and ratios by bucket and step of 1/16 octave, a table of bounded size
 for any corpus. Scores then use the counts of all training documents.
 
 How counts reach the tokens: documents are dealt to chunks of about ``chunk_bytes`` of text by the hash of the row. A
@@ -38,7 +38,7 @@ from tessella.llm import scratch, textvec
 
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
 ORDER = 2
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 MIN_PARTS = 32
 #: Steps of an octave by which EM tells ratios apart; it counts ratios from 2^-RANGE to 2^RANGE.
 STEPS, RANGE = 16, 80
@@ -158,8 +158,20 @@ def _summer(parts: int):
     return add
 
 
-def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    return pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int64()), pa.array(values, pa.int64())).cast(pa.list_(pa.int64()))
+def _pack_text(counts: np.ndarray) -> bytes:
+    """The lowest bytes of all counts, then the next ones, as many as the largest needs."""
+    width = max(1, -(-int(counts.max()).bit_length() // 8))
+    return counts.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _unpack_texts(column: pa.Array, sizes: np.ndarray) -> np.ndarray:
+    out = np.zeros((int(sizes.sum()), 8), np.uint8)
+    first = 0
+    for packed, n in zip(column, sizes.tolist(), strict=True):
+        planes = np.frombuffer(packed.as_buffer(), np.uint8).reshape(-1, n)
+        out[first : first + n, : len(planes)] = planes.T
+        first += n
+    return out.view("<i8").ravel()
 
 
 def _resolver(order: int, parts: int):
@@ -170,7 +182,8 @@ def _resolver(order: int, parts: int):
         n = summed["n"].to_pylist()
         types = np.zeros(len(sizes), np.int64)
         types[:1] = sum(summed["types"].to_pylist())
-        out = {"doc_id": docs["doc_id"], "held_out": pa.array(kind == 2), "types": pa.array(types)}
+        out = {"doc_id": docs["doc_id"], "held_out": pa.array(kind == 2), "aside": pa.array(kind == 1), "n_tokens": pa.array(sizes, pa.int64()), "types": pa.array(types)}
+        first = np.concatenate([[0], np.cumsum(sizes)])
         for k in range(1, order + 1):
             keys, which, ends = _own(hashes, sizes, k)
             mine = range((k - 1) * parts, k * parts)
@@ -179,18 +192,19 @@ def _resolver(order: int, parts: int):
                 raise ValueError("a chunk's texts changed between two reads")
             both, without = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
             both[ends], without[ends] = (rest + aside)[which], rest[which]
-            out[f"c{k}"] = _lists(both, sizes)
-            out[f"r{k}"] = _lists(without[np.repeat(kind == 1, sizes)], np.where(kind == 1, sizes, 0))
+            out[f"c{k}"] = pa.array([_pack_text(both[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())
+            out[f"r{k}"] = pa.array([_pack_text(without[a:b]) if own == 1 else None for a, b, own in zip(first[:-1], first[1:], kind, strict=True)], pa.binary())
         return pa.table(out)
 
     return resolve
 
 
 def resolved(docs: DataFrame, order: int = ORDER, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """``doc_id, held_out, types, c1, r1, c2, r2 ...``, a row for each document.
+    """``doc_id, held_out, aside, n_tokens, types, c1, r1, c2, r2 ...``, a row for each document.
 
     ``ck`` has, for each token, the count of the n-gram of order k that ends there in all training documents; ``rk`` the
-    count without the set aside documents, and only for these. ``types`` sums up to the distinct training tokens.
+    count without the set aside documents, and only for these; both are packed. ``types`` sums up to the distinct
+    training tokens.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-total // chunk_bytes))
@@ -201,8 +215,8 @@ def resolved(docs: DataFrame, order: int = ORDER, chunk_bytes: int = CHUNK_BYTES
     chunked = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks))).groupBy("chunk")
     counted = chunked.applyInArrow(_counter(order, parts), "part long, chunk long, keys binary, rest binary, aside binary")
     summed = counted.groupBy("part").applyInArrow(_summer(parts), "chunk long, part long, n long, types long, rest binary, aside binary")
-    counts = ", ".join(f"c{k} array<long>, r{k} array<long>" for k in range(1, order + 1))
-    return chunked.cogroup(summed.groupBy("chunk")).applyInArrow(_resolver(order, parts), f"doc_id long, held_out boolean, types long, {counts}")
+    counts = ", ".join(f"c{k} binary, r{k} binary" for k in range(1, order + 1))
+    return chunked.cogroup(summed.groupBy("chunk")).applyInArrow(_resolver(order, parts), f"doc_id long, held_out boolean, aside boolean, n_tokens long, types long, {counts}")
 
 
 class Model:
@@ -234,14 +248,13 @@ class Model:
         return m * estimate + (1 - m) * below
 
 
-def weights(counted: list[tuple[int, int, int]]) -> np.ndarray:
-    """Weights of buckets 0 to 63 by EM on (bucket, step of the ratio or UNSEEN, tokens). A bucket has one token of no
+def weights(counted: list[tuple[int, int, int, float]]) -> np.ndarray:
+    """Weights of buckets 0 to 63 by EM on (bucket, step of the ratio or UNSEEN, tokens, sum of their ratios' octaves). A bucket has one token of no
     opinion (half a success of two), and one without tokens takes the weight of the next lower bucket, or 1/2."""
     found = {}
-    for b in {b for b, _, _ in counted}:
-        own = [(s, n) for at, s, n in counted if at == b]
-        steps, n = np.array([s for s, _ in own]), np.array([n for _, n in own], float)
-        ratio = np.where(steps == UNSEEN, 0.0, np.exp2((steps + 0.5) / STEPS - RANGE))
+    for b in {at for at, *_ in counted}:
+        steps, n, octaves = np.array(sorted(x[1:] for x in counted if x[0] == b), float).T
+        ratio = np.where(steps == UNSEEN, 0.0, np.exp2(octaves / n))
         m = 0.5
         for _ in range(MAX_ROUNDS):
             before, m = m, (0.5 + (n * (m * ratio / (m * ratio + 1 - m))).sum()) / (1 + n.sum())
@@ -255,20 +268,29 @@ def weights(counted: list[tuple[int, int, int]]) -> np.ndarray:
 
 
 def _arrays(batch: pa.RecordBatch, prefix: str, order: int) -> tuple[list[np.ndarray], np.ndarray]:
-    columns = [batch.column(batch.schema.get_field_index(f"{prefix}{k}")) for k in range(1, order + 1)]
-    return [c.flatten().to_numpy() for c in columns], np.diff(columns[0].offsets.to_numpy())
+    at = batch.schema.get_field_index
+    sizes = batch.column(at("n_tokens")).to_numpy()
+    return [_unpack_texts(batch.column(at(f"{prefix}{k}")), sizes) for k in range(1, order + 1)], sizes
+
+
+def _pieces(batches, rows: int = 512):
+    """Batches of at most so many documents, as their counts are unpacked together."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
 
 
 def learn(found: DataFrame, order: int = ORDER) -> Model:
     """The model of a saved table of ``resolved``."""
     trained = ~F.col("held_out")
-    n = found.agg(F.sum(F.when(trained, F.size("c1"))), F.sum("types"), F.count(F.when(trained, 1)), F.sum(F.size("r1")), F.count(F.when(F.size("r1") > 0, 1))).first()
+    aside = F.col("aside")
+    n = found.agg(F.sum(F.when(trained, F.col("n_tokens"))), F.sum("types"), F.count(F.when(trained, 1)), F.sum(F.when(aside, F.col("n_tokens"))), F.count(F.when(aside, 1))).first()
     tokens, types, texts, tokens_aside, texts_aside = (x or 0 for x in n)
     model = Model(tokens, types, texts)
     part = Model(tokens - tokens_aside, types, texts - texts_aside)
-    aside = found.filter(F.size("r1") > 0).select(*[f"r{k}" for k in range(1, order + 1)])
     for k in range(1, order + 1):
-        seen = aside.mapInArrow(_ratios(part, k), "bucket int, step int, n long").groupBy("bucket", "step").agg(F.sum("n").alias("n")).collect()
+        texts = found.filter(aside).select("n_tokens", *[f"r{i}" for i in range(1, k + 1)])
+        seen = texts.mapInArrow(_ratios(part, k), "bucket int, step int, n long, octaves double").groupBy("bucket", "step").agg(F.sum("n").alias("n"), F.sum("octaves").alias("octaves")).collect()
         part.weights.append(weights([tuple(r) for r in seen]))
     model.weights = part.weights
     return model
@@ -276,15 +298,16 @@ def learn(found: DataFrame, order: int = ORDER) -> Model:
 
 def _ratios(part: Model, k: int):
     def count(batches):
-        for batch in batches:
+        for batch in _pieces(batches):
             counts, sizes = _arrays(batch, "r", k)
             *_, (estimate, bucket, below) = part.ladder(counts, sizes)
             estimate, below, bucket = (x[bucket >= 0] for x in (estimate, below, bucket))
-            with np.errstate(divide="ignore"):
-                step = np.floor((np.log2(estimate / below) + RANGE) * STEPS)
-            step = np.where(estimate > 0, np.clip(step, 0, 2 * RANGE * STEPS - 1), UNSEEN).astype(np.int64)
-            pairs, n = np.unique(np.stack([bucket, step]), axis=1, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int32()), pa.array(pairs[1], pa.int32()), pa.array(n, pa.int64())], ["bucket", "step", "n"])
+            octaves = np.log2(np.where(estimate > 0, estimate / below, 1.0))
+            step = np.where(estimate > 0, np.clip(np.floor((octaves + RANGE) * STEPS), 0, 2 * RANGE * STEPS - 1), UNSEEN).astype(np.int64)
+            cells, which, n = np.unique(bucket * (4 * RANGE * STEPS) + step, return_inverse=True, return_counts=True)
+            cells = cells - UNSEEN  # so that the unseen of a bucket come first in it
+            columns = cells // (4 * RANGE * STEPS), cells % (4 * RANGE * STEPS) + UNSEEN, n, np.bincount(which, octaves)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.float64()), strict=True)], ["bucket", "step", "n", "octaves"])
 
     return count
 
@@ -293,7 +316,7 @@ def scores(found: DataFrame, model: Model, order: int = ORDER) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` from a table of ``resolved``."""
 
     def apply(batches):
-        for batch in batches:
+        for batch in _pieces(batches):
             counts, sizes = _arrays(batch, "c", order)
             first = np.cumsum(sizes) - sizes
             known, base = counts[0] > 0, np.log10((counts[0] + 1) / (model.tokens + model.types + 1))
@@ -304,7 +327,7 @@ def scores(found: DataFrame, model: Model, order: int = ORDER) -> DataFrame:
                 ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
-    columns = found.select("doc_id", "held_out", *[f"c{k}" for k in range(1, order + 1)])
+    columns = found.select("doc_id", "held_out", "n_tokens", *[f"c{k}" for k in range(1, order + 1)])
     return columns.mapInArrow(apply, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
