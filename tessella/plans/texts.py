@@ -53,10 +53,23 @@ def x04(spark, d):
     return table(spark, d, "orders").select("o_orderkey", S.last_boxed(text).alias("answer"))
 
 
-@query("x06_latex", r"SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '\frac{' || o_custkey || '}{7}' ELSE '0.' || (o_orderkey % 90 + 10) END AS answer FROM orders")
+#: One expression for Spark and SQL: raw answers from the numbers of an order.
+BS = "chr(92)"
+A_, B_ = "CAST(o_custkey AS STRING)", "CAST(o_orderkey % 9 + 1 AS STRING)"
+D_ = "CAST(o_custkey % 9 + 1 AS STRING)"
+LATEX_TEXT = f"""CASE o_orderkey % 16 WHEN 0 THEN {A_} || '/' || {B_} WHEN 1 THEN {BS} || 'left .' || {D_} || {BS} || '%' WHEN 2 THEN {BS} || 'dfrac' || {D_} || {B_}
+  WHEN 3 THEN {BS} || 'frac' || {D_} || '{{' || {A_} || '}}' WHEN 4 THEN {BS} || 'tfrac{{' || {A_} || '}}{{' || {B_} || '}}' WHEN 5 THEN {BS} || {BS} || 'left(' || {A_} || {BS} || 'right)'
+  WHEN 6 THEN 'x = ' || {A_} || {BS} || 'text{{ cm}}' WHEN 7 THEN {BS} || 'sqrt' || {D_} || ' + ' || {BS} || 'sqrt{{' || {A_} || '}}' WHEN 8 THEN {A_} || '^' || {BS} || 'circ' WHEN 9 THEN {BS} || '$' || {A_} || '.' || {B_}
+  WHEN 10 THEN '0.5' WHEN 11 THEN {BS} || 'frac' || {D_} WHEN 12 THEN '0' || {A_} || '/' || {B_} WHEN 13 THEN {A_} || {BS} || 'text{{ a}}' || {BS} || 'text{{ b}}' WHEN 14 THEN 'f(x)=' || {A_} ELSE {BS} || 'frac' || {D_} || 'b+' || {BS} || 'frac{{1}}' || {B_} END"""
+LATEX_FORM = rf"""CASE o_orderkey % 16 WHEN 0 THEN '\frac{{' || {A_} || '}}{{' || {B_} || '}}' WHEN 1 THEN CASE WHEN o_custkey % 9 = 4 THEN '\frac{{1}}{{2}}' ELSE '0.' || {D_} END
+  WHEN 2 THEN '\frac{{' || {D_} || '}}{{' || {B_} || '}}' WHEN 3 THEN '\frac{{' || {D_} || '}}{{' || {A_} || '}}' WHEN 4 THEN '\frac{{' || {A_} || '}}{{' || {B_} || '}}' WHEN 5 THEN '(' || {A_} || ')' WHEN 6 THEN {A_}
+  WHEN 7 THEN '\sqrt{{' || {D_} || '}}+\sqrt{{' || {A_} || '}}' WHEN 8 THEN {A_} WHEN 9 THEN CASE WHEN o_custkey = 0 AND o_orderkey % 9 = 4 THEN '\frac{{1}}{{2}}' ELSE {A_} || '.' || {B_} END WHEN 10 THEN '\frac{{1}}{{2}}' WHEN 11 THEN '\frac' || {D_} WHEN 12 THEN '0' || {A_} || '/' || {B_}
+  WHEN 13 THEN NULL WHEN 14 THEN 'f(x)=' || {A_} ELSE '\frac{{' || {D_} || '}}{{b}}+\frac{{1}}' || {B_} END"""
+
+
+@query("x06_latex", f"SELECT o_orderkey, {LATEX_FORM} AS answer FROM orders")
 def x06(spark, d):
-    text = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.col("o_custkey").cast("string"), F.lit("/7"))).otherwise(F.concat(F.lit(r"\left ."), (F.col("o_orderkey") % 90 + 10).cast("string"), F.lit(r"\%")))
-    return table(spark, d, "orders").select("o_orderkey", S.canonical_latex(text).alias("answer"))
+    return table(spark, d, "orders").withColumn("t", F.expr(LATEX_TEXT)).select("o_orderkey", S.canonical_latex(F.col("t")).alias("answer"))
 
 
 @query("x08_minerva", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN '[INVALID]' ELSE CAST(o_custkey AS VARCHAR) END AS answer, CASE WHEN o_orderkey % 4 = 0 THEN -1.0 ELSE 1.0 END AS score FROM orders")
@@ -78,11 +91,33 @@ def x11(spark, d):
     return table(spark, d, "events").select("event_id", S.xml_choice(xml).alias("xml"), S.mmlu_choice(mmlu).alias("mmlu"), S.gpqa_choice(gpqa).alias("gpqa"))
 
 
-@query("x14_tool_use", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0.0 ELSE 1.0 END AS score FROM events")
+#: One expression for Spark and SQL: what a model said and what it should have said.
+SAID = """'Action: find' || chr(10) || 'Action Input: {"user": ' || CAST(user_id AS STRING) || ', "kind": "' || event_type || '"}' || chr(10) || CASE event_id % 6 WHEN 0 THEN 'Action: open' || chr(10) || 'Action Input: {"page": 1, "user": 7}'
+  WHEN 1 THEN 'Action: open' || chr(10) || 'Action Input: {"page": 1, bad}' WHEN 2 THEN 'Action:open' WHEN 3 THEN 'Action: open' || chr(10) || 'Action Input: {"kind": "click"}' WHEN 4 THEN '' ELSE 'Action: find' || chr(10) || 'Action Input:' || chr(10) || '{"page": [1, 2]}' END"""
+SHOULD = """CASE event_id % 5 WHEN 0 THEN '[{"Action": "open", "Action_Input": "{}"}, {"Action": "find", "Action_Input": {"kind": "' || event_type || '", "user": ' || CAST(user_id AS STRING) || '}}]'
+  WHEN 1 THEN '[{"Action": "find", "Action_Input": {"user": 1, "kind": "click"}}, {"Action": "open", "Action_Input": {"user": ' || CAST(user_id AS STRING) || '}}]'
+  WHEN 2 THEN '[{"Action": "find", "Action_Input": {"page": 1, "kind": "' || event_type || '"}}, {"Action": "open", "Action_Input": {"user": 7}}]'
+  WHEN 3 THEN '[{"Action": "find", "Action_Input": {"kind": "' || event_type || '"}}, {"Action": "find", "Action_Input": {"user": ' || CAST(user_id AS STRING) || ', "page": [1, 2]}}]' ELSE 'no list' END"""
+
+
+def _sorted_entries(j: str) -> str:
+    return f"list_sort(list_transform(json_keys({j}), lambda k: k || '=' || CAST(json_extract({j}, '$.\"' || k || '\"') AS VARCHAR)))"
+
+
+@query(
+    "x14_tool_use",
+    rf"""WITH e AS (SELECT event_id, {SAID} AS said, {SHOULD} AS should FROM events),
+f AS (SELECT event_id, list_sort(regexp_extract_all(said, 'Action:\s*(\w+)', 1)) AS a, list_filter(regexp_extract_all(said, 'Action Input:\s*(\{{.*?\}})', 1), lambda b: json_valid(b)) AS b,
+  CASE WHEN json_valid(should) THEN should END AS should FROM e),
+g AS (SELECT event_id, a, list_reduce(list_concat(['{{}}'], b), lambda x, y: CAST(json_merge_patch(x, y) AS VARCHAR)) AS got,
+  list_sort(from_json(json_extract(should, '$[*].Action'), '["VARCHAR"]')) AS want_a, json_merge_patch(CASE WHEN json_type(should, '$[0].Action_Input') = 'VARCHAR' THEN json_extract_string(should, '$[0].Action_Input') ELSE CAST(json_extract(should, '$[0].Action_Input') AS VARCHAR) END,
+    CAST(json_extract(should, '$[1].Action_Input') AS VARCHAR)) AS early FROM (SELECT *, '' AS x FROM f)),
+h AS (SELECT event_id, a, got, want_a, CAST(early AS VARCHAR) AS want FROM g)
+SELECT event_id, CASE WHEN a = want_a AND {_sorted_entries("got")} = {_sorted_entries("want")} THEN 1.0 ELSE 0.0 END AS score FROM h""",
+)
 def x14(spark, d):
-    text = F.concat(F.lit("Action: find\nAction Input: {}\nAction:  "), F.col("event_type"))
-    truth = F.when(F.col("event_id") % 3 == 0, F.array(F.lit("find"))).otherwise(F.array(F.col("event_type"), F.lit("find")))
-    return table(spark, d, "events").select("event_id", S.tool_score(text, truth).alias("score"))
+    e = table(spark, d, "events").select("event_id", F.expr(SAID).alias("said"), F.expr(SHOULD).alias("should"))
+    return e.select("event_id", S.tool_score(F.col("said"), F.col("should")).alias("score"))
 
 
 @query("x15_exact_match", "SELECT c_custkey, 1.0 AS em, CASE WHEN c_custkey % 2 = 0 THEN 1.0 ELSE 0.0 END AS sub FROM customer")
