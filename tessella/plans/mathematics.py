@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import scoring as S
 from tessella.functions import texts as T
+from tessella.functions.symbolic import graded_equal
 from tessella.session import table
 
 QUERIES: dict = {}
@@ -150,3 +151,28 @@ def x33(spark, d):
 def x41(spark, d):
     path = F.when(F.col("event_id") % 3 == 0, F.lit("/a/latest")).otherwise(F.concat(F.lit("/a/global_step_"), F.col("user_id").cast("string"), F.lit("/actor")))
     return table(spark, d, "events").select("event_id", T.step_of_path(path).alias("step"))
+
+
+#: Pairs of answers from the numbers of an order, as one expression for Spark and SQL, and whether their values are equal.
+N_, M_, OFF = "(o_custkey % 23 + 1)", "(o_orderkey % 17 + 1)", "(CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END)"
+T_ = lambda x: f"CAST({x} AS STRING)"
+BS = "chr(92)"
+FORMS = (
+    (f"'(x+' || {T_(N_)} || ')(x+' || {T_(M_)} || ')'", f"'x^2+' || {T_(f'({N_} + {M_} + {OFF})')} || 'x+' || {T_(f'({N_} * {M_})')}", f"{OFF} = 0"),
+    (f"{BS} || 'frac{{' || {T_(N_)} || '}}{{' || {T_(M_)} || 'y}}'", f"{T_(f'({N_} * 3)')} || '/(' || {T_(f'({M_} * 3 + {OFF})')} || '*y)'", f"{N_} * ({M_} * 3 + {OFF}) = {M_} * ({N_} * 3)"),
+    (f"{BS} || 'sqrt{{' || {T_(f'({N_} * {N_} * {M_})')} || '}}'", f"{T_(f'({N_} + {OFF})')} || {BS} || 'sqrt{{' || {T_(M_)} || '}}'", f"{OFF} = 0"),
+    (f"{BS} || 'begin{{pmatrix}}' || {T_(N_)} || '&' || {T_(M_)} || {BS} || {BS} || ' 0 & x^2' || {BS} || 'end{{pmatrix}}'", f"'[[' || {T_(f'({N_} + {OFF})')} || ',' || {T_(f'(2 * {M_})')} || '/2],[1-1, x*x]]'", f"{OFF} = 0"),
+    (f"'y=' || {T_(N_)} || 'x-' || {T_(M_)}", f"{T_(f'(2 * {N_})')} || 'x-2y=' || {T_(f'(2 * {M_} + {OFF})')}", f"{OFF} = 0"),
+    (f"'(' || {T_(N_)} || ', ' || {BS} || 'frac{{1}}{{' || {T_(M_)} || '}}z]'", f"'(' || {T_(f'({N_} + {OFF})')} || '.0,z/' || {T_(M_)} || ']'", f"{OFF} = 0"),
+    (f"'(a+' || {T_(N_)} || ')^3'", f"'a^3+' || {T_(f'(3 * {N_})')} || 'a^2+' || {T_(f'(3 * {N_} * {N_})')} || 'a+' || {T_(f'({N_} * {N_} * {N_} + {OFF})')}", f"{OFF} = 0"),
+    (f"{BS} || 'sin^2 t+' || {T_(N_)} || '+' || {BS} || 'cos^2 t'", T_(f"({N_} + 1 + {OFF})"), f"{OFF} = 0"),
+    (f"'(' || {T_(N_)}", f"'((' || {T_(N_)}", "true"),
+    (f"'[' || {T_(N_)} || ',x+'", f"'[' || {T_(M_)} || ',x*'", "false"),
+)
+FORM = [f"CASE o_orderkey % {len(FORMS)} " + " ".join(f"WHEN {i} THEN {f[at]}" for i, f in enumerate(FORMS)) + " END" for at in range(3)]
+
+
+@query("x17_symbolic", f"SELECT o_orderkey, {FORM[2]} AS same FROM orders")
+def x17_symbolic(spark, d):
+    pairs = table(spark, d, "orders").select("o_orderkey", F.expr(FORM[0]).alias("a"), F.expr(FORM[1]).alias("b"))
+    return pairs.select("o_orderkey", graded_equal(F.col("a"), F.col("b")).alias("same"))
