@@ -38,7 +38,7 @@ from tessella.llm import scratch, textvec
 
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
 ORDER = 2
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 12 << 20
 MIN_PARTS = 32
 #: Steps of an octave by which EM tells ratios apart; it counts ratios from 2^-RANGE to 2^RANGE.
 STEPS, RANGE = 16, 80
@@ -332,5 +332,5 @@ def scores(found: DataFrame, model: Model, order: int = ORDER) -> DataFrame:
 
 
 def score_documents(docs: DataFrame, order: int = ORDER, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    found = scratch.save(resolved(docs, order, chunk_bytes), "resolved")
+    found = scratch.save(resolved(docs, order, chunk_bytes), "resolved", compression="zstd")
     return scores(found, learn(found, order), order)

@@ -25,10 +25,13 @@ def folder(spark: SparkSession) -> str:
     return _own.setdefault("dir", tempfile.mkdtemp(prefix="tessella-"))
 
 
-def save(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` and read it back: the plan before it is cut, and several readers share one computation."""
+def save(df: DataFrame, label: str, **options) -> DataFrame:
+    """Write ``df`` and read it back: the plan before it is cut, and several readers share one computation.
+
+    ``options`` are those of the Parquet writer.
+    """
     path = f"{folder(df.sparkSession)}/tessella-{uuid.uuid4().hex}/{label}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._tessella_path = path
     return back
