@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessella.operators import resample
+
 
 def adaptive_kl(steps: DataFrame, order: str, kl: str, n: str, start: float, target: float, horizon: float, limit: float = 0.2) -> DataFrame:
     """``order, beta``: the coefficient after each step, a running product of factors that do not depend on it.
@@ -78,6 +80,26 @@ def bootstrap(rows: DataFrame, group: str, value: str, size: int, n: int = 1000,
     return rows.select(group, value).groupBy(group).applyInPandas(one, f"{group} {kind}, mean double, std double")
 
 
+def bootstrap_draws(rows: DataFrame, group: str, key: str, value: str, size: int, n: int = 1000, seed: str = "bootstrap-1") -> DataFrame:
+    """``group, best_mean, best_std, worst_mean, worst_std, average_std``: of ``n`` resamples of ``size`` draws each.
+
+    A draw is a digest of its group, resample and number, and names one of the group's rows by its ordinal in the order
+    of ``key``. Rows get ordinals from ranges of the table, draws meet them by equality, and resamples are partial
+    sums, so a group may have any number of rows and none of its parts is in one task. Deviations are of the population.
+    """
+    line = resample.dealt(rows.select(group, key, value), group, key)
+    before = resample.before(line.groupBy("_part").agg(F.count("*").alias("n")), F.sum("n"))
+    own = F.row_number().over(W.partitionBy("_part").orderBy(group, key)) - 1
+    placed = line.withColumn("_own", own).join(before, F.col("_part") == F.col("_p")).select(group, value, (F.col("_own") + F.coalesce("_of", F.lit(0))).alias("_at"))
+    sizes = placed.groupBy(group).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    drawn = sizes.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
+    name = F.concat_ws("|", F.col(group).cast("string"), F.col("_b").cast("string"), F.col("_j").cast("string"))
+    drawn = drawn.select(F.col(group).alias("_g"), "_b", (F.col("_first") + F.floor(resample.uniform(name, seed) * F.col("_n"))).alias("_to"))
+    each = drawn.join(placed, F.col("_to") == F.col("_at")).groupBy("_g", "_b").agg(F.max(value).alias("_hi"), F.min(value).alias("_lo"), F.avg(value).alias("_mean"))
+    of = [F.avg("_hi").alias("best_mean"), F.stddev_pop("_hi").alias("best_std"), F.avg("_lo").alias("worst_mean"), F.stddev_pop("_lo").alias("worst_std"), F.stddev_pop("_mean").alias("average_std")]
+    return each.groupBy(F.col("_g").alias(group)).agg(*of)
+
+
 def validation(rows: DataFrame, source: str, uid: str, value: str) -> DataFrame:
     """``source, mean, std, n``: per prompt the mean and population std over its responses, then means over prompts."""
     per = rows.groupBy(source, uid).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"), F.count("*").alias("_n"))

@@ -1,7 +1,8 @@
 """Balancing rows over workers by their workload.
 
 The balancing itself is sequential, so it runs in one task for each ``group`` (a batch), whose size the user sets;
-groups are independent. Batches of more than MAX_BATCH rows are an error, not a silent bottleneck.
+groups are independent. Batches of more than MAX_BATCH rows are an error, not a silent bottleneck; ``balanced_blocks``
+takes groups of any size, in two levels.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessella.streaming.rollouts import state_folder
+
 MAX_BATCH = 1_000_000
 
 
@@ -89,10 +92,73 @@ def balanced(df: DataFrame, group: str, key: str, load: str, k: int, method: str
     return df.select(group, key, load).groupBy(group).applyInPandas(one, ", ".join(f"{c} {t}" for c, t in kinds.items()) + ", part int")
 
 
+def _joined_blocks(blocks: dict[int, list[int]], k: int) -> dict[int, list[int]]:
+    """For each block the part that each of its k sums goes to. ``blocks`` has sums in descending order.
+
+    The two states of widest spread are joined, heaviest to lightest, which never widens the wider one.
+    """
+    heap = [(sums[-1] - sums[0], b, sums, [(b, list(range(k)))]) for b, sums in blocks.items()]
+    heapq.heapify(heap)
+    number = max(blocks) + 1
+    while len(heap) > 1:
+        (_, _, x, of_x), (_, _, y, of_y) = heapq.heappop(heap), heapq.heappop(heap)
+        sums = [p + q for p, q in zip(x, reversed(y), strict=True)]
+        order = sorted(range(k), key=lambda j: -sums[j])
+        place = [0] * k
+        for new, old in enumerate(order):
+            place[old] = new
+        to = [(b, [place[j] for j in at]) for b, at in of_x] + [(b, [place[k - 1 - j] for j in at]) for b, at in of_y]
+        sums = [sums[j] for j in order]
+        heapq.heappush(heap, (sums[-1] - sums[0], number, sums, to))
+        number += 1
+    return dict(heap[0][3])
+
+
+def balanced_blocks(df: DataFrame, group: str, key: str, load: str, k: int, block_rows: int = 65_536) -> DataFrame:
+    """``group, key, load, part`` for groups of any size, by largest differencing in two levels.
+
+    Rows are dealt to blocks of about ``block_rows`` by the hash of their key, and each block is divided into k parts.
+    A group's blocks then meet as k sums each and are joined by the same rule. Joining never widens a spread, so the
+    parts of a group differ by no more than those of its worst block, hence by no more than its largest load. A task
+    holds one block, or k numbers for each block of a group. A group of one block is divided as by ``balanced``; a part
+    is empty if the group has fewer than k rows.
+    """
+    counts = df.groupBy(F.col(group).alias("_g")).agg(F.ceil(F.count("*") / block_rows).cast("long").alias("_blocks"))
+    dealt = df.select(group, key, load).join(counts, F.col(group) == F.col("_g")).withColumn("_block", F.pmod(F.xxhash64(key), F.col("_blocks"))).drop("_g", "_blocks")
+
+    def divide(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key, ignore_index=True)
+        loads = [int(x) for x in pdf[load]]
+        parts = sorted(karmarkar_karp(loads, k), key=lambda rows: -sum(loads[i] for i in rows))
+        own = pd.Series(-1, index=pdf.index)
+        for j, rows in enumerate(parts):
+            own.iloc[rows] = j
+        return pdf.assign(_own=own.astype("int32"))
+
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (group, key, load)}
+    own = dealt.groupBy(group, "_block").applyInPandas(divide, ", ".join(f"{c} {t}" for c, t in kinds.items()) + ", _block long, _own int")
+    where = f"{state_folder(df.sparkSession)}/blocks"
+    own.write.parquet(where)
+    own = df.sparkSession.read.parquet(where)
+    sums = own.groupBy(group, "_block", "_own").agg(F.sum(F.col(load).cast("long")).alias("_sum"))
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        blocks: dict[int, list[int]] = {}
+        for b, j, x in zip(pdf["_block"], pdf["_own"], pdf["_sum"], strict=True):
+            blocks.setdefault(int(b), [0] * k)[int(j)] = int(x)
+        rows = [(pdf[group].iloc[0], b, j, part) for b, to in _joined_blocks(blocks, k).items() for j, part in enumerate(to)]
+        return pd.DataFrame(rows, columns=["_g", "_b", "_j", "part"])
+
+    parts = sums.groupBy(group).applyInPandas(join, f"_g {kinds[group]}, _b long, _j int, part int")
+    return own.join(parts, (F.col(group) == F.col("_g")) & (F.col("_block") == F.col("_b")) & (F.col("_own") == F.col("_j"))).select(group, key, load, "part")
+
+
 def micro_batches(df: DataFrame, group: str, key: str, length: str, max_tokens: int, least: int = 1, divisor: int = 1) -> DataFrame:
     """``group, key, length, part``: parts by workload, as many as the tokens need, smaller ones at both ends."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > MAX_BATCH:
+            raise ValueError(f"a batch of {len(pdf)} rows; the most is {MAX_BATCH}")
         pdf = pdf.sort_values(key, ignore_index=True)
         n = max(least, min(len(pdf), math.ceil(pdf[length].sum() / max_tokens)))
         n = min(round_up(n, divisor), len(pdf))

@@ -20,14 +20,14 @@ UNIT = 1e-8
 PLACE = "decimal(38,0)"
 
 
-def _dealt(df: DataFrame, *order: str) -> DataFrame:
+def dealt(df: DataFrame, *order: str) -> DataFrame:
     """A saved table with ``_part``, the range that a row is in; ranges are in order."""
     where = f"{state_folder(df.sparkSession)}/dealt"
     df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).write.parquet(where)
     return df.sparkSession.read.parquet(where)
 
 
-def _before(parts: DataFrame, value: Column) -> DataFrame:
+def before(parts: DataFrame, value: Column) -> DataFrame:
     """``_p, _of``: ``value`` over all ranges before each one; a row a range."""
     return F.broadcast(parts.select(F.col("_part").alias("_p"), value.over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)).alias("_of")))
 
@@ -44,9 +44,9 @@ def draws(rows: DataFrame, key: str, weight: str, seed: str = "resample-1", size
     A null or negative weight counts as 0 and is never drawn; without any weight the result is empty.
     """
     units = F.coalesce(F.greatest(F.round(F.col(weight) / UNIT), F.lit(0.0)), F.lit(0.0)).cast(PLACE)
-    line = _dealt(rows.select(F.col(key), units.alias("units")).filter("units > 0"), key)
+    line = dealt(rows.select(F.col(key), units.alias("units")).filter("units > 0"), key)
     own = F.sum("units").over(W.partitionBy("_part").orderBy(key).rowsBetween(W.unboundedPreceding, -1))
-    starts = _before(line.groupBy("_part").agg(F.sum("units").alias("s")), F.sum("s"))
+    starts = before(line.groupBy("_part").agg(F.sum("units").alias("s")), F.sum("s"))
     zero = F.lit(0).cast(PLACE)
     begins = line.withColumn("_own", F.coalesce(own, zero)).join(starts, F.col("_part") == F.col("_p")).select(F.col(key), (F.col("_own") + F.coalesce("_of", zero)).cast(PLACE).alias("place"), F.lit(0).alias("kind"))
     total = line.agg(F.sum("units")).first()[0]
@@ -54,9 +54,9 @@ def draws(rows: DataFrame, key: str, weight: str, seed: str = "resample-1", size
     n = (rows.count() if size is None else size) if total else 0
     point = F.floor(uniform(F.col("id"), seed) * float(total or 0)).cast(PLACE)
     points = spark.range(n).select(F.lit(None).cast(rows.schema[key].dataType).alias(key), point.alias("place"), F.lit(1).alias("kind"))
-    both = _dealt(begins.unionByName(points), "place", "kind")
+    both = dealt(begins.unionByName(points), "place", "kind")
     at = F.last(key, ignorenulls=True).over(W.partitionBy("_part").orderBy("place", "kind").rowsBetween(W.unboundedPreceding, 0))
     ends = both.groupBy("_part").agg(F.max_by(key, F.when(F.col("kind") == 0, F.col("place"))).alias("k"))
-    carried = _before(ends, F.last("k", ignorenulls=True))
+    carried = before(ends, F.last("k", ignorenulls=True))
     found = both.withColumn("_at", at).filter("kind = 1").join(carried, F.col("_part") == F.col("_p"))
     return found.groupBy(F.coalesce("_at", "_of").alias(key)).agg(F.count("*").alias("times"))

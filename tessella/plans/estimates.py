@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.operators import advantage as A
-from tessella.operators import resample
+from tessella.operators import metrics, partition, resample
 from tessella.operators import sketches as K
+from tessella.plans.rollouts import rounded
 from tessella.plans.views import EV, ev
 from tessella.session import table
 from tessella.streaming.rollouts import state_folder
@@ -75,3 +76,27 @@ SELECT sample_id, count(*) AS times FROM points ASOF JOIN line ON points.x >= li
 )
 def w16_draws(spark, d):
     return resample.draws(A.resample_weights(ev(spark, d).select("sample_id", "score"), "score"), "sample_id", "weight")
+
+
+@query(
+    "a16_bootstrap_draws",
+    f"""WITH {EV}, r AS (SELECT pred, score, row_number() OVER (PARTITION BY pred ORDER BY sample_id) - 1 AS i, count(*) OVER (PARTITION BY pred) AS n FROM ev),
+d AS (SELECT DISTINCT pred, n, b, j FROM r, (SELECT unnest(range(1000)) AS b), (SELECT unnest(range(4)) AS j)),
+x AS (SELECT pred, b, CAST(floor(CAST(CAST('0x' || substr(md5('bootstrap-1|' || pred || '|' || b || '|' || j), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 * n) AS BIGINT) AS i FROM d),
+e AS (SELECT pred, b, max(score) AS hi, min(score) AS lo, avg(score) AS m FROM x JOIN r USING (pred, i) GROUP BY pred, b)
+SELECT pred, round(avg(hi), 6) AS best_mean, round(stddev_pop(hi), 6) AS best_std, round(avg(lo), 6) AS worst_mean, round(stddev_pop(lo), 6) AS worst_std, round(stddev_pop(m), 6) AS average_std FROM e GROUP BY pred""",
+)
+def a16_bootstrap_draws(spark, d):
+    out = metrics.bootstrap_draws(ev(spark, d), "pred", "sample_id", "score", 4)
+    return rounded(out, "best_mean", "best_std", "worst_mean", "worst_std", "average_std")
+
+
+@query(
+    "u17_blocks",
+    """SELECT l_returnflag, count(*) AS n, CAST(sum(l_quantity * l_quantity) AS BIGINT) AS total, count(*) AS keys, 8 AS parts, true AS within FROM lineitem GROUP BY l_returnflag""",
+)
+def u17_blocks(spark, d):
+    """Whole lines of a return flag over 8 parts: every line once, and parts that differ by the largest load at most."""
+    rows = table(spark, d, "lineitem").select("l_returnflag", F.concat_ws("-", "l_orderkey", "l_linenumber", F.xxhash64("*")).alias("key"), (F.col("l_quantity") * F.col("l_quantity")).cast("long").alias("load"))
+    parts = partition.balanced_blocks(rows, "l_returnflag", "key", "load", 8, block_rows=4096).groupBy("l_returnflag", "part").agg(F.count("*").alias("n"), F.sum("load").alias("s"), F.max("load").alias("most"), F.countDistinct("key").alias("keys"))
+    return parts.groupBy("l_returnflag").agg(F.sum("n").alias("n"), F.sum("s").alias("total"), F.sum("keys").alias("keys"), F.count("*").cast("int").alias("parts"), (F.max("s") - F.min("s") <= F.max("most")).alias("within"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import resample, sketches
+from tessella.operators import metrics, partition, resample, sketches
 from tessella.streaming import eventtime
 
 
@@ -84,3 +84,32 @@ def test_follow_ups(spark, split):
     parts = [stamped(spark, *rows[i::split]) for i in range(split)]
     out = eventtime.arrivals(spark, parts, lambda read: eventtime.follow_ups(read().filter("v > 0"), read().filter("v < 0"), "k", "t", "1 HOUR", "2 hours"))
     assert sorted((r.v, r.then_v) for r in out.collect()) == [(1, -1), (2, -3)]
+
+
+def test_blocks_are_divided_and_joined(spark):
+    rng = np.random.default_rng(1)
+    rows = [("big", i, int(x)) for i, x in enumerate(rng.integers(1, 10_000, 5000))] + [("small", 10_000 + i, int(x)) for i, x in enumerate(rng.integers(1, 50, 40))] + [("few", 20_000, 7)]
+    df = spark.createDataFrame(rows, "g string, key long, load long")
+    got = partition.balanced_blocks(df, "g", "key", "load", 7, block_rows=300).collect()
+    assert sorted((r.g, r.key, r.load) for r in got) == sorted(rows)
+    for g, most in (("big", 9_999), ("small", 49)):
+        sums = [sum(r.load for r in got if r.g == g and r.part == p) for p in range(7)]
+        assert min(sums) > 0 and max(sums) - min(sums) <= most
+    one = {(r.key, r.load) for r in partition.balanced_blocks(df.filter("g = 'small'"), "g", "key", "load", 7).collect()}
+    assert len(one) == 40 and partition.balanced_blocks(df.limit(0), "g", "key", "load", 7).count() == 0
+    whole = partition.balanced(df.filter("g = 'small'"), "g", "key", "load", 7).groupBy("part").agg(F.sum("load").alias("s")).collect()
+    blocks = partition.balanced_blocks(df.filter("g = 'small'"), "g", "key", "load", 7).groupBy("part").agg(F.sum("load").alias("s")).collect()
+    assert sorted(r.s for r in whole) == sorted(r.s for r in blocks)
+
+
+def test_bootstrap_against_closed_form(spark):
+    rng = np.random.default_rng(2)
+    rows = [("a" if i % 3 else "b", i, float(x)) for i, x in enumerate(rng.normal(size=600))]
+    df = spark.createDataFrame(rows, "g string, key long, v double")
+    drawn = {r.g: r for r in metrics.bootstrap_draws(df, "g", "key", "v", 8, n=2000).collect()}
+    exact = {r.g: r for r in metrics.expected_extremes(df, ["g"], "v", [8]).collect()}
+    for g in "ab":
+        for mean, std, want in ((drawn[g].best_mean, drawn[g].best_std, exact[g].best), (drawn[g].worst_mean, drawn[g].worst_std, exact[g].worst)):
+            assert abs(mean - want) < 4 * std / np.sqrt(2000)
+        own = np.array([v for k, _, v in rows if k == g])
+        assert drawn[g].average_std == pytest.approx(own.std() / np.sqrt(8), rel=0.1)
