@@ -29,6 +29,8 @@ result. Other columns are ignored, whatever their names. Rows that agree in id a
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -104,11 +106,12 @@ def _unpack_keys(packed: bytes, lowest: np.uint64) -> np.ndarray:
 
 
 def _pack_counts(counts: np.ndarray) -> bytes:
-    """A byte a count; those from 255 on follow in full."""
-    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
+    """A byte a count; those from 255 on follow in full. Most are 0 or 1, so the whole is deflated."""
+    return zlib.compress(np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes(), 1)
 
 
 def _unpack_counts(packed: bytes, n: int) -> np.ndarray:
+    packed = zlib.decompress(packed)
     counts = np.frombuffer(packed, np.uint8, n).astype(np.int64)
     counts[counts == 255] = np.frombuffer(packed, "<i8", offset=n)
     return counts
