@@ -172,6 +172,22 @@ def x34(spark, d):
     return table(spark, d, "events").select("event_id", t["content"].alias("content"), one["name"].alias("name"), F.regexp_replace(one["arguments"], r'":(?=\d)', '": ').alias("arguments"))
 
 
+#: One expression for Spark and SQL: reasoning that holds a call, padding, and up to two calls.
+CHANNELS = """CASE WHEN event_id % 2 = 0 THEN '<|start|>assistant' ELSE '' END || '<|channel|>analysis<|message|>try' || chr(10) || '<|start|>assistant<|channel|>commentary to=functions.no <|constrain|>json<|message|>{}<|call|><|end|>'
+  || CASE WHEN event_id % 3 > 0 THEN '<|start|>assistant<|channel|>commentary to=functions.' || event_type || ' <|constrain|>json<|message|>' || props || '<|call|>' ELSE 'so ' END || '<|pad|>'
+  || CASE WHEN event_id % 5 = 0 THEN '<|start|>assistant<|channel|>final<|message|>done' WHEN event_id % 5 = 1 THEN '<|start|>assistant<|channel|>x to=functions.user_' || CAST(user_id AS STRING) || ' <|constrain|>json<|message|>not' || chr(10) || 'json<|call|> end' ELSE '' END"""
+
+
+@query(
+    "x34_channel_calls",
+    rf"""WITH t AS (SELECT event_id, regexp_replace(replace({CHANNELS}, '<|pad|>', ''), '{S.CHANNEL_REASONING}', '', 'gs') AS x FROM events)
+SELECT event_id, regexp_replace(x, '{S.CHANNEL_CALL}', '', 'gs') AS content, array_to_string(regexp_extract_all(x, '{S.CHANNEL_CALL}', 1, 's'), ',') AS names, array_to_string(regexp_extract_all(x, '{S.CHANNEL_CALL}', 2, 's'), ';') AS arguments FROM t""",
+)
+def x34_channel_calls(spark, d):
+    t = S.channel_calls(F.expr(CHANNELS), "<|pad|>")
+    return table(spark, d, "events").select("event_id", t["content"].alias("content"), F.array_join(t["calls"]["name"], ",").alias("names"), F.array_join(t["calls"]["arguments"], ";").alias("arguments"))
+
+
 @query("x35_message_mask", "SELECT conv_id, [CASE WHEN role = 'assistant' THEN 1 ELSE 0 END FOR role IN list(role ORDER BY turn)] AS mask FROM conversations WHERE turn IS NOT NULL GROUP BY conv_id")
 def x35(spark, d):
     rows = table(spark, d, "conversations").filter("turn IS NOT NULL")

@@ -100,3 +100,16 @@ ONE = '[{"Action": "search", "Action_Input": "{\\"q\\": \\"x\\"}"}]'
 def test_tool_use(spark, text, truth, score):
     df = spark.createDataFrame([(text, truth)], "a string, b string")
     assert df.select(scoring.tool_score(F.col("a"), F.col("b")).alias("g")).first().g == score
+
+
+def test_calls_in_channels(spark):
+    call = "<|start|>assistant<|channel|>commentary to=functions.{} <|constrain|>json<|message|>{}<|call|>"
+    hidden = "<|channel|>analysis<|message|>a" + call.format("no", "{}") + "<|end|>"
+    rows = [
+        (hidden + call.format("find", '{"a":\n1}') + "<|pad|>" + call.format("open", "no json") + "bye", "bye", [("find", '{"a":\n1}'), ("open", "no json")]),
+        ("<|start|>assistant" + hidden + "just text<|pad|>", "just text", []),
+        ("", "", []),
+    ]
+    df = spark.createDataFrame([r[:2] for r in rows], "t string, c string")
+    for r, (_, content, calls) in zip(df.select(scoring.channel_calls(F.col("t"), "<|pad|>").alias("x")).collect(), rows, strict=True):
+        assert r.x.content == content and [tuple(c) for c in r.x.calls] == calls
