@@ -57,8 +57,10 @@ CUES = (
     "share this", "related articles", "read more", "sponsored", "advertisement", "subscribe", "sign up", "log in", "we use cookies", "this site uses cookies",
     "terms of use", "privacy policy", "follow us", "skip to",
 )
-#: Headings under which readers write; what follows, up to the next heading, is theirs.
-READERS = ("readers say", "comments", "reader comments", "leave a comment", "leave a reply", "responses", "discussion")
+#: Headings under which readers write; what follows, up to the next heading, is theirs. They are the whole heading, but
+#: for a count; those that also head a section of an article count outside articles only.
+READERS = ("readers say", "comments", "comment", "reader comments", "leave a comment", "leave a reply")
+READERS_OUTSIDE = ("responses", "discussion")
 CUED_WORDS = 14
 #: First words of names that describe the page around, as in has-sidebar.
 ABOUT = {"has", "with", "no", "without", "layout"}
@@ -67,6 +69,7 @@ _NAME = re.compile(r"</?\s*([a-zA-Z][a-zA-Z0-9]*)")
 _HINT = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _PIECE = re.compile(r"[a-zA-Z][a-z]*|[A-Z]+")
+COUNT = " 0123456789()[]:.,#"
 FEATURES = ("words", "link_density", "words_before", "links_before", "words_after", "links_after", "heading", "item", "cue", "in_main", "side", "hint")
 
 
@@ -99,7 +102,8 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool, bool, bool]
             if words:
                 line = " ".join(words)
                 if heading:
-                    readers = len(words) <= CUED_WORDS and line.lower().startswith(READERS)
+                    name = line.lower().strip(COUNT)
+                    readers = name in READERS or (name in READERS_OUTSIDE and not state[0])
                 out.append((line, len(words), min(linked, len(words)), heading, item, *state[:2], state[2] or readers))
             text.clear()
         linked = 0

@@ -422,6 +422,19 @@ def test_main_text(page, text):
 W40 = ("w " * 40).strip()
 
 
+@pytest.mark.parametrize("heading", ["Discussion", "Responses of cells to heat", "Comments on the budget", "Discussion (2)", "Comment threads as data"])
+def test_sections_that_are_named_like_comments_stay(heading):
+    for part in ("article", "main"):
+        page = f"<{part}><h1>Heat</h1><p>{W40}</p><h2>{heading}</h2><p>Our results {W40}.</p><h2>End</h2><p>{W40}</p></{part}>"
+        assert htmltext.main_text(page) == f"Heat\n{W40}\n{heading}\nOur results {W40}.\nEnd\n{W40}"
+
+
+@pytest.mark.parametrize("heading", ["Comments", "12 Comments", "Comments (3):", "Reader comments", "Readers say:"])
+def test_sections_of_readers_go(heading):
+    page = f"<main><h1>Heat</h1><p>{W40}</p><h2>{heading}</h2><p>I think {W40}.</p><h2>End</h2><p>{W40}</p></main>"
+    assert htmltext.main_text(page) == f"Heat\n{W40}\nEnd\n{W40}"
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [
