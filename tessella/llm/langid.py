@@ -164,7 +164,8 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, learn: Column, most: int = MAX_ROWS) -> Identifier | None:
     """An identifier, or None if nothing can be learnt."""
     usable = docs.filter(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}")).select(F.col("lang").cast("string"), F.col("text").cast("string"))
-    counts = {r[0]: r[1] for r in usable.groupBy("lang").count().collect()}
+    texts = usable.select("lang", F.xxhash64("text").alias("t")).distinct()  # what is drawn from, so that copies don't thin a language out
+    counts = {r[0]: r[1] for r in texts.groupBy("lang").count().collect()}
     if not counts:
         return None
     each = max(MIN_EACH, most // len(counts))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.llm import components, decontam, htmltext, mixing, neardup, scratch, secrets, textvec, tokencounts, topk, toxicity, trees, urls
+from tessella.llm import components, decontam, htmltext, langid, mixing, neardup, scratch, secrets, textvec, tokencounts, topk, toxicity, trees, urls
 from tessella.llm.textvec import chunks, mix, shingle_sets, words
 
 
@@ -398,6 +398,14 @@ def test_base_spans_like_python(spark):
         assert Counter(k for _, k, _ in spans) == Counter({0: r.n_assign, 1: r.n_access, 2: r.n_hex}) - Counter()
 
 
+@pytest.mark.parametrize("text", ["le chat est sur la table", "bonjour tout le monde", "la maison est grande et belle"])
+def test_a_language_of_one_repeated_text_is_learnt(spark, text):
+    english = spark.range(1500).select(F.col("id").alias("doc_id"), F.concat(F.lit("the house number "), F.md5(F.col("id").cast("string")), F.lit(" is on the street")).alias("text"), F.lit("en").alias("lang"))
+    french = spark.range(1500, 6500).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"), F.lit("fr").alias("lang"))
+    out = langid.identify(english.unionByName(french)).filter("doc_id >= 1500").groupBy("lang_pred").count().collect()
+    assert [(r.lang_pred, r["count"]) for r in out] == [("fr", 5000)]
+
+
 # --- pages -----------------------------------------------------------------------------------------------------------------
 
 
