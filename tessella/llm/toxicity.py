@@ -8,15 +8,16 @@ probability that an earlier one gave to its own training row.
 All that the chain knows comes from the table of labels. Tokens are words of letters, the first 4 to 8 characters of
 longer words, which catch inflected forms, and runs of other marks. The telling ones of a category are in at least
 MIN_DOCS of the labelled texts and have a likelihood-ratio statistic for it of at least MIN_G2, which chance alone gives
-once in ten million tokens. Training texts that share their smallest hash of five words in a row count as copies, once.
-A text is toxic if its last probability is at least THRESHOLD.
+once in ten million tokens. Training texts that have the same tokens equally often count once, with the label that at
+least half of them carry. A text is toxic if its last probability is at least THRESHOLD.
 
 Training reads a sample of labelled documents of about MAX_LABELLED rows (a bound on the digest of the id, from the
-number of labels), and of each the first MAX_TOKENS hashes of its set of tokens, by value; scoring reads every whole text.
+number of labels), and of each its whole text. Tokens are counted and the telling ones chosen in Spark; the driver gets
+those, and of each training text how often it holds them. Scoring reads every whole text.
 
 Defined cases: a null or empty text has the base probabilities; labels that are null or of unknown documents are
 ignored (a null quality counts as fair), and of several labels of a document the worst counts; without both kinds of
-label, or any telling token, nothing is toxic; extra columns are carried by ``clean`` and ignored elsewhere, whatever their names.
+label, or any telling token, nothing is toxic; of several texts of one id the smallest trains; extra columns are carried by ``clean`` and ignored elsewhere, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,52 +26,54 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.textvec import chunks, mix, shingles, tokens, words
+from tessella.llm import scratch
+from tessella.llm.textvec import chunks, mix, tokens
 
 #: Their labels are made of the columns quality and toxic of the table.
 CATEGORIES = ("unfit", "toxic_unfit", "toxic")
-MAX_LABELLED, MAX_TOKENS = 6_000, 20_000
+MAX_LABELLED = 6_000
 PREFIXES = (4, 5, 6, 7, 8)
 MIN_DOCS, MIN_G2 = 4, 28.4
 FOLDS, RIDGE, THRESHOLD = 5, 0.1, 0.5
-SAMPLED = "toxic int, unfit int, tokens array<long>, counts array<int>, copy long"
+SAMPLED = "toxic int, unfit int, tokens array<long>, counts array<int>, k1 long, k2 long"
 
 
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found, counts, ends, copy = [], [], [0], []
-        for _, data, offsets in chunks(batch.column(2)):
-            runs, at = words(data, offsets, letters_only=True)
-            runs = mix(shingles(runs, 5), 9)
-            copy += [int(runs[a : b - 4].min().view(np.int64)) if b - a >= 5 else 0 for a, b in zip(at, at[1:], strict=False)]
+        for first, data, offsets in chunks(batch.column(2)):
+            rows = len(offsets) - 1
             h, of = tokens(data, offsets, PREFIXES, marks=True)
             order = np.lexsort((h, of))
             h, of = h[order], of[order]
             new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])))[: len(h)])
-            n = np.diff(np.append(new, len(h))).astype(np.int32)
-            first = np.searchsorted(of[new], of[new])
-            few = np.arange(len(new)) - first < MAX_TOKENS
-            found.append(h[new][few].view(np.int64))
-            counts.append(n[few])
-            ends += list(ends[-1] + np.cumsum(np.bincount(of[new][few], minlength=len(offsets) - 1)))
-        flat = lambda parts, kind: pa.array(np.concatenate([*parts, np.zeros(0, kind)]))
-        at = pa.array(np.array(ends, np.int32))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.ListArray.from_arrays(at, flat(found, np.int64)), pa.ListArray.from_arrays(at, flat(counts, np.int32)), pa.array(copy, pa.int64())], ["toxic", "unfit", "tokens", "counts", "copy"])
+            n = np.diff(np.append(new, len(h)))
+            h, of = h[new], of[new]
+            each = mix(h ^ mix(n.astype(np.uint64), 3), 4)
+            k1, k2 = np.zeros(rows, np.uint64), np.zeros(rows, np.uint64)
+            np.add.at(k1, of, each)
+            np.bitwise_xor.at(k2, of, mix(each, 5))
+            at = pa.array(np.searchsorted(of, np.arange(rows + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (h.view(np.int64), n.astype(np.int32))]
+            labels = [c.slice(first, rows) for c in batch.columns[:2]]
+            yield pa.RecordBatch.from_arrays([*labels, *lists, pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64))], ["toxic", "unfit", "tokens", "counts", "k1", "k2"])
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
-    """A sample of about ``most`` labelled documents: their labels and their tokens."""
+    """A sample of about ``most`` labelled documents: ``k1, k2, toxic, unfit, tokens, counts``, a row for each set of
+    tokens and counts, which k1 and k2 are fingerprints of."""
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("_t"), (F.coalesce(F.col("quality").cast("int"), F.lit(1)) == 0).cast("int").alias("_u"))
     known = known.filter("_id IS NOT NULL AND _t IS NOT NULL").groupBy("_id").agg(F.max("_t").alias("_t"), F.max("_u").alias("_u"))
     n = known.count()
     share = min(1.0, most / max(n, 1))
     chosen = known.filter(F.pmod(F.xxhash64("_id", F.lit("toxicity")), F.lit(1 << 30)) < int(share * (1 << 30)))
     texts = docs.select(F.col("doc_id").cast("long").alias("_d"), F.col("text").cast("string").alias("_x")).join(F.broadcast(chosen), F.col("_d") == F.col("_id"))
-    texts = texts.dropDuplicates(["_d"])  # so repeated rows do not exceed the bound
-    return texts.select(F.col("_t").alias("toxic"), F.col("_u").alias("unfit"), F.col("_x").alias("text")).mapInArrow(_sample, SAMPLED)
+    texts = texts.groupBy("_d").agg(F.min("_x").alias("_x"), F.max("_t").alias("_t"), F.max("_u").alias("_u"))  # so repeated rows do not exceed the bound
+    rows = texts.select(F.col("_t").alias("toxic"), F.col("_u").alias("unfit"), F.col("_x").alias("text")).mapInArrow(_sample, SAMPLED)
+    half = lambda c: (2 * F.sum(F.least(F.greatest(F.col(c), F.lit(0)), F.lit(1))) >= F.count("*")).cast("int").alias(c)
+    return rows.groupBy("k1", "k2").agg(half("toxic"), half("unfit"), F.first("tokens").alias("tokens"), F.first("counts").alias("counts"))
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -113,18 +116,27 @@ def predict(w: np.ndarray, x: np.ndarray) -> np.ndarray:
     return _sigmoid(x @ w[:-1] + w[-1])
 
 
-def telling(lists: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """Sorted hashes of the tokens that point at the texts with the label 1."""
-    seen, where = np.unique(np.concatenate([*lists, np.zeros(0, np.uint64)]), return_inverse=True)
-    if not len(seen):
-        return seen
-    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    n, n1 = float(len(lists)), float(toxic.sum())
-    both, one = np.bincount(where, minlength=len(seen)).astype(float), np.bincount(where, toxic[row], minlength=len(seen))
-    part = lambda k, e: np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / np.maximum(e, 1e-9)), 0.0)
-    g2 = 2 * (part(one, both * n1 / n) + part(both - one, both * (n - n1) / n) + part(n1 - one, (n - both) * n1 / n) + part(n - both - n1 + one, (n - both) * (n - n1) / n))
-    g2[(both < MIN_DOCS) | (one * n <= both * n1) | (g2 < MIN_G2)] = 0
-    return seen[g2 > 0]
+def _g2(both: Column, one: Column, n: float, n1: float) -> Column:
+    """The likelihood-ratio statistic of a token in ``both`` of n texts, ``one`` of them among the n1 with the label 1."""
+
+    def part(k: Column, e: Column) -> Column:
+        return F.when((k > 0) & (e > 0), k * F.ln(k / e)).otherwise(0.0)
+
+    return 2 * (part(one, both * n1 / n) + part(both - one, both * (n - n1) / n) + part(n1 - one, (n - both) * n1 / n) + part(n - both - n1 + one, (n - both) * (n - n1) / n))
+
+
+def telling(sample: DataFrame) -> np.ndarray:
+    """Sorted hashes of the tokens that point at the texts with the label 1 of a category."""
+    labels = {c: F.col(c).cast("double") for c in ("unfit", "toxic")}
+    labels["toxic_unfit"] = labels["unfit"] * labels["toxic"]
+    sizes = sample.agg(F.count("*").alias("n"), *[F.sum(v).alias(c) for c, v in labels.items()]).first()
+    if not sizes["n"]:
+        return np.zeros(0, np.uint64)
+    n = float(sizes["n"])
+    counts = sample.select(F.explode("tokens").alias("h"), *[v.alias(c) for c, v in labels.items()]).groupBy("h").agg(F.count("*").cast("double").alias("both"), *[F.sum(c).alias(c) for c in labels])
+    tells = [(F.col(c) * n > F.col("both") * sizes[c]) & (_g2(F.col("both"), F.col(c), n, sizes[c]) >= MIN_G2) for c in labels]
+    found = counts.filter((F.col("both") >= MIN_DOCS) & (tells[0] | tells[1] | tells[2])).select("h").toArrow()
+    return np.sort(found["h"].to_numpy().view(np.uint64))
 
 
 class Chain:
@@ -157,19 +169,29 @@ class Chain:
         return p, (p[:, -1] >= THRESHOLD) & self.able
 
 
-def train(sample: pa.Table) -> Chain:
+def train(sample: DataFrame) -> Chain:
     """Fit the chain on rows of ``labelled``; later categories learn from out-of-fold probabilities of earlier ones."""
-    toxic, unfit = (sample[c].to_numpy().astype(float).clip(0, 1) for c in ("toxic", "unfit"))
-    copy = sample["copy"].to_numpy()
-    lists = [np.asarray(x, np.int64).view(np.uint64) for x in sample["tokens"].to_numpy()]
-    counts = [np.asarray(x, float) for x in sample["counts"].to_numpy()]
-    order = sorted(range(len(lists)), key=lambda i: (int(copy[i]), toxic[i], unfit[i], len(lists[i]), lists[i].tobytes()))
-    kept = [i for k, i in enumerate(order) if not copy[i] or k == 0 or copy[order[k - 1]] != copy[i]]
-    lists, counts, toxic, unfit = [lists[i] for i in kept], [counts[i] for i in kept], toxic[kept], unfit[kept]
+    chain = Chain(telling(sample), [], False)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, counts = batch.column(4), batch.column(5)
+            ends = h.offsets.to_numpy()
+            h, counts = h.values.to_numpy()[ends[0] : ends[-1]].view(np.uint64), counts.values.to_numpy()[ends[0] : ends[-1]]
+            of = np.repeat(np.arange(len(batch)), np.diff(ends))
+            hit = np.flatnonzero(np.isin(h, chain.vocabulary))
+            at = pa.array(np.searchsorted(of[hit], np.arange(len(batch) + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (h[hit].view(np.int64), counts[hit])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *lists], ["k1", "k2", "toxic", "unfit", "tokens", "counts"])
+
+    kept = sample.select("k1", "k2", "toxic", "unfit", "tokens", "counts").mapInArrow(apply, "k1 long, k2 long, toxic int, unfit int, tokens array<long>, counts array<int>")
+    rows = kept.toArrow().sort_by([("k1", "ascending"), ("k2", "ascending")])
+    toxic, unfit = (rows[c].to_numpy().astype(float) for c in ("toxic", "unfit"))
+    lists = [np.asarray(x, np.int64).view(np.uint64) for x in rows["tokens"].to_numpy()]
+    counts = [np.asarray(x, float) for x in rows["counts"].to_numpy()]
     targets = dict(zip(CATEGORIES, (unfit, unfit * toxic, toxic), strict=True))
-    vocabulary = np.unique(np.concatenate([telling(lists, y) for y in targets.values()]))
     of = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    x = Chain(vocabulary, [], False).features(np.concatenate([*lists, np.zeros(0, np.uint64)]), of, len(lists), np.concatenate([*counts, np.zeros(0)]))
+    x = chain.features(np.concatenate([*lists, np.zeros(0, np.uint64)]), of, len(lists), np.concatenate([*counts, np.zeros(0)]))
     fold = np.arange(len(lists)) % FOLDS
     weights, before = [], np.zeros((len(lists), 0))
     for y in targets.values():
@@ -179,11 +201,14 @@ def train(sample: pa.Table) -> Chain:
         for f in range(FOLDS):
             out[fold == f] = predict(fit(a[fold != f], y[fold != f]), a[fold == f])
         before = np.column_stack([before, logit(out)])
-    return Chain(vocabulary, weights, len(vocabulary) > 0 and 0 < toxic.sum() < len(toxic))
+    return Chain(chain.vocabulary, weights, len(chain.vocabulary) > 0 and 0 < toxic.sum() < len(toxic))
 
 
 def model(docs: DataFrame, labels: DataFrame) -> Chain:
-    return train(labelled(docs, labels).toArrow())
+    sample = scratch.save(labelled(docs, labels), "labelled")
+    chain = train(sample)
+    scratch.drop(sample)
+    return chain
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:

@@ -633,3 +633,42 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(left[3]) == set(left[2]) and all("hunter2222" not in t for t in left[3].values())
     assert left[4] and set(left[4]) <= set(left[3])
     assert sorted(map(tuple, P.run(spark, d).collect())) == sorted(map(tuple, now.collect()))
+
+
+def test_training_keeps_different_texts_that_share_a_sentence(spark):
+    """Texts with one sentence in common are no copies; rows of one text count once, with the label that half of them carry."""
+    rng = random.Random(15)
+    shared = "aaa aab aac aad aae aaf aag aah"
+    docs = [(i, f"{shared} " + " ".join(prose(rng, 40)) + (" vile" if i % 4 == 0 else "")) for i in range(200)]
+    labels = [(i, 1, int(i % 4 == 0)) for i in range(200)]
+    docs += [(1000 + i, "one text of many rows") for i in range(30)]
+    labels += [(1000 + i, 1, int(i < 10)) for i in range(30)]
+    df = spark.createDataFrame(docs + docs[:50], "doc_id long, text string")
+    sample = toxicity.labelled(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    rows = sample.collect()
+    assert len(rows) == 201 and sum(r.toxic for r in rows) == 50
+    words_of = {frozenset(r.tokens): sum(r.counts) for r in rows}
+    assert len(words_of) == 201 and min(words_of.values()) == 5
+    assert toxicity.train(sample).able
+
+
+def test_telling_tokens_like_loops(spark):
+    import math
+
+    rng = random.Random(16)
+    docs = [(i, " ".join(prose(rng, rng.randint(5, 60), 30)) + (" vile" if i % 3 == 0 and i % 5 else "")) for i in range(300)]
+    labels = [(i, int(i % 2), int(i % 3 == 0)) for i in range(300)]
+    sample = toxicity.labelled(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    want, n = set(), len(sample)
+    seen = Counter(h for r in sample for h in r.tokens)
+    part = lambda k, e: k * math.log(k / e) if k > 0 else 0.0
+    for label in (lambda r: r.unfit, lambda r: r.toxic, lambda r: r.unfit * r.toxic):
+        n1 = sum(map(label, sample))
+        ones = Counter(h for r in sample if label(r) for h in r.tokens)
+        for h, both in seen.items():
+            one = ones[h]
+            g2 = 2 * (part(one, both * n1 / n) + part(both - one, both * (n - n1) / n) + part(n1 - one, (n - both) * n1 / n) + part(n - both - n1 + one, (n - both) * (n - n1) / n))
+            if both >= toxicity.MIN_DOCS and one * n > both * n1 and g2 >= toxicity.MIN_G2:
+                want.add(h)
+    got = toxicity.telling(spark.createDataFrame(sample)).view(np.int64).tolist()
+    assert set(got) == want and want
