@@ -501,6 +501,46 @@ def test_segments_are_the_most_probable():
         assert abs(sum(map(cost, found)) - min(sum(map(cost, x)) for x in splits(run))) < 1e-9
 
 
+def expected_words(segmenter, run):
+    """Expected uses of the known words over all splits, each part known or unknown."""
+    import math
+
+    total, uses = 0.0, Counter()
+    for parts in splits(run):
+        ways = [(1.0, [])]
+        for w in parts:
+            unknown = math.exp(-segmenter.unknown - len(w) * segmenter.letter)
+            known = [(p * math.exp(-segmenter.cost[w]), used + [w]) for p, used in ways] if w in segmenter.cost else []
+            ways = [(p * unknown, used) for p, used in ways] + known
+        for p, used in ways:
+            total += p
+            for w in used:
+                uses[w] += p
+    return {w: n / total for w, n in uses.items()}
+
+
+def test_expected_words_like_all_splits():
+    rng = random.Random(17)
+    s = urls.Segmenter({"ab": 9.0, "abc": 4.0, "c": 2.0, "ca": 7.0, "bca": 1.0, "a": 3.0, "d": 1.0})
+    for _ in range(60):
+        run = "".join(rng.choice("abcdx") for _ in range(rng.randint(1, 9)))
+        got, want = s.expected(run), expected_words(s, run)
+        assert got.keys() == want.keys() and all(abs(got[w] - want[w]) < 1e-9 for w in got)
+
+
+def test_names_are_split_however_often_they_occur(spark):
+    """A name that is never written apart is split into words of the texts of pages, also where it leads most urls."""
+    rng = random.Random(18)
+    words = "free slots casino garden river stone tower house green paper night light water table music".split()
+    rows = [(i, f"https://www.freeslotscasino.com/p/{i}", None) for i in range(300)]
+    rows += [(i, f"http://host{chr(97 + i % 26)}.org/q/{i}", "<p>" + " ".join(rng.choice(words) for _ in range(12)) + "</p><script>freeslotscasino()</script>") for i in range(300, 400)]
+    got = {r.page_id: r.words.split() for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == ["www", "free", "slots", "casino", "com", "p"] for i in range(300))
+    long = "stone" * 2000
+    model = urls.train(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert model.tokens(long + ".org", "/") == ["stone"] * 2000 + ["org"]
+
+
 def test_verdicts_like_plain_naive_bayes(spark):
     """The registered method over a small table, by loops over words and labels."""
     import math
@@ -511,9 +551,18 @@ def test_verdicts_like_plain_naive_bayes(spark):
     words = "red green blue house garden river stone tower".split()
     rows = [(i, f"https://{rng.choice(words)}-{rng.choice(words)}{rng.choice(['', rng.choice(words)])}.example.{rng.choice(['com', 'net', 'org'])}/{rng.choice(['en', 'de', 'es'])}/{rng.choice(words)}/{i}") for i in range(400)]
     got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
-    counts = Counter(w for _, u in rows for w in re.findall("[a-z]+", u.split("://")[1]))
+    apart = {(h, w) for _, u in rows for h, p in [u.split("://")[1].split("/", 1)] for w in re.findall("[a-z]+", h.rsplit(".", 1)[1] + "/" + p)}
+    first = counts = {w: float(n) for w, n in Counter(w for _, w in apart).items()}
+    labels = {w for _, u in rows for w in re.findall("[a-z]+", u.split("://")[1].split("/")[0].rsplit(".", 1)[0])}
+    for _ in range(urls.ROUNDS):
+        used = Counter()
+        for run in labels:
+            for w, n in expected_words(urls.Segmenter(counts), run).items():
+                used[w] += round(n * 2**20) / 2**20
+        counts = {w: n + used[w] for w, n in first.items()}
     total = sum(counts.values())
-    cost = lambda w: -math.log(0.9 * counts[w] / total) if w in counts else -math.log(0.1 / 26) + len(w) * math.log(10.0)
+    cost = lambda w: min(-math.log(0.9 * counts[w] / total) if w in counts else math.inf, -math.log(0.1 / 26) + len(w) * math.log(10.0))
+    assert any(" ".join(cut) in r.words for r in got.values() for cut in [("red", "green"), ("blue", "house"), ("stone", "tower")])
     best = {}
 
     def cut(run):
