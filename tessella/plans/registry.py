@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("evaluation", "algebra", "rollouts", "texts", "intake", "corpora", "functions", "mathematics", "records", "eventtime", "estimates", "growth")
+MODULES = ("evaluation", "algebra", "rollouts", "texts", "intake", "corpora", "functions", "mathematics", "records", "eventtime", "estimates", "growth", "plugins")
 
 
 def _merged(attribute: str) -> dict:
